@@ -55,11 +55,11 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first = last
 
 
-def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each word, hash of each word) of white-space separated words; A-Z count as a-z."""
+def word_hashes(raw: np.ndarray, ends: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each word, hash of each word) of words separated by the bytes in gaps, white space here; A-Z count as a-z."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    space = _SPACE[raw]
+    space = gaps[raw]
     begins = ~space
     begins[1:] &= space[:-1]
     row_starts = ends[:-1][ends[:-1] < len(raw)]
