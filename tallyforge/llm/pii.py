@@ -93,7 +93,10 @@ def term_hash(term: str) -> int:
 
 
 def windows(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
-    """(entity, context, [(term, start, end)]) of each base span: the words around it that are no part of a base span."""
+    """(entity, context, [(term, start, end)]) of each base span: the words around it that are no part of a base span.
+
+    A span stands for two protected entities, its value and its kind.
+    """
     taken = sorted((a, b) for _, a, b in spans)
     for kind, start, end in spans:
         value = text[start:end].lower() if kind == "email" else re.sub(r"[^0-9.]" if kind == "ip" else r"[^0-9]", "", text[start:end])
@@ -114,7 +117,9 @@ def windows(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int,
         around = left[-WINDOW:] + around
         around = [(a, b) for a, b in around if not any(s < b and a < e for s, e in taken if e > a - 1 and s < b + 1)]
         context = _hash(*(text[a:b].lower() for a, b in around))
-        yield _hash(kind, value), context, [(term_hash(text[a:b]), a, b) for a, b in around if b - a > 2]
+        terms = [(term_hash(text[a:b]), a, b) for a, b in around if b - a > 2]
+        yield _hash(kind, value), context, terms
+        yield _hash(kind), context, terms
 
 
 def _pair(entity: int, term: int) -> int:
