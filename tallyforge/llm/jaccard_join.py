@@ -9,8 +9,9 @@ shingle's list together. Within a query and its candidates ``divide_skip`` merge
 short lists with a heap, probes the long ones, and keeps those that reach T.
 
 No group is expanded into all its pairs: equal sets collapse to one class first;
-then each list only links its members to one of them, and after those links are
-merged into components only pairs between different components are looked at.
+then each list only compares its members with its head, and after those links are
+merged into components only pairs between different components are looked at, if
+the places of a common shingle leave both enough shingles to reach T.
 The result is exact up to 64-bit hash collisions.
 """
 
@@ -122,8 +123,14 @@ def _unpacked(batches: Iterator[pa.RecordBatch], *kinds: type) -> list[np.ndarra
     return [np.frombuffer(b"".join(p), kind) for p, kind in zip(parts, kinds, strict=True)]
 
 
-def _frequent(docs: DataFrame, k: int, percent: int, buckets: int, more_than: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles, of those that come early in some set, that are in more than so many classes; with their counts."""
+def _frequent(docs: DataFrame, k: int, percent: int, buckets: int, more_than: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in more than so many classes, with their counts, in the order of their hashes.
+
+    Without ``known``, those that come early in some set are counted. With it, the
+    other shingles of the sets that have so many known ones early that their prefix
+    reaches further; known ones are returned as well.
+    """
+    before = docs.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> Iterator[pa.RecordBatch]:
@@ -138,8 +145,14 @@ def _frequent(docs: DataFrame, k: int, percent: int, buckets: int, more_than: in
             for _, s in shingle_sets(batch.column(0), k):
                 if len(s) and (c := hash(s.tobytes())) not in seen:
                     seen.add(c)
-                    held.append(s[: 3 * prefix_length(len(s), percent) // 2 + 4])
-                    size += len(held[-1])
+                    p = prefix_length(len(s), percent)
+                    early = s[: 3 * p // 2 + 4]
+                    if before.value is not None:
+                        if len(s) == len(early) or len(early) - np.isin(early, before.value[0], assume_unique=True).sum() >= p:
+                            continue
+                        early = s[len(early) :]
+                    held.append(early)
+                    size += len(early)
                 if size >= FLUSH:
                     yield from flush()
                     held, seen, size = [], set(), 0
@@ -158,96 +171,107 @@ def _frequent(docs: DataFrame, k: int, percent: int, buckets: int, more_than: in
 
     counted = docs.select("text").mapInArrow(count, "bucket int, tokens binary, counts binary")
     found = counted.repartition(buckets // 4, "bucket").mapInArrow(total, "token long, df long").toArrow()
-    tokens = found.column("token").to_numpy().view(np.uint64)
+    tokens, df = found.column("token").to_numpy().view(np.uint64), found.column("df").to_numpy()
+    if known is not None:
+        fresh = ~np.isin(tokens, known[0])
+        tokens, df = np.r_[known[0], tokens[fresh]], np.r_[known[1], df[fresh]]
     order = np.argsort(tokens)
-    return tokens[order], found.column("df").to_numpy()[order]
+    return tokens[order], df[order]
 
 
 def _lists(docs: DataFrame, k: int, percent: int, buckets: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """What the inverted lists of prefix shingles give: (kind, token, a, b).
-
-    kind 0: a pair of classes to compare, each list's smallest class with each other
-    one; 1: a posting a of a list of three or more, b lists being equal to this one; 2: the smallest
-    class a of a part of a frequent shingle's list that is kept in several parts.
+    """What the inverted lists of prefix shingles give: (kind, token, a, b, n, pos).
+
+    kind 0: a pair of classes to compare, each list's head with each other one that
+    is near enough; 1: a posting a of a list of three or more, b lists being equal to
+    this one; 2: the head a of a part of a frequent shingle's list that is kept in
+    several parts. n is a's set size, pos the shingle's place in a's order. The head
+    is the class with the fewest rarer shingles before: in a family of edited copies,
+    the one closest to the others.
     """
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    names, kinds = ["bucket", "tokens", "classes", "sizes", "places", "salts"], (pa.int32(), *[pa.binary()] * 5)
+
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, df = known.value
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = list(_packed(np.concatenate(tokens), np.concatenate(classes), np.concatenate(salts).astype(np.uint32), buckets=buckets, salt=np.concatenate(salts)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "tokens", "classes", "salts"])
+            token, cls, n, pos, salt = (np.concatenate(x) for x in zip(*held, strict=True))
+            rows = list(_packed(token, cls, n, pos, salt, buckets=buckets, salt=salt.astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds, strict=True)], names=names)
 
-        tokens, classes, salts, seen, size = [], [], [], set(), 0
+        held, seen, size = [], set(), 0
         for batch in batches:
             for _, s in shingle_sets(batch.column(0), k):
                 if not len(s) or (cls := set_class(s)) in seen:
                     continue
                 seen.add(cls)
-                p = prefix_length(len(s), percent)
-                salt = np.zeros(p, np.uint64)
+                p, n = prefix_length(len(s), percent), len(s)
+                salt = np.zeros(p, np.uint32)
                 if len(often):
                     at = np.searchsorted(often, s)
                     at[at == len(often)] = 0
                     hot = often[at] == s
-                    rare = np.flatnonzero(~hot)[:p]
-                    if len(rare) < p:
+                    first = np.flatnonzero(~hot)[:p]
+                    if len(first) < p:
                         late = np.flatnonzero(hot)
-                        late = late[np.lexsort((s[late], df[at[late]]))][: p - len(rare)]
+                        late = late[np.lexsort((s[late], df[at[late]]))][: p - len(first)]
                         parts = -(-df[at[late]] // SUBLIST)
-                        salt[len(rare) :] = np.where(parts > 1, cls % parts + 1, 0).astype(np.uint64)
-                        rare = np.r_[rare, late]
-                    s = s[rare]
+                        salt[len(first) :] = np.where(parts > 1, cls % parts + 1, 0)
+                        first = np.r_[first, late]
+                    s = s[first]
                 else:
                     s = s[:p]
-                tokens.append(s)
-                salts.append(salt)
-                classes.append(np.full(p, cls, np.int64))
+                held.append((s, np.full(p, cls, np.int64), np.full(p, n, np.uint32), np.arange(p, dtype=np.uint32), salt))
                 size += p
                 if size >= FLUSH:
                     yield from flush()
-                    tokens, classes, salts, seen, size = [], [], [], set(), 0
-        if tokens:
+                    held, seen, size = [], set(), 0
+        if held:
             yield from flush()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(kind: int, token: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(np.full(len(a), kind, np.int32)), pa.array(token.view(np.int64)), pa.array(a), pa.array(b)], names=["kind", "token", "a", "b"])
+        def made(kind: int, token: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+            columns = [np.ascontiguousarray(c, np.int64) for c in (token.view(np.int64), *columns)]
+            return pa.record_batch([pa.array(np.full(len(token), kind, np.int32)), *map(pa.array, columns)], names=["kind", "token", "a", "b", "n", "pos"])
 
-        token, cls, salt = _unpacked(batches, np.uint64, np.int64, np.uint32)
+        token, cls, n, pos, salt = _unpacked(batches, np.uint64, np.int64, np.uint32, np.uint32, np.uint32)
         if not len(token):
             return
-        order = np.lexsort((cls, salt, token))
-        token, cls, salt = token[order], cls[order], salt[order]
-        keep = np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (cls[1:] != cls[:-1])]
-        token, cls, salt = token[keep], cls[keep], salt[keep]
-        first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])])
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        order = np.lexsort((cls, pos, salt, token))
+        token, cls, n, pos, salt = (x[order] for x in (token, cls, n, pos, salt))
+        same = lambda x: x[1:] == x[:-1]
+        keep = np.r_[True, ~(same(token) & same(salt) & same(cls))]
+        token, cls, n, pos, salt = (x[keep] for x in (token, cls, n, pos, salt))
+        first = np.flatnonzero(np.r_[True, ~(same(token) & same(salt))])
         size = np.diff(np.r_[first, len(token)])
-        leader = np.repeat(cls[first], size)
-        pair = np.flatnonzero(leader != cls)
-        if len(pair):
-            pairs = np.unique(np.stack([leader[pair], cls[pair]], 1), axis=0)
-            yield made(0, np.zeros(len(pairs), np.uint64), pairs[:, 0].copy(), pairs[:, 1].copy())
+        head = np.repeat(first, size)
+        least = -(-percent * (n[head] + n) // (100 + percent))
+        near = np.flatnonzero((cls[head] != cls) & (pos[head] <= n[head] - least) & (pos <= n - least))
+        if len(near):
+            pairs = np.unique(np.stack([cls[head[near]], cls[near]], 1), axis=0)
+            none = np.zeros(len(pairs), np.int64)
+            yield made(0, none.view(np.uint64), pairs[:, 0], pairs[:, 1], none, none)
         parted = first[salt[first] > 0]
         if len(parted):
-            yield made(2, token[parted], cls[parted], np.zeros(len(parted), np.int64))
-        # equal lists of unparted shingles are kept once, with their number
-        code = mix(cls.view(np.uint64))
-        total = np.add.reduceat(code, first)
-        single = (size >= 3) & (salt[first] == 0)
-        names = np.stack([total[single], size[single].astype(np.uint64)], 1)
-        _, one, times = np.unique(names, axis=0, return_index=True, return_counts=True)
-        chosen = np.zeros(len(first), np.int64)
-        chosen[np.flatnonzero(single)[one]] = times
-        chosen[salt[first] > 0] = 1
-        weight = np.repeat(chosen, size)
+            yield made(2, token[parted], cls[parted], parted * 0, n[parted], pos[parted])
+        # equal lists of unparted shingles are kept once, by their earliest shingle and with their number
+        total = np.add.reduceat(mix(cls.view(np.uint64)), first)
+        whole = np.flatnonzero((size >= 3) & (salt[first] == 0))
+        by = whole[np.lexsort((pos[first[whole]], size[whole], total[whole]))]
+        new = np.flatnonzero(np.r_[True, ~(same(total[by]) & same(size[by]))]) if len(by) else by
+        times = np.zeros(len(first), np.int64)
+        times[by[new]] = np.diff(np.r_[new, len(by)])
+        times[salt[first] > 0] = 1
+        weight = np.repeat(times, size)
         post = weight > 0
         if post.any():
-            yield made(1, token[post], cls[post], weight[post])
+            yield made(1, token[post], cls[post], weight[post], n[post], pos[post])
 
-    packed = docs.select("text").mapInArrow(postings, "bucket int, tokens binary, classes binary, salts binary")
-    return packed.repartition(buckets // 4, "bucket").mapInArrow(merged, "kind int, token long, a long, b long")
+    packed = docs.select("text").mapInArrow(postings, "bucket int, tokens binary, classes binary, sizes binary, places binary, salts binary")
+    return packed.repartition(buckets // 4, "bucket").mapInArrow(merged, "kind int, token long, a long, b long, n long, pos long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -316,6 +340,8 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80)
         buckets = 4 * max(shuffle_partitions(spark), math.ceil(1.5 * share * shingles_in_all / 4e6))
         more_than = max(FREQUENT, math.ceil(1.5 * share * shingles_in_all / MAX_FREQUENT))
         frequent = _frequent(docs, shingle, percent, buckets, more_than)
+        if len(frequent[0]):
+            frequent = _frequent(docs, shingle, percent, buckets, more_than, frequent)
         lists = written(_lists(docs, shingle, percent, buckets, frequent), "lists")
         edges = _links(lists, docs, nodes, shingle, percent)
     if edges is None:
@@ -332,27 +358,23 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80)
 
 def _links(lists: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between classes, enough of them to join all that are linked."""
-    sizes = nodes.select("cls", "n")
-    size_a, size_b = sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb"))
-    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    heads = lists.where("kind = 2").select("token", "a")
-    tops = heads.groupBy("token").agg(F.min("a").alias("top"))
-    across = heads.join(tops, "token").where("a <> top").select(F.col("top").alias("a"), F.col("a").alias("b"))
-    pairs = lists.where("kind = 0").select("a", "b").union(across).distinct()
-    pairs = written(pairs.join(size_a, "a").join(size_b, "b").where(fits).select("a", "b"), "pairs")
+    least = f"(({percent} * (na + nb) + {99 + percent}) div {100 + percent})"
+    near = f"pa <= na - {least} and pb <= nb - {least}"
+    heads = lists.where("kind = 2").select("token", "a", F.col("n").alias("na"), F.col("pos").alias("pa"))
+    tops = heads.groupBy("token").agg(F.min(F.struct("pa", "a", "na")).alias("top")).select("token", "top.*")
+    across = heads.select("token", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("pa").alias("pb")).join(tops, "token").where(f"a <> b and {near}").select("a", "b")
+    pairs = written(lists.where("kind = 0").select("a", "b").union(across).distinct(), "pairs")
     edges = written(_verified(pairs, docs, nodes, k, percent).select("a", "b"), "links")
-    # Second look: pairs between components that no list's first member has covered.
-    parts = components(edges)
-    posts = lists.where("kind = 1").select("token", F.col("a").alias("cls"), F.col("b").alias("times")).join(sizes, "cls")
-    posts = posts.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "times", "n", F.coalesce("component", "cls").alias("component"))
+    # Second look: pairs between components that no list's head has covered.
+    parts = components(edges).withColumnRenamed("node", "a")
+    posts = lists.where("kind = 1").join(parts, "a", "left").withColumn("component", F.coalesce("component", "a"))
     mixed = posts.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     posts = written(posts.join(mixed, "token"), "postings")
-    x = posts.select("token", "times", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = posts.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    met = x.join(y, "token").where(f"a < b and ca <> cb and {fits}").groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("shared"))
-    prefix = lambda n: f"({n} - ({percent} * {n} + 99) div 100 + 1)"
-    enough = f"shared >= ({percent} * (na + nb) + {99 + percent}) div {100 + percent} - greatest(na - {prefix('na')}, nb - {prefix('nb')})"
-    more = written(met.where(enough).select("a", "b").join(pairs, ["a", "b"], "left_anti"), "more")
+    x = posts.select("token", "a", F.col("b").alias("times"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
+    y = posts.select("token", F.col("a").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
+    more = x.join(y, "token").where(f"a < b and ca <> cb and {near}").select("a", "b").distinct()
+    seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = written(more.join(seen, ["a", "b"], "left_anti"), "more")
     if more.isEmpty():
         return edges
     return edges.union(_verified(more, docs, nodes, k, percent).select("a", "b"))
