@@ -1,6 +1,316 @@
-"""All queries of the library by name, with their SQL."""
+"""All queries of the library by name, each with DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import analysis, corpus, facts
+from ..sources import corpus_tables as src
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str):
+    """Register a query under its function's name."""
+
+    def put(f):
+        QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
+        return f
+
+    return put
+
+
+def _corpus(select: str) -> str:
+    joint = "," if select.startswith("pub ") else ""
+    return f"with {src.CORPUS_SQL.strip()}{joint} {select}"
+
+
+def _facts(select: str) -> str:
+    return f"with {src.FACTS_SQL.strip()}, {select}"
+
+
+_PUB = "pub as (select * from manifest where origin = 'public_original')"
+_NORM = "case when path like '../%' then 'corpus/' || substr(path, 4) else 'corpus/files/' || path end"
+_STATUS = f"""{_PUB}, classified as (
+  select p.*, case when p.path like '../%' then 'rejected_path' when s.sha256 = p.sha256 then 'current' when l.sha256 is null then 'not_landed' when l.sha256 <> p.sha256 then 'mismatch' when s.sha256 is null then 'new' else 'replaced' end as status
+  from pub p left join store s using (path) left join landed l using (path))"""
+
+
+def _public(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.origin_filter(src.manifest(spark, sf_dir))
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.classify(_public(spark, sf_dir), src.store(spark, sf_dir), src.landed(spark, sf_dir))
+
+
+@query(_corpus("select id, origin, path, url, sha256 from manifest"))
+def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = src.scratch(spark, "manifest")
+    src.manifest(spark, sf_dir).select("id", "origin", "path", "url", "sha256").write.json(path)
+    return src.manifest_scan(spark, path, multi_line=False)
+
+
+@query(_corpus(f"{_PUB} select id, path, sha256 from pub"))
+def origin_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _public(spark, sf_dir).select("id", "path", "sha256")
+
+
+@query(_corpus(f"{_PUB} select id, {_NORM} as norm_path from pub"))
+def normalize_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.normalize_path(_public(spark, sf_dir)).select("id", "norm_path")
+
+
+@query(_corpus(f"{_PUB} select id, path from pub where path like '../%'"))
+def reject_escaping_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.reject_escaping_paths(_public(spark, sf_dir))[1].select("id", "path")
+
+
+@query("select doc_id, sha256(text) as sha256 from documents")
+def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.fingerprint(src.table(spark, sf_dir, "documents"), "text").select("doc_id", "sha256")
+
+
+@query(_corpus(f"{_PUB} select p.id, case when s.sha256 is null then 'absent' when s.sha256 = p.sha256 then 'current' else 'stale' end as state from pub p left join store s using (path)"))
+def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.freshness(_public(spark, sf_dir), src.store(spark, sf_dir)).select("id", "state")
+
+
+@query(_corpus(f"{_PUB} select id, path from pub p where not exists (select 1 from store s where s.path = p.path and s.sha256 = p.sha256)"))
+def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.pending(_public(spark, sf_dir), src.store(spark, sf_dir)).select("id", "path")
+
+
+@query(_corpus(f"{_STATUS} select id, path, status from classified"))
+def corpus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir).select("id", "path", "status")
+
+
+@query(_corpus(f"{_STATUS} select coalesce(s.path, c.path) as path, coalesce(c.sha256, s.sha256) as sha256 from store s full join (select path, sha256 from classified where status in ('new', 'replaced')) c on s.path = c.path"))
+def verified_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.verified_replace(_classified(spark, sf_dir), src.store(spark, sf_dir))
+
+
+@query(_corpus(f"{_STATUS} select id, status || ': ' || path as error from classified where status in ('rejected_path', 'not_landed', 'mismatch')"))
+def dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.dead_letter(_classified(spark, sf_dir))
+
+
+@query(_corpus(f"{_STATUS} select status, count(*) as n from classified group by status"))
+def run_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.run_outcome(_classified(spark, sf_dir))
+
+
+@query(_facts("""need as (select document, name, period from facts where period not like '%Q%'), have as (select document, name, period from facts where period not like '%Q%' and substr(document, 2)::bigint % 7 <> 0)
+select n.document as "group", count(h.name) = count(*) as ready, coalesce(string_agg(n.name || '/' || n.period, ',' order by n.name || '/' || n.period) filter (where h.name is null), '') as missing
+from need n left join have h using (document, name, period) group by 1"""))
+def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required: every annual fact of an entity; present: those of entities that were delivered."""
+    annual = src.facts(spark, sf_dir).where("period not like '%Q%'").select(F.col("document").alias("group"), F.concat_ws("/", "name", "period").alias("path"))
+    present = annual.where("cast(substring(`group`, 2) as bigint) % 7 <> 0")
+    return corpus.completeness(annual, present).select("group", "ready", F.array_join("missing_paths", ",").alias("missing"))
+
+
+@query(_facts("d as (select * from facts) select document, name, value, unit, period, page, sha256(document) as pdf_sha256, 'https://example.org/' || document as url from d"))
+def fact_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts are written as nested files of one document each and read back flat."""
+    path = src.scratch(spark, "facts")
+    rows = src.facts(spark, sf_dir).groupBy("document").agg(F.collect_list(F.struct("document", "name", "value", "unit", "period", "page")).alias("upstream_reference"))
+    nested = rows.select(F.lit("facts").alias("description"), F.sha2("document", 256).alias("pdf_sha256"), F.concat(F.lit("https://example.org/"), "document").alias("url"), "upstream_reference")
+    nested.write.json(path)
+    return src.fact_scan(spark, path, multi_line=False)
+
+
+def _faulty(select: str) -> str:
+    return f"with {src.FAULTY_SQL.strip()}, parsed as (select *, try_cast(value as decimal(24,4)) as amount, try_cast(regexp_extract(period, '^(\\d{{4}})(-Q[1-4])?$', 1) as int) as year, try_cast(regexp_extract(period, '^\\d{{4}}-Q([1-4])$', 1) as int) as quarter from faulty) {select}"
+
+
+@query(_faulty("select document, name, period, amount, amount is not null as ok from parsed"))
+def parse_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.parse_value(src.faulty_facts(spark, sf_dir)).select("document", "name", "period", "amount", "ok")
+
+
+@query(_faulty("select document, name, period, year, quarter, case when year is null then null when quarter is null then 'annual' else 'quarter' end as grain, coalesce(4 * year + quarter, year) as period_index from parsed"))
+def parse_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.parse_period(src.faulty_facts(spark, sf_dir)).select("document", "name", "period", "year", "quarter", "grain", "period_index")
+
+
+@query(_faulty("select name, string_agg(distinct unit, ',' order by unit) as units from parsed group by name having count(distinct unit) > 1"))
+def unit_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.unit_consistency(src.faulty_facts(spark, sf_dir))
+
+
+@query(_faulty("select document, name, period, count(*) as n, count(distinct amount) as n_amounts, case when count(distinct amount) > 1 then 'conflict' else 'duplicate' end as kind from parsed where amount is not null and year is not null group by 1, 2, 3 having count(*) > 1"))
+def fact_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.fact_conflicts(facts.parsed(src.faulty_facts(spark, sf_dir)))
+
+
+def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.parsed(src.facts(spark, sf_dir))
+
+
+@query(_facts("w as (select 'S' || e as document, y::varchar as period, revenue, net_profit_parent, operating_cash_flow, assets_total, equity_parent, eps_basic from yf) select * from w"))
+def pivot_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.pivot_facts(_clean(spark, sf_dir).where("grain = 'annual'"), ("revenue", "net_profit_parent", "operating_cash_flow", "assets_total", "equity_parent", "eps_basic"))
+
+
+@query(_facts("u as (select document, name, period, value::decimal(24,4) as value from facts where period in ('1998', '1999', '2000')) select * from u"))
+def unpivot_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annual statements with a column a year, back to a row a period."""
+    years = ["1998", "1999", "2000"]
+    wide = _clean(spark, sf_dir).where(F.col("period").isin(years)).groupBy("document", "name").pivot("period", years).agg(F.first("amount"))
+    return facts.unpivot_statement(wide, ["document", "name"], years)
+
+
+_PARSED = "f as (select *, value::decimal(24,4) as amount, substr(period, 1, 4)::int as year, try_cast(substr(period, 7) as int) as quarter from facts)"
+_ROLLUP = f"""{_PARSED}, ru as (select document, name, year, cast(sum(amount) filter (where quarter is not null) as decimal(24,4)) as sum_q, count(distinct quarter) as n_q, max(amount) filter (where quarter is null) as annual
+ from f where name in ('revenue', 'net_profit_parent', 'operating_cash_flow') group by 1, 2, 3),
+ rollup_ as (select *, case when n_q = 4 then cast(sum_q - annual as decimal(24,4)) end as diff, case when n_q < 4 then 'incomplete' when annual is null then 'no_annual' when abs(sum_q - annual) > 0 then 'mismatch' else 'ok' end as status from ru)"""
+
+
+@query(_facts(f"{_ROLLUP} select document, name, year, sum_q, n_q, annual, diff, status from rollup_"))
+def quarter_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.quarter_rollup(_clean(spark, sf_dir))
+
+
+@query(_facts("m as (select 'S' || s_suppkey as document, sha256(s_name) as sha256, 'https://example.org/' || s_suppkey as url from supplier where s_suppkey % 9 <> 0) select f.document, name, period, value, sha256, url from facts f join m using (document)"))
+def trace_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.trace_source(src.facts(spark, sf_dir), _suppliers(spark, sf_dir))[0].select("document", "name", "period", "value", "sha256", "url")
+
+
+@query(_facts("o as (select document, name, period from facts where substr(document, 2)::bigint % 9 = 0) select * from o"))
+def orphan_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.trace_source(src.facts(spark, sf_dir), _suppliers(spark, sf_dir))[1].select("document", "name", "period")
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = src.table(spark, sf_dir, "supplier").where("s_suppkey % 9 <> 0")
+    return rows.select(F.expr("concat('S', s_suppkey)").alias("id"), F.sha2("s_name", 256).alias("sha256"), F.expr("concat('https://example.org/', s_suppkey)").alias("url"))
+
+
+_VERIFY = """a as (select document, name, period, value::decimal(24,4) as want, unit from facts where name = 'revenue' and period like '%Q%'), e0 as (select *, substr(document, 2)::bigint as e from a),
+x as (select document, name, period, cast(case when e % 13 = 0 then want + 1 else want end as decimal(24,4)) as got, case when e % 29 = 0 then '%' else unit end as unit from e0 where e % 17 <> 0
+ union all select 'S' || (100000 + e), name, period, want, unit from e0 where e % 19 = 0),
+v as (select coalesce(x.document, a.document) as document, coalesce(x.name, a.name) as name, coalesce(x.period, a.period) as period, got, want,
+ case when x.document is null then 'missing' when a.document is null then 'unexpected' when x.unit is distinct from a.unit then 'unit_mismatch' when abs(got - want) <= 0 then 'match' else 'mismatch' end as status
+ from x full join a on x.document = a.document and x.name = a.name and x.period = a.period)"""
+
+
+@query(_facts(f"{_VERIFY} select * from v"))
+def verify_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted quarterly revenue with known errors, against the answers."""
+    answers = facts.parse_value(src.facts(spark, sf_dir).where("name = 'revenue' and period like '%Q%'"))
+    e = F.expr("cast(substring(document, 2) as bigint)")
+    shifted = answers.where(e % 17 != 0).withColumn("amount", F.when(e % 13 == 0, F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(24,4)")).withColumn("unit", F.when(e % 29 == 0, "%").otherwise(F.col("unit")))
+    copies = answers.where(e % 19 == 0).withColumn("document", F.concat(F.lit("S"), (e + 100000).cast("string")))
+    return facts.verify_facts(shifted.unionByName(copies), answers)
+
+
+@query("""with s as (select source as kind, case when doc_id % 3 = 0 then 'b' else 'a' end as split, quality = 1 as ok from labels join documents using (doc_id)),
+g as (select kind, split, count(*) as n, sum(ok::int)::bigint as passed from s group by 1, 2), h as (select *, passed::double / n as p, n::double as m from g)
+select kind, split, n, passed, round(p, 6) as rate,
+ round(least(greatest((p + 3.8416e0 / (2 * m) - 1.96e0 * sqrt(p * (1 - p) / m + 3.8416e0 / (4 * m * m))) / (1 + 3.8416e0 / m), 0e0), 1e0), 6) as lo,
+ round(least(greatest((p + 3.8416e0 / (2 * m) + 1.96e0 * sqrt(p * (1 - p) / m + 3.8416e0 / (4 * m * m))) / (1 + 3.8416e0 / m), 0e0), 1e0), 6) as hi from h""")
+def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = src.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("kind"), F.expr("if(doc_id % 3 = 0, 'b', 'a')").alias("split"))
+    return facts.scorecard(src.table(spark, sf_dir, "labels").join(docs, "doc_id").withColumn("passed", F.col("quality") == 1))
+
+
+@query(_corpus("select source, origin, count(*) as n from manifest group by rollup (source, origin)"))
+def source_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.source_groups(src.manifest(spark, sf_dir))
+
+
+_SPLIT = "case when ('0x' || substr(sha256(source), 1, 8))::bigint % 100 < 20 then 'holdout' else 'tuning' end"
+
+
+@query(_corpus(f"select id, source, {_SPLIT} as split from manifest"))
+def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.holdout_split(src.manifest(spark, sf_dir)).select("id", "source", "split")
+
+
+@query(_corpus(f"select id, source, true as same_content, false as same_source from manifest where {_SPLIT} = 'holdout' and sha256 in (select sha256 from manifest where {_SPLIT} = 'tuning')"))
+def holdout_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.holdout_leaks(corpus.holdout_split(src.manifest(spark, sf_dir)))
+
+
+def _reason(name: str, pattern: str) -> str:
+    return f"case when regexp_matches(text, '{pattern}') then '{name}' end"
+
+
+_REASONS = ", ".join(["case when source is null then 'no_source' end", f"case when not regexp_matches(text, '{corpus.LICENCE}') then 'no_licence' end", "case when length(text) < 100 or length(text) > 20000 then 'size' end", *(_reason(n, p) for n, p in corpus.PRIVATE.items())])
+
+
+@query(f"select doc_id, reasons = '' as admitted, reasons from (select doc_id, concat_ws(',', {_REASONS}) as reasons from documents)")
+def admission_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.admission_gate(src.table(spark, sf_dir, "documents"))
+
+
+@query(_facts(f"""{_PARSED}, i as (select document, name, case when quarter is null then 'annual' else 'quarter' end as grain, period, amount, coalesce(4 * year + quarter, year) as ix from f),
+g as (select *, lag(amount) over w as prior0, ix - lag(ix) over w <> 1 as gap from i window w as (partition by document, name, grain order by ix)),
+h as (select *, case when prior0 is null then 'first' when gap then 'gap' when prior0 = 0 then 'zero_base' when prior0 < 0 then 'negative_base' end as flag from g)
+select document, name, grain, period, amount, case when flag is null or flag in ('zero_base', 'negative_base') then prior0 end as prior, case when flag is null then round(amount::double / nullif(prior0::double, 0) - 1, 6) end as growth, flag from h"""))
+def growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.growth(_clean(spark, sf_dir).where("name <> 'eps_basic'"))
+
+
+ORACLE["growth"] = ORACLE["growth"].replace("from f),", "from f where name <> 'eps_basic'),", 1)
+
+_RATIO = """rt as (select 'S' || e as document, y::varchar as period, round(net_profit_parent::double / nullif(revenue::double, 0), 6) as net_margin, round(operating_cash_flow::double / nullif(net_profit_parent::double, 0), 6) as cash_conversion,
+round(equity_parent::double / nullif(assets_total::double, 0), 6) as equity_ratio, null::decimal(24,4) as non_recurring,
+round(net_profit_parent::double / ((equity_parent::double + (case when lag(y) over w = y - 1 then lag(equity_parent) over w end)::double) / 2), 6) as mean_equity_return
+from yf window w as (partition by e order by y))"""
+
+
+@query(_facts(f"{_RATIO} select * from rt"))
+def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.ratios(_clean(spark, sf_dir))
+
+
+ASSUMPTIONS = [("low", 0.02), ("high", 0.05)]
+_BASE = "b as (select 'S' || e as document, revenue::double as v from yf where y = 2000), s as (select * from (values ('low', 0.02e0), ('high', 0.05e0)) t(scenario, g)), pj as (select document, scenario, g, t::int as t, v * pow(1 + g, t) as projected from b, s, range(1, 6) r(t))"
+
+
+def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clean(spark, sf_dir).where("name = 'revenue' and period = '2000'").select("document", F.col("amount").alias("value"))
+
+
+@query(_facts(f"{_BASE} select document, scenario, g, t, round(projected, 2) as projected from pj"))
+def project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.project(_base(spark, sf_dir), ASSUMPTIONS, 5).select("document", "scenario", "g", "t", F.round("projected", 2).alias("projected"))
+
+
+_PV = "pv as (select document, scenario, round(sum(projected / pow(1.08e0, t)) + arg_max(projected, t) * 1.01e0 / (0.08e0 - 0.01e0) / pow(1.08e0, 5), 2) as present_value, null::varchar as flag from pj group by 1, 2)"
+
+
+@query(_facts(f"{_BASE}, {_PV} select * from pv"))
+def present_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.present_value(analysis.project(_base(spark, sf_dir), ASSUMPTIONS, 5), 0.08, 0.01)
+
+
+GRID = [(g, r, e) for g in (0.02, 0.05) for r in (0.08, 0.10, 0.12) for e in (0.01, 0.02)]
+
+
+@query(_facts(f"""b as (select 'S' || e as document, revenue::double as v from yf where y = 2000), k as (select * from (values {", ".join(f"({g}e0, {r}e0, {e}e0)" for g, r, e in GRID)}) t(g, r, e)),
+c as (select document, v * (list_sum(list_transform(range(1, 6), lambda t: pow((1 + g) / (1 + r), t))) + pow((1 + g) / (1 + r), 5) * (1 + e) / (r - e)) as pv from b, k)
+select document, round(min(pv), 2) as least, round(quantile_cont(pv, 0.5), 2) as median, round(max(pv), 2) as most, count(*) as cells from c group by 1"""))
+def sensitivity_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.sensitivity_grid(_base(spark, sf_dir), GRID, 5)
+
+
+@query(_facts("mv as (select 'S' || e as document, y::varchar as period, multiple_name, cast(eps_basic * multiple as decimal(24,4)) as price from yf, (values ('low', 8), ('high', 15)) t(multiple_name, multiple)) select * from mv"))
+def multiple_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.multiple_value(_clean(spark, sf_dir), [("low", 8), ("high", 15)])
+
+
+@query(_facts(f"""{_ROLLUP}, {_BASE}, {_PV}, {_RATIO},
+n as (select document, count(*) as n_facts, max(year) as last_year from f group by 1), ck as (select document, count(*) filter (where status = 'ok') as a, count(*) filter (where status <> 'ok') as z from rollup_ group by 1),
+rr as (select document, arg_max(net_margin, period) as net_margin from rt group by 1), vv as (select document, max(present_value) as best from pv group by 1)
+select document, '{{"n_facts":' || n_facts || ',"last_year":' || last_year || ',"checks_ok":' || a || ',"checks_other":' || z || case when net_margin is null then '' else ',"net_margin":"' || net_margin || '"' end || case when best is null then '' else ',"best_value":"' || best::decimal(24,2) || '"' end || '}}' as report
+from n left join ck using (document) left join rr using (document) left join vv using (document)"""))
+def entity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _clean(spark, sf_dir)
+    values = analysis.present_value(analysis.project(_base(spark, sf_dir), ASSUMPTIONS, 5), 0.08, 0.01)
+    return analysis.entity_report(rows, facts.quarter_rollup(rows), analysis.ratios(rows), values)
