@@ -10,6 +10,7 @@ leading space; runs of more than STRETCH bytes are scored stretch by stretch.
 from __future__ import annotations
 
 import base64
+import functools
 import re
 from collections.abc import Iterator
 
@@ -75,6 +76,13 @@ class Vocabulary:
         return out
 
 
+@functools.cache
+def _vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a file, made once in a worker process."""
+    with np.errstate(over="ignore"):
+        return Vocabulary(path)
+
+
 def _edges(vocabulary: Vocabulary, words: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """(begin, end, rows, pieces) of the pieces in equally long words (a row each)."""
     n = words.shape[1]
@@ -251,7 +259,7 @@ def train(labelled: DataFrame, *, train_docs: int = TRAIN_DOCS, vocabulary: str
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("key", kind="stable").head(train_docs)
         with np.errstate(over="ignore"):
-            p = learned_pieces(group["text"].tolist(), Vocabulary(path))
+            p = learned_pieces(group["text"].tolist(), _vocabulary(path))
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "p": [p.astype(np.float64).tobytes()]})
 
     rows = sample.groupBy("lang").applyInPandas(learn, "lang string, p binary").collect()
@@ -275,7 +283,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, vocabulary
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, probability = shared.value
         with np.errstate(over="ignore"):
-            scorer = Scorer(Vocabulary(path), probability) if languages else None
+            scorer = Scorer(_vocabulary(path), probability) if languages else None
             for batch in batches:
                 texts = batch.column(at).to_pylist()
                 clear = np.array([bool(t and _LETTER.search(t)) for t in texts], bool)

@@ -11,6 +11,7 @@ out beating the incumbent, which best-fit decreasing provides at first.
 from __future__ import annotations
 
 import base64
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +25,8 @@ from .store import written
 CAPACITY = 2048
 #: Search nodes and alternative fillings a node; the incumbent stands when they are used up.
 NODES, WIDTH = 40, 4
+#: Lengths, spread over all, that are tried before all; steps of one enumeration.
+FEW, STEPS = 96, 20_000
 #: Pieces of one length that are ranked together, about.
 RANKED = 20_000
 
@@ -67,7 +70,8 @@ def fillings(counts: dict[int, int], room: int, width: int) -> list[tuple[int, .
 
     A filling is dominated when a piece left out could take the place of one or two
     that are in. One piece or two that fill the room exactly are the only answer;
-    else the sums within reach say how full it gets.
+    else the sums within reach say how full it gets: of a few lengths if those fill
+    it, else of all.
     """
     sizes = [s for s in sorted(counts) if s <= room and counts[s]]
     if not sizes:
@@ -79,38 +83,45 @@ def fillings(counts: dict[int, int], room: int, width: int) -> list[tuple[int, .
             break
         if counts.get(room - s) and (2 * s > room or counts[s] > 1):
             return [(s, room - s)]
-    mask = (1 << (room + 1)) - 1
-    reach = [1]
-    for s in sizes:
-        bits, left, step = reach[-1], min(counts[s], room // s), 1
-        while left > 0:
-            take = min(step, left)
-            bits |= (bits << (s * take)) & mask
-            left -= take
-            step *= 2
-        reach.append(bits)
+    few = sizes[-1 :: -max(1, len(sizes) // FEW)][::-1]
+    reach = _reach(few, counts, room)
+    if not reach[-1] >> room & 1 and len(few) < len(sizes):
+        few, reach = sizes, _reach(sizes, counts, room)
     out: list[tuple[int, ...]] = []
     target = reach[-1].bit_length() - 1
-    while target > 0 and len(out) < width:
-        stack = [(len(sizes), target, ())]
-        while stack and len(out) < width:
+    steps = 0
+    while target > 0 and len(out) < width and steps < STEPS:
+        stack = [(len(few), target, ())]
+        while stack and len(out) < width and steps < STEPS:
+            steps += 1
             i, need, chosen = stack.pop()
             if need == 0:
-                if not _dominated(chosen, room - target, counts, sizes):
+                if not out or not _dominated(chosen, room - target, counts, sizes):
                     out.append(chosen)
                 continue
-            if i == 0:
-                continue
-            s = sizes[i - 1]
+            s = few[i - 1]
             for k in range(min(counts[s], need // s) + 1):
                 if reach[i - 1] >> (need - k * s) & 1:
                     stack.append((i - 1, need - k * s, (*chosen, *(s,) * k)))
         target = (reach[-1] & ((1 << target) - 1)).bit_length() - 1
-        if out and len(out) >= width // 2:
-            break
     return out or [()]
 
 
+def _reach(sizes: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """For each number of sizes, the sums that those make, as the bits of an integer."""
+    mask = (1 << (room + 1)) - 1
+    reach = [1]
+    for s in sizes:
+        bits, left, step = reach[-1], min(counts[s], room // s), 1
+        while left > 0:
+            take = min(step, left)
+            bits |= (bits << (s * take)) & mask
+            left -= take
+            step *= 2
+        reach.append(bits)
+    return reach
+
+
 def _dominated(chosen: tuple[int, ...], waste: int, counts: dict[int, int], sizes: list[int]) -> bool:
     if not waste:
         return False
@@ -174,14 +185,15 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, *, nodes: i
     return best
 
 
-class _Tokens:
-    def __init__(self, path: str):
-        import public_tokenizers
-        import tiktoken
+@functools.cache
+def _encoder(path: str):
+    """The encoder of a vocabulary file, made once in a worker process."""
+    import public_tokenizers
+    import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, *, vocabulary: str | None = None) -> DataFrame:
@@ -193,7 +205,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, *, vocabulary: str | None
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _Tokens(path).encode
+        encode = _encoder(path)
         for batch in batches:
             index, rows = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
