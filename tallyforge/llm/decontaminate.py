@@ -1,7 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-The word n-grams of benchmark items are counted over the corpus, and each item's
-rarer half seeds it: the seeds join passages of documents to items. Around its seeds
+The word n-grams of benchmark items are counted over the corpus. Those in few
+documents, and of each item's others the rarer half, are its seeds: they join
+passages of documents to items, however often a passage is repeated. Around its seeds
 a passage is aligned with the item word by word; local alignment bridges changed,
 added and missing words, so edited copies score nearly as high as exact ones.
 """
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from .shingles import _STEP, _chunks, mix, word_hashes
 
 _GAPS = ~np.isin(np.arange(256), np.r_[48:58, 65:91, 97:123, 128:256])
+#: Share of documents up to which an n-gram is rare.
+COMMON = 1e-3
 #: Words of a seed; alignment scores; share of an item's best score that is a leak.
 SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -67,7 +70,7 @@ def alignment(passage: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
 class _Items:
     """The words and seeds of benchmark items, looked up by seed."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], n: int, df: dict[int, int] | None = None):
+    def __init__(self, items: list[tuple[int, np.ndarray]], n: int, df: dict[int, int] | None = None, common: float = 0):
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
         self.whole = {}
@@ -81,7 +84,8 @@ class _Items:
             keep = np.ones(len(grams), bool)
             if df is not None:
                 count = np.array([df.get(g, 0) for g in grams.tolist()])
-                keep = count <= np.median(count)
+                met = count > 0
+                keep = met & (count <= max(common, np.median(count[met]))) if met.any() else met
             seeds.append(grams[keep])
             owners.append(np.full(keep.sum(), k))
             places.append(np.flatnonzero(keep))
@@ -125,12 +129,9 @@ def _document_leaks(words: np.ndarray, items: _Items, n: int, least: float) -> l
         score = top[0] / (MATCH * len(item))
         if score >= least:
             found.append((items.ids[k], top[4], score, top[1] + top[3], top[2] + top[3]))
-    if items.whole:
-        for size in {len(w) // 8 for w in items.whole}:
-            for i in range(len(words) - size + 1):
-                k = items.whole.get(words[i : i + size].tobytes())
-                if k is not None and len(words) == size:
-                    found.append((items.ids[k], 1, 1.0, i, i + size))
+    whole = items.whole.get(words.tobytes())
+    if whole is not None:
+        found.append((items.ids[whole], 1, 1.0, 0, len(words)))
     return found
 
 
@@ -160,7 +161,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, seed_words: int = SEED_
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, item_id long, n_seeds long, score double, begin long, end long"
-    out = None
+    out, n_docs = None, docs.count()
     for block in _blocks(benchmark):
         every = np.unique(_Items(block, seed_words).seeds)
         asked = spark.sparkContext.broadcast(every)
@@ -180,7 +181,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, seed_words: int = SEED_
 
         counted = docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
         df = dict(zip(every[counted.column(0).to_numpy()].tolist(), counted.column(1).to_pylist(), strict=True))
-        shared = spark.sparkContext.broadcast(_Items(block, seed_words, df))
+        shared = spark.sparkContext.broadcast(_Items(block, seed_words, df, COMMON * n_docs))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -46,8 +46,8 @@ def balanced_map(loads: dict[int, int], shards: int, slots: int = SLOTS) -> dict
     return placed
 
 
-def rebalanced(placed: dict[int, int], loads: dict[int, int], shards: int) -> dict[int, int]:
-    """The map edited for new loads or more shards: slots only leave shards above the mean, for the lightest shard, while that narrows the gap."""
+def rebalanced(placed: dict[int, int], loads: dict[int, int], shards: int, into: set[int] | None = None) -> dict[int, int]:
+    """The map edited for new loads or more shards: slots leave the heaviest shard for the lightest (of ``into``, if given) while that narrows the gap."""
     placed = dict(placed)
     total = dict.fromkeys(range(shards), 0)
     held: dict[int, list[tuple[int, int]]] = {s: [] for s in range(shards)}
@@ -59,7 +59,7 @@ def rebalanced(placed: dict[int, int], loads: dict[int, int], shards: int) -> di
     moved = True
     while moved:
         moved = False
-        light = min(total, key=lambda s: (total[s], s))
+        light = min(into or total, key=lambda s: (total[s], s))
         heavy = max(total, key=lambda s: (total[s], -s))
         gap = total[heavy] - total[light]
         for i, (load, slot) in enumerate(held[heavy]):

@@ -1,0 +1,391 @@
+"""The training-data operators against brute force, exact round trips and held-out labels, and on edge rows."""
+
+import hashlib
+import html
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from compare import assert_same, database
+
+from tallyforge.llm import decontaminate, html_extract, jaccard_join, langid, packing, pii, queries, sharding, spotsigs, store, url_reputation, warc
+
+SF = "/root/testdata/sf0.001"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@pytest.fixture(scope="module")
+def con():
+    return database(SF)
+
+
+@pytest.fixture(scope="module")
+def texts(con):
+    return dict(con.execute("select doc_id, text from documents").fetchall())
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows and columns whose names operators use themselves."""
+    base = "one two three four five six seven eight nine ten eleven twelve. "
+    long = "".join(f"word{i} " for i in range(60_000))
+    rows = [(1, None), (2, ""), (3, " \t\n"), (4, base * 3), (4, base * 3), (5, base * 3 + "more"), (None, base), (6, long), (7, "x" * 30_000), (8, "Ünïcode ÄÖ 日本語 text"), (9, None)]
+    return spark.createDataFrame([(*r, 1, 2, "s") for r in rows], "doc_id long, text string, n long, cls long, lang_pred string")
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def word_sets(texts, k):
+    out = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        out[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    return out
+
+
+def groups_of(sets, percent):
+    lists, label = defaultdict(list), {i: i for i in sets}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, s in sets.items():
+        shared = Counter(j for x in s for j in lists[x])
+        for j, n in shared.items():
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                label[b] = a
+        for x in s:
+            lists[x].append(i)
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
+def test_jaccard_join_equals_brute_force(spark, texts, k, percent):
+    got = jaccard_join.jaccard_components(spark.read.parquet(f"{SF}/documents.parquet"), shingle=k, percent=percent).collect()
+    sets = word_sets(texts, k)
+    assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len(s) for i, s in sets.items()}
+    assert {r["doc_id"]: r["component_id"] for r in got} == groups_of(sets, percent)
+
+
+def test_jaccard_join_on_a_family_of_edited_copies(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = {}
+    for i in range(260):
+        words = list(base)
+        for at in rng.integers(0, 120, rng.integers(0, 9)):
+            words[at] = f"e{i}_{at}"
+        rows[i] = " ".join(words)
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs, shingle=4, percent=85).collect()}
+    assert got == groups_of(word_sets(rows, 4), 85)
+
+
+def test_divide_skip_equals_counting():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        q = np.unique(rng.integers(0, 60, 40).astype(np.uint64))
+        cs = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in rng.integers(5, 60, 30)]
+        for percent in (50, 70, 85):
+            want = [(i, n) for i, c in enumerate(cs) if 100 * (n := len(np.intersect1d(q, c))) >= percent * len(np.union1d(q, c))]
+            assert jaccard_join.divide_skip(q, cs, percent) == want
+
+
+def test_jaccard_join_on_edge_rows(odd, none):
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(odd).collect()]
+    assert len(got) == odd.count()
+    assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 12, 4), (5, 13, 4), (None, 8, None), (9, 0, 9)} <= set(got)
+    assert jaccard_join.jaccard_components(none).count() == 0
+
+
+def test_url_filter_and_warc_equal_their_sql(spark, con):
+    for name, sql in queries.ORACLE.items():
+        assert_same(queries.QUERIES[name](spark, SF), con, sql)
+
+
+def test_url_rules_and_odd_urls(spark):
+    urls = ["http://A.Example.COM/de/x?y", "https://example.net/en/1", "https://m.example.net/fr/1", "no scheme", None, "http://example.org", "http://x.org/fr/1#a", "http://exampleXcom/de/", "s://h.co.uk:80/p"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    outcomes = spark.createDataFrame([(0, True), (None, False), (5, None)], "page_id long, good boolean")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_reputation.judge_urls(pages, outcomes, url_reputation.rules_frame(spark, queries.RULES)).collect()}
+    assert got[0] == ("a.example.com", "/de/x", "example.com/de/", "block")
+    assert got[1][2:] == ("example.net/en/", "allow") and got[2][2:] == ("net/", "block")
+    assert got[3][:3] == ("", "", None) and got[4][:3] == ("", "", None) and got[5][:3] == ("example.org", "", None)
+    assert got[6][2:] == ("org/fr/", "allow") and got[7][2] is None and got[8][0] == "h.co.uk:80"
+    assert url_reputation.judge_urls(pages.limit(0), outcomes, url_reputation.rules_frame(spark, queries.RULES)).count() == 0
+
+
+def test_host_reputation_shrinks_small_hosts(spark):
+    hosts = spark.createDataFrame([("a.x.com", 1000, 900), ("b.x.com", 1, 0), ("c.y.com", 1000, 100), ("d.y.com", 0, 0)], "host string, n long, k long")
+    got = {r["host"]: r for r in url_reputation.host_reputation(hosts).collect()}
+    assert got["a.x.com"]["bound"] > 0.85 and got["c.y.com"]["bound"] < 0.15
+    assert got["b.x.com"]["mean"] > got["d.y.com"]["mean"] > 0
+
+
+def test_leaks_are_found_and_clean_documents_left(spark, con, texts):
+    items = dict(con.execute("select item_id, text from benchmark").fetchall())
+    found = {r["doc_id"] for r in decontaminate.find_leaks(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    assert found == {i for i, t in texts.items() if any(b in t for b in items.values())}
+
+
+def test_edited_copies_of_items_leak(spark, texts):
+    items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog while seven wizards boil purple jugs of water near town"), (2, "tiny item"), (3, None), (None, "x y z"), (4, "")], "item_id long, text string")
+    docs = [(1, "before the quick red fox jumps over a lazy dog while seven old wizards boil purple jugs of water after"), (2, "nothing alike here at all"), (3, "Tiny, item!"), (4, "a tiny item inside"), (5, None), (6, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(frame, items).collect()}
+    assert set(got) == {(1, 1), (3, 2)} and 0.6 < got[1, 1]["score"] < 1 and got[1, 1]["begin"] == 1
+    assert decontaminate.find_leaks(frame.limit(0), items).count() == 0 and decontaminate.find_leaks(frame, items.limit(0)).count() == 0
+    assert sorted(r["doc_id"] for r in decontaminate.without_leaks(frame, items).collect()) == [2, 4, 5, 6]
+
+
+def test_alignment_equals_dynamic_programming():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        a, b = rng.integers(0, 6, rng.integers(1, 25)).astype(np.uint64), rng.integers(0, 6, rng.integers(1, 15)).astype(np.uint64)
+        h = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
+        assert decontaminate.alignment(a, b)[0] == h.max()
+
+
+def test_main_text_of_pages(spark, con):
+    want = {}
+    for i, page in con.execute("select page_id, html from pages").fetchall():
+        a = page[page.find("<article>") + 9 :]
+        a = a.split("</article>")[0].split("<footer")[0]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)[^>]*>", a)]
+        want[i] = "\n\n".join(b for b in blocks if b)
+    got = html_extract.extract_main_text(spark.read.parquet(f"{SF}/pages.parquet")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_main_text_without_an_article_element(spark):
+    words = "plain running words of the story that go on and on for a while "
+    page = f"<html><head><title>T</title></head><body><div class='menu'><a href=/>Home</a><a href=/>News</a></div><div id=story><h1>Head &amp; tail</h1><p>{words}<p>{words}<i>more</i><div class='advert'>Buy now</div><p>Last&nbsp;one</div><aside>See also</aside><div id=comments><p>{words * 3}</p></div><form><label>Name</label></form><script>x<y</script><div class='cookie-notice'>We use cookies</div></body></html>"
+    pages = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<p>"), (None, "u", "just text"), (5, "u", "<nav>a b c")], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(pages).collect()}
+    assert got[1] == "\n\n".join(["Head & tail", words.strip(), words + "more", "Last one"])
+    assert got[2] == got[3] == got[4] == "" and got[None] == "just text"
+    assert html_extract.extract_main_text(pages.limit(0)).count() == 0
+
+
+def luhn(s):
+    return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(s[::-1])) % 10 == 0
+
+
+def naive_spans(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    cards = [(m, re.sub("[ -]", "", m[0])) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t)]
+    out += [("card", *m.span()) for m, x in cards if 13 <= len(x) <= 19 and luhn(x)]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_base_spans_equal_the_patterns(texts):
+    rng = np.random.default_rng(2)
+    alphabet = list("ab1209.@-+_% ()é") + ["4111111111111111", "10.0.0.1", "x@y.zz"]
+    made = ["".join(rng.choice(alphabet, rng.integers(0, 60))) for _ in range(4000)]
+    for t in [*texts.values(), *made]:
+        assert pii.base_spans(t) == naive_spans(t), t
+
+
+def test_terms_that_disclose_are_generalised(spark, odd, none):
+    rows = [(i, f"filler words here then agent zanzibar wrote to secret@mail.example on {'abcdef'[i] * 4} of week") for i in range(6)] + [(100 + i, f"agent of plain words number day{i} wrote to week of filler here then on") for i in range(60)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string")
+    got = {r["doc_id"]: r for r in pii.find_personal_data(docs).collect()}
+    assert "zanzibar" not in got[0]["text"] and "[EMAIL]" in got[0]["text"] and "agent" in got[0]["text"]
+    assert all(got[100 + i]["text"] == rows[6 + i][1] for i in range(60)) and got[0]["base"] == f"email:{rows[0][1].index('secret')}:{rows[0][1].index(' on day')}"
+    edge = pii.find_personal_data(odd).collect()
+    assert len(edge) == odd.count() and all(r["spans"] == "" for r in edge if not r["text"])
+    assert pii.find_personal_data(none).count() == 0
+
+
+def test_shards_are_even_and_places_gapless(spark, texts, odd, none):
+    rows = sharding.shard_documents(spark.read.parquet(f"{SF}/documents.parquet"), 24).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {i: (len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in texts.items()}
+    by = defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r)
+    assert all(sorted(r["slot"] for r in x) == list(range(len(x))) for x in by.values())
+    sizes = [sum(r["size"] for r in x) for x in by.values()]
+    assert len(by) == 24 and max(sizes) - min(sizes) <= max(r["size"] for r in rows)
+    edge = sharding.shard_documents(odd, 3).collect()
+    assert len(edge) == odd.count() and all(r["size"] == 8 and r["text_crc32"] == 0 for r in edge if r["doc_id"] in (1, 2, 9))
+    assert sharding.shard_documents(none, 3).count() == 0
+
+
+def test_slot_map_versions_and_edits(spark):
+    loads = {s: 1 + s * 7919 % 100 for s in range(512)}
+    placed = sharding.balanced_map(loads, 4, 512)
+    grown = sharding.rebalanced(placed, loads, 5, {4})
+    assert all(grown[s] in (placed[s], 4) for s in placed)
+    sizes = Counter()
+    for s, shard in grown.items():
+        sizes[shard] += loads[s]
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(loads.values())
+    path = store.new_path(spark, "map")
+    sharding.write_map(spark, path, placed, 0)
+    sharding.write_map(spark, path, grown, 1)
+    assert sharding.read_map(spark, path, 0) == placed and sharding.read_map(spark, path, 1) == grown
+    with pytest.raises(Exception, match="exists"):
+        sharding.write_map(spark, path, placed, 1)
+
+
+def test_language_of_held_out_documents(spark, con):
+    sf = "/root/testdata/sf0.01"
+    truth = dict(database(sf).execute("select doc_id, lang from documents").fetchall())
+    rows = queries.op7_language_id(spark, sf).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.98
+
+
+def test_forward_sums_all_segmentations():
+    vocabulary = langid.Vocabulary(langid.default_vocabulary())
+    rng = np.random.default_rng(0)
+    p = rng.random((len(vocabulary.pieces), 2))
+    index = {b: i for i, b in enumerate(vocabulary.pieces)}
+
+    def total(word):
+        f = [np.ones(2)] + [np.zeros(2) for _ in word]
+        for j in range(1, len(word) + 1):
+            for i in range(max(0, j - langid.LONGEST_PIECE), j):
+                if word[i:j] in index:
+                    f[j] = f[j] + f[i] * p[index[word[i:j]]]
+        return f[-1]
+
+    for word in ("the", "über", "été", "zxq"):
+        got = langid.Scorer(vocabulary, p).texts([word])[0]
+        assert np.allclose(np.exp(got), total(b" " + word.encode()))
+
+
+def test_language_on_edge_rows(spark, odd, none):
+    model = langid.train(spark.createDataFrame([("aa", "some words here"), ("bb", "ganz andere worte"), (None, "x"), ("aa", None)], "lang string, text string"))
+    got = langid.identify(odd, model).collect()
+    assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert all((r["lang_pred"] == "und") == (not r["text"] or not r["text"].strip()) for r in got)
+    assert {r["lang_pred"] for r in langid.identify(odd, langid.train(none.select("lang", "text"))).collect()} == {"und"}
+
+
+def test_packing_round_trip(spark, texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    rows = packing.pack(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    of, seq = defaultdict(list), defaultdict(list)
+    for r in rows:
+        of[r["doc_id"]].append(r)
+        seq[r["sequence_id"]].append(r)
+    for i, text in texts.items():
+        ids, at = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4"), 0
+        for k, r in enumerate(sorted(of[i], key=lambda r: r["piece"])):
+            assert (r["piece"], r["start"]) == (k, at) and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            assert r["length"] == 2048 or k == 0
+            at += r["length"]
+        assert at == len(ids)
+    for x in seq.values():
+        at = 0
+        for r in sorted(x, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048
+    assert len(seq) <= -(-sum(r["length"] for r in rows) // 2048) + 1
+
+
+def test_packing_search_against_brute_force():
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        items = rng.integers(1, 12, rng.integers(1, 8)).tolist()
+        best = min(len(set(a)) for a in product(range(len(items)), repeat=len(items)) if all(sum(s for s, b in zip(items, a, strict=True) if b == k) <= 12 for k in set(a))) if len(items) < 6 else None
+        made = packing.pack_histogram(Counter(items), 12)
+        held = Counter()
+        for pattern, n in made:
+            assert sum(pattern) <= 12
+            for s in pattern:
+                held[s] += n
+        assert held == Counter(items) and (best is None or sum(n for _, n in made) == best)
+
+
+def test_packing_on_edge_rows(odd, none):
+    rows = packing.pack(odd).collect()
+    assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter(r["doc_id"] for r in odd.collect())
+    assert all(r["length"] == 1 for r in rows if r["doc_id"] in (1, 2, 9)) and packing.pack(none).count() == 0
+
+
+def test_archives_are_seekable(spark):
+    rows = [(i, f"http://h/{i} x\n", "é" * (700 if i % 3 else 20) + "<p>" * (i % 2)) for i in range(40)] + [(50, None, None), (None, "u", "text"), (39, "again", "é" * 20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = store.new_path(spark, "archive")
+    index = warc.write_bundles(pages, path, frame_bytes=4000, bundle_bytes=6000)
+    assert index.select("bundle").distinct().count() > 1
+    every = warc.read_bundles(index, path).collect()
+    assert sorted((r["page_id"] or -1, r["payload_digest"]) for r in every) == sorted((i or -1, hashlib.sha1((h or "").encode()).hexdigest()) for i, _, h in rows)
+    some = warc.fetch(index.where("page_id in (1, 3, 50)"), path).collect()
+    assert {r["page_id"]: r["payload_bytes"] for r in some} == {i: len((h or "").encode()) for i, _, h in rows if i in (1, 3, 50)}
+    assert all(bytes(r["payload"]).decode() == dict((i, h or "") for i, _, h in rows)[r["page_id"]] for r in some if r["record_type"] == "response")
+    assert warc.archive_pages(pages.limit(0)).count() == 0
+
+
+def naive_signatures(text):
+    words = re.sub(r"[\W_]+", " ", text.lower()).strip().split(" ")
+    content = [(w, i > 0 and words[i - 1] in spotsigs.ANCHORS) for i, w in enumerate(words) if w not in spotsigs.ANCHORS]
+    return {f"{content[i][0]} {content[i + 1][0]}" for i in range(len(content) - 1) if content[i][1]} or {("whole", " ".join(words))}
+
+
+def test_fingerprints_and_edited_texts(spark, texts):
+    rows = {r["doc_id"]: r for r in spotsigs.fingerprints_with_next(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    order = sorted(texts, reverse=True)
+    near = lambda a, b: len(a & b) / len(a | b)
+    for i, j in zip(order, order[1:] + order[:1], strict=True):
+        t, n, r = texts[i], texts[j], rows[i]
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["near_edited"] == pytest.approx(near(naive_signatures(t), naive_signatures(edited)))
+        assert r["near_next"] == pytest.approx(near(naive_signatures(t), naive_signatures(n)))
+        assert len(r["fingerprint"].split(",")) == len(naive_signatures(t))
+
+
+def test_fingerprints_on_edge_rows(spark, odd, none):
+    rows = spotsigs.fingerprints_with_next(odd).collect()
+    assert len(rows) == odd.count() and len({r["fingerprint"] for r in rows if r["doc_id"] in (1, 2, 3)}) == 1
+    assert spotsigs.fingerprints_with_next(none).count() == 0
+    one = spotsigs.fingerprints_with_next(spark.createDataFrame([(5, "abcd")], "doc_id long, text string")).collect()[0]
+    assert one["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and one["near_next"] == 1.0
+
+
+def test_spot_signature_duplicates(spark, texts):
+    got = {r["doc_id"]: r["component_id"] for r in spotsigs.near_duplicates(spark.read.parquet(f"{SF}/documents.parquet"), threshold=0.8).collect()}
+    assert got == groups_of({i: naive_signatures(t) for i, t in texts.items()}, 80)
+
+
+def test_pipeline_keeps_clean_documents(spark, con, texts):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, SF).collect()
+    items = [t for (t,) in con.execute("select text from benchmark").fetchall()]
+    known = {i: t for i, t in texts.items() if re.search(r"[^\W\d_]", t)}
+    groups = groups_of(word_sets(known, 5), 80)
+    want = {i for i, t in known.items() if groups[i] == i and not any(b in t for b in items)}
+    assert {r["doc_id"] for r in rows} == want
+
+
+def test_nothing_else_imports_this_part():
+    from pathlib import Path
+
+    for path in Path(__file__).parents[2].joinpath("tallyforge").rglob("*.py"):
+        assert "llm" in path.parts or not re.search(r"^\s*(from|import)\s.*\bllm\b", path.read_text(), re.M)
+
+
