@@ -79,7 +79,7 @@ class _Items:
             grams = _grams(words, n)
             if not len(grams):
                 if len(words):
-                    self.whole[words.tobytes()] = k
+                    self.whole.setdefault(words.tobytes(), []).append(k)
                 continue
             keep = np.ones(len(grams), bool)
             if df is not None:
@@ -129,9 +129,7 @@ def _document_leaks(words: np.ndarray, items: _Items, n: int, least: float) -> l
         score = top[0] / (MATCH * len(item))
         if score >= least:
             found.append((items.ids[k], top[4], score, top[1] + top[3], top[2] + top[3]))
-    whole = items.whole.get(words.tobytes())
-    if whole is not None:
-        found.append((items.ids[whole], 1, 1.0, 0, len(words)))
+    found += [(items.ids[k], 1, 1.0, 0, len(words)) for k in items.whole.get(words.tobytes(), ())]
     return found
 
 
