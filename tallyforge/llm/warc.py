@@ -203,7 +203,7 @@ def read_bundles(index: DataFrame, path: str) -> DataFrame:
                         raw = zstandard.ZstdDecompressor().decompress(file.read(size))
                         yield _batch([_row(*r) for r in parse_records(raw)])
 
-    bundles = index.select("bundle").distinct().repartition(shuffle_partitions(index.sparkSession), "bundle")
+    bundles = index.select("bundle").distinct().repartition(shuffle_partitions(index.sparkSession))
     return bundles.mapInArrow(read, RECORD)
 
 
