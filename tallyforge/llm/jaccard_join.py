@@ -11,7 +11,10 @@ short lists with a heap, probes the long ones, and keeps those that reach T.
 No group is expanded into all its pairs: equal sets collapse to one class first;
 then each list only compares its members with its head, and after those links are
 merged into components only pairs between different components are looked at, if
-the places of a common shingle leave both enough shingles to reach T.
+the places of a common shingle leave both enough shingles to reach T. Before the
+sets of a pair are fetched their parity bitmaps, a bit or two a shingle, are
+compared: each shingle flips a bit, so the bits that differ are at most the shingles
+that do, and a pair with more of them than a link allows can be left out.
 The result is exact up to 64-bit hash collisions.
 """
 
@@ -91,16 +94,25 @@ def divide_skip(query: np.ndarray, candidates: list[np.ndarray], percent: int) -
     return [(k, t) for k, t in zip(alive.tolist(), total.tolist(), strict=True) if t >= needed[k]]
 
 
+def parity(members: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set of hashes: as many bits as the power of two from its size up, at least 64, in longs."""
+    n_bits = 1 << max(6, (len(members) - 1).bit_length())
+    odd = np.bincount((members & np.uint64(n_bits - 1)).astype(np.int64), minlength=n_bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _classes(docs: DataFrame, k: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cls = [], []
+            n, cls, bits = [], [], []
             for _, s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
                 cls.append(set_class(s) if len(s) else None)
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], names=["doc_id", "n", "cls"])
+                bits.append(parity(s) if len(s) else None)
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "cls", "bits"])
 
-    return docs.mapInArrow(sets, "doc_id long, n long, cls long")
+    return docs.mapInArrow(sets, "doc_id long, n long, cls long, bits array<long>")
 
 
 def _packed(tokens: np.ndarray, *columns: np.ndarray, buckets: int, salt: np.ndarray | None = None) -> Iterator[tuple]:
@@ -274,8 +286,30 @@ def _lists(docs: DataFrame, k: int, percent: int, buckets: int, frequent: tuple[
     return packed.repartition(buckets // 4, "bucket").mapInArrow(merged, "kind int, token long, a long, b long, n long, pos long")
 
 
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """(a, part, b): the candidates of a query in parts of bounded size."""
+    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    return pairs.join(counts, "a").select("a", F.expr(f"pmod(xxhash64(b), cast(ceil(n / {SUBLIST // 4}) as int))").alias("part"), "b")
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parity bitmaps, the longer folded onto the shorter, differ in no more bits than the sets of a link can."""
+    dealt = _dealt(pairs)
+    asked = dealt.select("a", "part").distinct().join(nodes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a")
+    given = dealt.join(nodes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b")
+    fold = lambda bits, other: (
+        f"case when size({bits}) > size({other}) then zip_with(slice({bits}, 1, size({other})), slice({bits}, size({other}) + 1, size({other})), (p, q) -> p ^ q) else {bits} end"
+    )
+    least = f"(({percent} * (na + nb) + {99 + percent}) div {100 + percent})"
+    differing = f"aggregate(zip_with({fold('x', 'y')}, {fold('y', 'x')}, (p, q) -> bit_count(p ^ q)), 0, (t, d) -> t + d)"
+    # bitmaps further apart than one fold, possible below half, are not judged
+    within = f"case when greatest(size(x), size(y)) <= 2 * least(size(x), size(y)) then {differing} <= na + nb - 2 * {least} else true end"
+    return given.join(asked, ["a", "part"]).where(f"{least} <= least(na, nb)").where(within).select("a", "b")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link, found by DivideSkip with a as the query and its partners as candidates."""
+    pairs = written(_likely(pairs, nodes, percent), "likely")
     ids = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     ids = written(nodes.join(ids, "cls", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "needed")
     few = ids.count() <= BROADCAST_IDS
@@ -287,8 +321,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perce
             yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["cls", "members"])
 
     sets_of = wanted.select("text").mapInArrow(sets, "cls long, members binary")
-    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    dealt = pairs.join(counts, "a").withColumn("part", F.expr(f"pmod(xxhash64(b), cast(ceil(n / {SUBLIST // 4}) as int))"))
+    dealt = _dealt(pairs)
     queries = dealt.select("a", "part").distinct().join(sets_of, F.col("a") == F.col("cls")).select("a", "part", F.lit(None).cast("long").alias("b"), "members")
     candidates = dealt.join(sets_of, F.col("b") == F.col("cls")).select("a", "part", "b", "members")
     rows = queries.union(candidates).repartition(shuffle_partitions(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
@@ -331,7 +364,7 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     classes = written(_classes(docs, shingle), "classes")
     named = classes.where("cls is not null and doc_id is not null")
-    nodes = written(named.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "nodes")
+    nodes = written(named.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bits").alias("bits")), "nodes")
     shingles_in_all = nodes.agg(F.sum("n")).first()[0] or 0
     docs = docs.where("doc_id is not null")
     edges = None

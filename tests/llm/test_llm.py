@@ -99,6 +99,27 @@ def test_divide_skip_equals_counting():
             assert jaccard_join.divide_skip(q, cs, percent) == want
 
 
+def test_parity_bitmaps_keep_every_link_and_drop_most_other_pairs(spark):
+    rng = np.random.default_rng(5)
+    sets, truth, pairs = [], set(), []
+    percent = 85
+    for _ in range(60):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 300)), np.int64).astype(np.uint64))
+        changed = int(rng.integers(0, max(1, len(a) // 3)))
+        b = np.unique(np.r_[a[changed:], rng.integers(0, 1 << 63, changed, np.int64).astype(np.uint64)])
+        i = len(sets)
+        sets += [a, b]
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= percent * (len(a) + len(b) - both):
+            truth.add((i, i + 1))
+        pairs += [(i, i + 1), (i, (i + 7) % (len(sets)))]
+    nodes = spark.createDataFrame([(i, i, len(x), jaccard_join.parity(x).tolist()) for i, x in enumerate(sets)], "cls long, rep long, n long, bits array<long>")
+    pairs = {p for p in pairs if p[0] != p[1]}
+    kept = {tuple(r) for r in jaccard_join._likely(spark.createDataFrame(sorted(pairs), "a long, b long"), nodes, 85).collect()}
+    assert truth <= kept <= pairs
+    assert len(kept - truth) < len(pairs - truth) / 2
+
+
 def test_jaccard_join_on_edge_rows(odd, none):
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(odd).collect()]
     assert len(got) == odd.count()
