@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .shingles import _CHUNK_BYTES, _STEP, _UNSTEP, mix
 
-#: Documents of each language that the piece probabilities are learned from, at most.
+#: Different texts of each language that the piece probabilities are learned from, at most.
 TRAIN_DOCS = 500
 ROUNDS, SMOOTHING = 3, 0.05
 STRETCH, LONGEST_PIECE = 32, 12
@@ -242,19 +242,21 @@ def held_out(doc_id):
 
 
 def train(labelled: DataFrame, *, train_docs: int = TRAIN_DOCS, vocabulary: str | None = None) -> tuple[list[str], np.ndarray]:
-    """labelled (lang, text) -> (languages, probability of each piece in each), from at most train_docs rows a language.
+    """labelled (lang, text) -> (languages, probability of each piece in each), from at most train_docs different texts a language.
 
     The result has a column a language and a row a piece of the vocabulary, whatever
-    the size of the table. Null and empty languages and texts teach nothing.
+    the size of the table. Copies of a text teach once, so a text that fills a third of
+    the table reaches the learning task as one row. Null and empty languages and texts
+    teach nothing.
     """
     path = vocabulary or default_vocabulary()
-    labelled = labelled.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    labelled = labelled.where("lang <> '' and text <> ''").select("lang", "text", F.xxhash64("text", "lang").alias("key"))
+    counts = {r["lang"]: max(r["n"], 1) for r in labelled.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}
     if not counts:
         return [], np.zeros((0, 0))
     shares = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, 1.3 * train_docs / n) * (1 << 30))))])
-    key = F.xxhash64("text", "lang")
-    sample = labelled.select("lang", "text", key.alias("key")).where(F.pmod(F.col("key"), F.lit(1 << 30)) <= F.element_at(shares, F.col("lang")))
+    sample = labelled.where(F.pmod(F.col("key"), F.lit(1 << 30)) <= F.element_at(shares, F.col("lang")))
+    sample = sample.groupBy("lang", "key").agg(F.first("text").alias("text"))
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("key", kind="stable").head(train_docs)
