@@ -13,7 +13,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +100,7 @@ def windows(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int,
     A span stands for two protected entities, its value and its kind.
     """
     taken = sorted((a, b) for _, a, b in spans)
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for kind, start, end in spans:
         value = text[start:end].lower() if kind == "email" else re.sub(r"[^0-9.]" if kind == "ip" else r"[^0-9]", "", text[start:end])
         around = []
@@ -115,7 +118,8 @@ def windows(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int,
             size *= 2
         left = left[1:] if begin and left and left[0][0] == begin else left
         around = left[-WINDOW:] + around
-        around = [(a, b) for a, b in around if not any(s < b and a < e for s, e in taken if e > a - 1 and s < b + 1)]
+        # a word overlaps a span when, of those that begin before its end, one ends after its begin
+        around = [(a, b) for a, b in around if not (n := bisect_left(starts, b)) or reach[n - 1] <= a]
         context = _hash(*(text[a:b].lower() for a, b in around))
         terms = [(term_hash(text[a:b]), a, b) for a, b in around if b - a > 2]
         yield _hash(kind, value), context, terms

@@ -297,6 +297,23 @@ def test_language_on_edge_rows(spark, odd, none):
     assert {r["lang_pred"] for r in langid.identify(odd, langid.train(none.select("lang", "text"))).collect()} == {"und"}
 
 
+def test_copies_of_a_text_teach_a_language_once(spark):
+    rows = [("aa", "some words of the first language")] * 3000 + [("aa", "other words"), ("bb", "ganz andere worte"), ("", "x"), ("bb", "")]
+    langs, p = langid.train(spark.createDataFrame(rows, "lang string, text string"))
+    once, q = langid.train(spark.createDataFrame(sorted(set(rows)), "lang string, text string"))
+    assert langs == once == ["aa", "bb"] and np.allclose(p, q)
+
+
+def test_words_near_many_spans():
+    text = " ".join(f"word{i} user{i}@mail.example 10.0.0.{i % 256} +1 (555) 010-{i:04d}" for i in range(20_000))
+    spans = pii.base_spans(text)
+    taken = np.zeros(len(text), bool)
+    for _, a, b in spans:
+        taken[a:b] = True
+    seen = list(pii.windows(text, spans))
+    assert len(seen) == 2 * len(spans) and not any(taken[a:b].any() for _, _, terms in seen[::97] for _, a, b in terms)
+
+
 def test_packing_round_trip(spark, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
