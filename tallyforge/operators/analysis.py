@@ -35,7 +35,7 @@ def ratios(facts: DataFrame) -> DataFrame:
     return wide.select(
         "document", "period", ratio(c("net_profit_parent"), c("revenue")).alias("net_margin"), ratio(c("operating_cash_flow"), c("net_profit_parent")).alias("cash_conversion"),
         ratio(c("equity_parent"), c("assets_total")).alias("equity_ratio"), (c("net_profit_parent") - c("net_profit_parent_adjusted")).cast("decimal(24,4)").alias("non_recurring"),
-        F.round(c("net_profit_parent").cast("double") / ((c("equity_parent").cast("double") + before.cast("double")) / 2), 6).alias("mean_equity_return"),
+        ratio(c("net_profit_parent"), (c("equity_parent").cast("double") + before.cast("double")) / 2).alias("mean_equity_return"),
     )
 
 

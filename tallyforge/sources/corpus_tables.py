@@ -35,7 +35,7 @@ def fact_scan(spark: SparkSession, path: str, *, multi_line: bool = True) -> Dat
 
 
 def file_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files with their content; select path and length alone and no byte is read."""
+    """Whole files with their content; select path and length alone and no byte is read. Spark lists no files of length 0, so those count as absent."""
     return spark.read.format("binaryFile").load(path)
 
 
