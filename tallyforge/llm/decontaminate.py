@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-The word n-grams of benchmark items are counted over the corpus. Those in few
-documents, and of each item's others the rarer half, are its seeds: they join
-passages of documents to items, however often a passage is repeated. Around its seeds
-a passage is aligned with the item word by word; local alignment bridges changed,
-added and missing words, so edited copies score nearly as high as exact ones.
+"""Benchmark decontamination: n-gram seeds, bounds, then Smith-Waterman alignment.
+
+Every word n-gram of a benchmark item seeds it, however often the corpus repeats it, so
+whether a document leaks depends on that document alone. What keeps frequent n-grams
+affordable are two bounds that lose no leak: the item's words that the document has at
+all, and the best run of item words in a passage. Where both leave a leak possible, the
+passage is aligned with the item word by word; local alignment bridges changed, added
+and missing words, so edited copies score nearly as high as exact ones.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ from pyspark.sql import functions as F
 from .shingles import _STEP, _chunks, mix, word_hashes
 
 _GAPS = ~np.isin(np.arange(256), np.r_[48:58, 65:91, 97:123, 128:256])
-#: Share of documents up to which an n-gram is rare.
-COMMON = 1e-3
 #: Words of a seed; alignment scores; share of an item's best score that is a leak.
 SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -68,38 +67,43 @@ def alignment(passage: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
 
 
 class _Items:
-    """The words and seeds of benchmark items, looked up by seed."""
+    """The words of benchmark items, looked up by their n-grams."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], n: int, df: dict[int, int] | None = None, common: float = 0):
+    def __init__(self, items: list[tuple[int, np.ndarray]], n: int):
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
         self.whole = {}
-        seeds, owners, places = [], [], []
+        seeds, owners = [], []
         for k, words in enumerate(self.words):
-            grams = _grams(words, n)
+            grams = np.unique(_grams(words, n))
             if not len(grams):
                 if len(words):
                     self.whole.setdefault(words.tobytes(), []).append(k)
                 continue
-            keep = np.ones(len(grams), bool)
-            if df is not None:
-                count = np.array([df.get(g, 0) for g in grams.tolist()])
-                met = count > 0
-                keep = met & (count <= max(common, np.median(count[met]))) if met.any() else met
-            seeds.append(grams[keep])
-            owners.append(np.full(keep.sum(), k))
-            places.append(np.flatnonzero(keep))
-        seeds, owners, places = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((seeds, np.uint64), (owners, np.int64), (places, np.int64)))
+            seeds.append(grams)
+            owners.append(np.full(len(grams), k))
+        seeds, owners = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((seeds, np.uint64), (owners, np.int64)))
         order = np.argsort(seeds, kind="stable")
-        self.seeds, self.owners, self.places = seeds[order], owners[order], places[order]
+        self.seeds, self.owners = seeds[order], owners[order]
+
+    def met(self, grams: np.ndarray) -> np.ndarray:
+        """Items that have any of the n-grams, which are distinct."""
+        _, index = _ranges(self.seeds, grams)
+        return np.unique(self.owners[index])
+
+
+def _ranges(values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in asked, place in values) of all equal elements; values are sorted."""
+    lo, hi = np.searchsorted(values, asked), np.searchsorted(values, asked, "right")
+    n = hi - lo
+    return np.repeat(np.arange(len(asked)), n), np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the document, item, place in the item) of every seed met."""
-        lo, hi = np.searchsorted(self.seeds, grams), np.searchsorted(self.seeds, grams, "right")
-        n = hi - lo
-        at = np.repeat(np.arange(len(grams)), n)
-        index = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return at, self.owners[index], self.places[index]
+
+def _among(words: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which words are in known, which is sorted and not empty."""
+    at = np.searchsorted(known, words)
+    at[at == len(known)] = 0
+    return known[at] == words
 
 
 def _rows(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -113,23 +117,42 @@ def _rows(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 def _document_leaks(words: np.ndarray, items: _Items, n: int, least: float) -> list[tuple[int, int, float, int, int]]:
     """(item, seeds, score, begin, end) of the items of which a passage of the document is a copy."""
-    found = []
+    found = [(items.ids[k], 1, 1.0, 0, len(words)) for k in items.whole.get(words.tobytes(), ())]
     with np.errstate(over="ignore"):
-        at, owner, place = items.hits(_grams(words, n))
-    for k in np.unique(owner):
+        grams = _grams(words, n)
+    met = items.met(np.unique(grams))
+    if not len(met):
+        return found
+    # words that the document lacks are matched nowhere
+    sizes = np.array([len(items.words[k]) for k in met])
+    held = _among(np.concatenate([items.words[k] for k in met]), np.unique(words))
+    met = met[np.add.reduceat(held.astype(np.int64), np.cumsum(sizes) - sizes) >= least * sizes]
+    order = np.argsort(grams, kind="stable")
+    for k in met:
         item = items.words[k]
-        mine = owner == k
-        start = np.sort(at[mine] - place[mine])
-        # seeds whose diagonals lie within half an item of each other share a passage
-        slack = len(item) // 2 + 2
-        groups = np.split(start, np.flatnonzero(np.diff(start) > slack) + 1)
-        top = max(
-            (alignment(words[(lo := max(0, int(g[0]) - slack)) : int(g[-1]) + len(item) + slack], item) + (lo, len(g)) for g in groups), key=lambda x: x[0]
-        )
-        score = top[0] / (MATCH * len(item))
-        if score >= least:
+        full = MATCH * len(item)
+        with np.errstate(over="ignore"):
+            place, index = _ranges(grams[order], _grams(item, n))
+        start, count = np.unique(order[index] - place, return_counts=True)
+        # seeds whose diagonals lie within half an item of each other share a passage; added words cost as much as matches leave over
+        cuts = np.flatnonzero(np.diff(start) > len(item) // 2 + 2) + 1
+        reach = max(len(item) // 2, int(full * max(1 - least, 0))) + 2
+        weight = np.cumsum(np.r_[0, np.where(_among(words, np.unique(item)), MATCH, max(MISMATCH, GAP))])
+        passages = []
+        for g, c in zip(np.split(start, cuts), np.split(count, cuts), strict=True):
+            lo, hi = max(0, int(g[0]) - reach), min(len(words), int(g[-1]) + len(item) + reach)
+            run = weight[lo : hi + 1]
+            bound = int((run - np.minimum.accumulate(run)).max())
+            if bound >= least * full:
+                passages.append((bound, lo, hi, int(c.sum())))
+        top = (0, 0, 0, 0, 0)
+        for bound, lo, hi, seeds in sorted(passages, key=lambda x: -x[0]):
+            if bound <= top[0] or top[0] == full:
+                break
+            top = max(top, alignment(words[lo:hi], item) + (lo, seeds), key=lambda x: x[0])
+        score = top[0] / full
+        if top[0] and score >= least:
             found.append((items.ids[k], top[4], score, top[1] + top[3], top[2] + top[3]))
-    found += [(items.ids[k], 1, 1.0, 0, len(words)) for k in items.whole.get(words.tobytes(), ())]
     return found
 
 
@@ -151,35 +174,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, seed_words: int = SEED_
     """docs (doc_id, text), benchmark (item_id, text) -> (doc_id, item_id, n_seeds, score, begin, end): a row for each document that has a copy of an item.
 
     score is the alignment's share of the item's best possible one; begin and end are
-    the passage in words of the document (runs of letters and digits). Items of fewer
-    words than a seed leak only into documents that are equal to them, word by word. Null and
+    the passage in words of the document (runs of letters and digits). n_seeds counts the
+    item's n-grams met near the passage; a passage that keeps no seed_words words of the
+    item in a row is no copy. Items of fewer words than a seed leak only into documents that are equal to them, word by word. Null and
     empty texts, and items without words or item_id, give nothing. Repeated documents
     and items are each reported. An empty table gives none.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, item_id long, n_seeds long, score double, begin long, end long"
-    out, n_docs = None, docs.count()
+    out = None
     for block in _blocks(benchmark):
-        every = np.unique(_Items(block, seed_words).seeds)
-        asked = spark.sparkContext.broadcast(every)
-
-        def count(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(asked.value), np.int64)
-            for batch in batches:
-                for _, words in _rows(batch.column(0)):
-                    with np.errstate(over="ignore"):
-                        grams = _grams(words, seed_words)
-                    at = np.searchsorted(asked.value, grams)
-                    at[at == len(asked.value)] = 0
-                    hit = np.unique(at[asked.value[at] == grams]) if len(asked.value) else np.zeros(0, np.int64)
-                    total[hit] += 1
-            met = np.flatnonzero(total)
-            yield pa.record_batch([pa.array(met), pa.array(total[met])], names=["seed", "n"])
-
-        counted = docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-        df = dict(zip(every[counted.column(0).to_numpy()].tolist(), counted.column(1).to_pylist(), strict=True))
-        shared = spark.sparkContext.broadcast(_Items(block, seed_words, df, COMMON * n_docs))
+        shared = spark.sparkContext.broadcast(_Items(block, seed_words))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

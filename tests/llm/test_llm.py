@@ -167,6 +167,22 @@ def test_edited_copies_of_items_leak(spark, texts):
     assert sorted(r["doc_id"] for r in decontaminate.without_leaks(frame, items).collect()) == [2, 4, 5, 6]
 
 
+def test_hot_edited_copies_leak_beside_an_exact_one(spark):
+    rng = np.random.default_rng(9)
+    items = [[f"item{k}w{i}" for i in range(40)] for k in range(2)]
+    edited = [f"edit{i}" if i % 5 == 4 else w for i, w in enumerate(items[0])]
+    plain = lambda n: [f"plain{x}" for x in rng.integers(0, 5000, n)]
+    docs = [plain(5) + items[0] + plain(5)] + [plain(6) + edited + plain(6) for _ in range(60)]
+    docs += [plain(8) + items[1][:3] + plain(40) + items[1][20:23] + plain(5) for _ in range(60)] + [plain(30) for _ in range(60)]
+    docs += [plain(9) + [w for i, w in enumerate(items[1]) if i % 4 or i == 0] + plain(9), plain(4) + [w for x in items[1] for w in (x, "the")][:60] + items[1][30:]]
+    texts = [" ".join(x) for x in docs]
+    rows = lambda x: dict(decontaminate._rows(decontaminate.pa.array(x)))
+    words, wanted = rows(texts), rows([" ".join(x) for x in items])
+    every = {(i, k): s for i, d in words.items() for k, w in wanted.items() if (s := decontaminate.alignment(d, w)[0] / 80) >= 0.5}
+    got = decontaminate.find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")).collect()
+    assert {(i, 0) for i in range(61)} <= set(every) and {(r["doc_id"], r["item_id"]): r["score"] for r in got} == every
+
+
 def test_alignment_equals_dynamic_programming():
     rng = np.random.default_rng(5)
     for _ in range(60):
