@@ -4,8 +4,9 @@ Base spans (email, ip, card, phone) are pattern matches. Around each, the corpus
 estimates how strongly a term t reveals the protected entity e: with
 PMI(e; t) = ln(N n_te / (n_t n_e)) and IC(e) = ln(N / n_e), the term discloses e when
 PMI >= IC / alpha, that is when knowing t gives away most of the information in e.
-Such terms, seen with e in two different contexts at least, are spans of kind term
-and are generalised like the entity itself.
+All four are counts of documents, copies included. Such terms, seen with e in two
+different texts at least, are spans of kind term and are generalised like the entity
+itself.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .store import written
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of an entity that count as seen with it.
 WINDOW = 8
-#: A term discloses e when PMI(e; t) >= IC(e) / ALPHA; contexts in which it must be seen with e.
+#: A term discloses e when PMI(e; t) >= IC(e) / ALPHA; different texts in which it must be seen with e.
 ALPHA, SUPPORT = 1.25, 2
 #: Hashes that may be broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_HASHES = 2_000_000
@@ -137,15 +138,16 @@ def disclosing_pairs(docs: DataFrame, *, alpha: float = ALPHA, support: int = SU
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column(0).to_pylist():
+            for text, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text and (spans := base_spans(text)):
-                    for entity, context, terms in windows(text, spans):
-                        rows += [(entity, context, t) for t in {t for t, _, _ in terms} | {None}]
-            yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["entity", "context", "term"])
-
-    met = written(docs.select("text").mapInArrow(seen, "entity long, context long, term long").distinct(), "met")
-    n_e = met.where("term is null").groupBy("entity").agg(F.count("*").alias("n_e")).where(f"n_e >= {support}")
-    n_te = met.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(f"n_te >= {support}")
+                    rows += [(e, key, t) for e, t in {(e, t) for e, _, terms in windows(text, spans) for t in (None, *(t for t, _, _ in terms))}]
+            yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["entity", "key", "term"])
+
+    # every count of the PMI is one of documents; support is one of different texts, so copies alone give none
+    met = docs.select("text", F.xxhash64("text").alias("key")).mapInArrow(seen, "entity long, key long, term long")
+    met = written(met.groupBy("entity", "key", "term").agg(F.count("*").alias("copies")), "met")
+    n_e = met.where("term is null").groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where(f"texts >= {support}").drop("texts")
+    n_te = met.where("term is not null").groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where(f"texts >= {support}").drop("texts")
     often = written(n_te.join(n_e, "entity"), "pairs")
     terms = often.select("term").distinct()
     few = terms.count() <= BROADCAST_HASHES

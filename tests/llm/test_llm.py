@@ -246,6 +246,16 @@ def test_terms_that_disclose_are_generalised(spark, odd, none):
     assert pii.find_personal_data(none).count() == 0
 
 
+def test_copies_and_common_footers_hide_no_terms(spark):
+    plain = [f"plain text {i} about day{i} and nothing more" for i in range(400)]
+    own = [f"{x} agent zanzibar writes from secret@mail.example {x} today" for x in ("alpha", "gamma")]
+    footers = [f"page {i} of the report {'w' * (i % 7 + 3)} ends. {'then ' * 9} contact quillon at desk@mail.example always" for i in range(20)]
+    for copies in (0, 300):
+        rows = plain + own + own[:1] * copies + footers + footers[:1] * copies
+        got = pii.find_personal_data(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")).collect()
+        assert sum("[TERM]" in r["text"] for r in got) >= len(rows) - 400 and not any("zanzibar" in r["text"] or "quillon" in r["text"] for r in got)
+
+
 def test_shards_are_even_and_places_gapless(spark, texts, odd, none):
     rows = sharding.shard_documents(spark.read.parquet(f"{SF}/documents.parquet"), 24).collect()
     assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {i: (len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in texts.items()}
