@@ -5,8 +5,9 @@ estimates how strongly a term t reveals the protected entity e: with
 PMI(e; t) = ln(N n_te / (n_t n_e)) and IC(e) = ln(N / n_e), the term discloses e when
 PMI >= IC / alpha, that is when knowing t gives away most of the information in e.
 All four are counts of documents, copies included. Such terms, seen with e in two
-different texts at least, are spans of kind term and are generalised like the entity
-itself.
+different texts at least, are spans of kind term wherever they stand: those that
+disclose a value in every text, those that disclose a kind in every text that has one
+of that kind.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import _chunks, mix, word_hashes
+from .shingles import _chunks, word_hashes
 from .store import written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -88,52 +89,42 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def term_hash(term: str) -> int:
-    """The hash that word_hashes gives a term, as a signed number."""
-    raw = np.frombuffer(term.encode("utf-8", "surrogatepass"), np.uint8)
+def _words(text: str) -> tuple[list[int], list[int], np.ndarray]:
+    """(starts, ends, hashes) of the words of a text, in code points."""
+    found = [m.span() for m in _TERM.finditer(text)]
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     with np.errstate(over="ignore"):
-        return int(word_hashes(raw, np.array([0, len(raw)]), _GAPS)[1].view(np.int64)[0])
+        hashes = word_hashes(raw, np.array([0, len(raw)]), _GAPS)[1].view(np.int64)
+    return [a for a, _ in found], [b for _, b in found], hashes
 
 
-def windows(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
-    """(entity, context, [(term, start, end)]) of each base span: the words around it that are no part of a base span.
+def _free(spans: list[tuple[str, int, int]], starts: list[int], ends: list[int], which: Iterable[int]) -> list[int]:
+    """Those of the words that are longer than two letters and no part of a span."""
+    taken = sorted((a, b) for _, a, b in spans)
+    begins, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    # a word overlaps a span when, of those that begin before its end, one ends after its begin
+    return [i for i in which if ends[i] - starts[i] > 2 and (not (n := bisect_left(begins, ends[i])) or reach[n - 1] <= starts[i])]
+
+
+def windows(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, str | None, list[tuple[int, int, int]]]]:
+    """(entity, its kind if it is one, [(term, start, end)]) of each base span: the words around it that are no part of a base span.
 
     A span stands for two protected entities, its value and its kind.
     """
-    taken = sorted((a, b) for _, a, b in spans)
-    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    starts, ends, hashes = _words(text)
+    free = set(_free(spans, starts, ends, range(len(starts))))
+    hashes = hashes.tolist()
     for kind, start, end in spans:
         value = text[start:end].lower() if kind == "email" else re.sub(r"[^0-9.]" if kind == "ip" else r"[^0-9]", "", text[start:end])
-        around = []
-        after = _TERM.finditer(text, end)
-        for _ in range(WINDOW):
-            if not (m := next(after, None)):
-                break
-            around.append((m.start(), m.end()))
-        stop, left, size = start, [], 64
-        while True:  # the words before: look back until there are enough
-            begin = max(0, start - size)
-            left = [(m.start(), m.end()) for m in _TERM.finditer(text, begin, stop)]
-            if begin == 0 or len(left) > WINDOW or size >= 4096:
-                break
-            size *= 2
-        left = left[1:] if begin and left and left[0][0] == begin else left
-        around = left[-WINDOW:] + around
-        # a word overlaps a span when, of those that begin before its end, one ends after its begin
-        around = [(a, b) for a, b in around if not (n := bisect_left(starts, b)) or reach[n - 1] <= a]
-        context = _hash(*(text[a:b].lower() for a, b in around))
-        terms = [(term_hash(text[a:b]), a, b) for a, b in around if b - a > 2]
-        yield _hash(kind, value), context, terms
-        yield _hash(kind), context, terms
-
-
-def _pair(entity: int, term: int) -> int:
-    with np.errstate(over="ignore"):
-        return int(mix(np.array([entity], np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.array([term], np.int64).view(np.uint64)).view(np.int64)[0])
+        before, after = bisect_right(ends, start), bisect_left(starts, end)
+        around = [*range(max(0, before - WINDOW), before), *range(after, min(len(starts), after + WINDOW))]
+        terms = [(hashes[i], starts[i], ends[i]) for i in around if i in free]
+        yield _hash(kind, value), None, terms
+        yield _hash(kind), kind, terms
 
 
-def disclosing_pairs(docs: DataFrame, *, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """docs (text) -> (pair long): hashes of (entity, term) of which the term discloses the entity."""
+def disclosing_terms(docs: DataFrame, *, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    """docs (text) -> (kind string, term long): hashes of the terms that disclose an entity; kind is null where that is a value."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,26 +171,44 @@ def disclosing_pairs(docs: DataFrame, *, alpha: float = ALPHA, support: int = SU
     pmi = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     reveals = often.join(n_t, "term").where(pmi >= F.log(F.lit(float(n)) / F.col("n_e")) / alpha)
 
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([pa.array([_pair(e, t) for e, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.int64())], names=["pair"])
+    kind = F.lit(None).cast("string")
+    for name in KINDS:
+        kind = F.when(F.col("entity") == _hash(name), name).otherwise(kind)
+    return written(reveals.select(kind.alias("kind"), "term").distinct(), "disclosing")
+
 
-    return written(reveals.select("entity", "term").mapInArrow(paired, "pair long").distinct(), "disclosing")
+def _sorted_terms(pairs: Iterable[tuple[str | None, int]]) -> dict[str | None, np.ndarray]:
+    """Terms by the kind they disclose; None stands for values."""
+    by: dict[str | None, list[int]] = {}
+    for kind, term in pairs:
+        by.setdefault(kind, []).append(term)
+    return {kind: np.unique(np.array(terms, np.int64)) for kind, terms in by.items()}
 
 
-def spans_of(text: str, disclosing: np.ndarray) -> list[tuple[str, int, int]]:
-    """All spans of a text, the base ones first and those of kind term after them."""
+def _spans(text: str, hashes: np.ndarray, disclosing: dict[str | None, np.ndarray]) -> list[tuple[str, int, int]]:
+    """All spans of a text whose words have the hashes, the base ones first and those of kind term after them."""
     spans = base_spans(text)
-    if not spans or not len(disclosing):
+    hit = np.zeros(len(hashes), bool)
+    for kind in {None, *(k for k, _, _ in spans)} & disclosing.keys():
+        terms = disclosing[kind]
+        at = np.searchsorted(terms, hashes)
+        at[at == len(terms)] = 0
+        hit |= terms[at] == hashes
+    if not hit.any():
         return spans
-    terms = set()
-    for entity, _, around in windows(text, spans):
-        for term, a, b in around:
-            pair = _pair(entity, term)
-            at = np.searchsorted(disclosing, pair)
-            if at < len(disclosing) and disclosing[at] == pair:
-                terms.add((a, b))
-    return spans + [("term", a, b) for a, b in sorted(terms)]
+    found = [m.span() for m in _TERM.finditer(text)]
+    starts, ends = [a for a, _ in found], [b for _, b in found]
+    return spans + [("term", starts[i], ends[i]) for i in _free(spans, starts, ends, np.flatnonzero(hit).tolist())]
+
+
+def _hashed(column: pa.Array) -> Iterator[np.ndarray]:
+    """The hashes of the words of each text, none for nulls."""
+    for _, raw, ends in _chunks(column):
+        with np.errstate(over="ignore"):
+            rows, words = word_hashes(raw, ends, _GAPS)
+        bounds = np.searchsorted(rows, np.arange(len(ends)))
+        for i in range(len(ends) - 1):
+            yield words[bounds[i] : bounds[i + 1]].view(np.int64)
 
 
 def sanitised(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -227,32 +236,33 @@ def find_personal_data(docs: DataFrame, *, alpha: float = ALPHA, support: int =
     Adds n_email, n_ip, n_card, n_phone, n_term (long), base and spans (string,
     kind:start:end comma-joined). Null texts stay null and have no spans; empty ones
     likewise. Repeated rows are each treated; columns of the added names are
-    replaced. Disclosing pairs are broadcast up to BROADCAST_HASHES of 8 bytes; with
-    more, only the pairs of each block of documents are fetched by a join.
+    replaced. Disclosing terms are broadcast up to BROADCAST_HASHES of 8 bytes; with
+    more, only those of each text's words are fetched by a join.
     """
     added = ("n_email", "n_ip", "n_card", "n_phone", "n_term", "base", "spans")
     docs = docs.drop(*added)
-    pairs = disclosing_pairs(docs.select(F.col("text").cast("string").alias("text")), alpha=alpha, support=support)
+    pairs = disclosing_terms(docs.select(F.col("text").cast("string").alias("text")), alpha=alpha, support=support)
     names = docs.columns
     at = names.index("text")
     schema = ", ".join([*(f"`{c}` {'string' if c == 'text' else t}" for c, t in docs.dtypes), *(f"{c} {'long' if c[:2] == 'n_' else 'string'}" for c in added)])
     few = pairs.count() <= BROADCAST_HASHES
     spark = docs.sparkSession
     if few:
-        shared = spark.sparkContext.broadcast(np.sort(pairs.toArrow().column(0).to_numpy()))
+        table = pairs.toArrow()
+        shared = spark.sparkContext.broadcast(_sorted_terms(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True)))
         rows = docs.withColumn("text", F.col("text").cast("string"))
     else:
         shared = None
         keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn("__key", F.xxhash64("text"))
-        asked = keyed.select("__key", "text").mapInArrow(_asked, "key long, pair long").distinct()
-        mine = asked.join(pairs, "pair").groupBy("key").agg(F.collect_set("pair").alias("__pairs"))
+        asked = keyed.select("__key", "text").mapInArrow(_asked, "key long, term long").distinct()
+        mine = asked.join(pairs, "term").groupBy("key").agg(F.collect_set(F.struct("kind", "term")).alias("__pairs"))
         rows = keyed.join(mine, F.col("__key") == F.col("key"), "left").select(*names, "__pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             own = None if shared else batch.column(len(names)).to_pylist()
-            spans = [spans_of(t, shared.value if shared else np.sort(np.array(own[i] or [], np.int64))) if t else [] for i, t in enumerate(texts)]
+            spans = [_spans(t, h, shared.value if shared else _sorted_terms((p["kind"], p["term"]) for p in own[i] or [])) if t else [] for i, (t, h) in enumerate(zip(texts, _hashed(batch.column(at)), strict=True))]
             columns = [batch.column(i) for i in range(len(names))]
             columns[at] = pa.array([sanitised(t, s) if s else t for t, s in zip(texts, spans, strict=True)], pa.string())
             columns += [pa.array([sum(k == kind for k, _, _ in s) for s in spans], pa.int64()) for kind in (*KINDS, "term")]
@@ -264,8 +274,6 @@ def find_personal_data(docs: DataFrame, *, alpha: float = ALPHA, support: int =
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if text and (spans := base_spans(text)):
-                rows += {(key, _pair(e, t)) for e, _, around in windows(text, spans) for t, _, _ in around}
-        yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(2)], names=["key", "pair"])
+        for key, words in zip(batch.column(0).to_pylist(), _hashed(batch.column(1)), strict=True):
+            terms = np.unique(words)
+            yield pa.record_batch([pa.array(np.full(len(terms), key, np.int64)), pa.array(terms)], names=["key", "term"])

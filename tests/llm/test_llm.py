@@ -256,6 +256,21 @@ def test_copies_and_common_footers_hide_no_terms(spark):
         assert sum("[TERM]" in r["text"] for r in got) >= len(rows) - 400 and not any("zanzibar" in r["text"] or "quillon" in r["text"] for r in got)
 
 
+@pytest.mark.parametrize("most", [pii.BROADCAST_HASHES, 0])
+def test_disclosing_terms_are_generalised_wherever_they_stand(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "BROADCAST_HASHES", most)
+    far = "plain words go on here " * 20
+    rows = [f"Zanzibar {far} then agent zanzibar wrote to secret@mail.example {x} of week {far} signed zanzibar" for x in ("alpha", "gamma", "omega")]
+    rows += ["a note on ZANZIBAR alone", "ünder {} zanzibar, zanzibars".format("1 " * 5000), None, ""] + [f"{far} agent then wrote of week day{i}" for i in range(60)]
+    got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert all(got[i]["n_term"] == 3 and "zanzibar" not in got[i]["text"].lower() and got[i]["text"].count("[TERM]") == 3 for i in range(3))
+    assert got[3]["text"] == "a note on [TERM] alone" and got[4]["text"].endswith(" [TERM], zanzibars") and got[5]["text"] is None
+    assert all(r["text"] == rows[i] for i, r in got.items() if i > 4)
+    # words before a span are found however far back they are
+    text = f"zanzibar {'1 ' * 5000}x@mail.example"
+    assert [text[a:b] for _, a, b in next(pii.windows(text, [("email", len(text) - 14, len(text))]))[2]] == ["zanzibar"]
+
+
 def test_shards_are_even_and_places_gapless(spark, texts, odd, none):
     rows = sharding.shard_documents(spark.read.parquet(f"{SF}/documents.parquet"), 24).collect()
     assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {i: (len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in texts.items()}
