@@ -22,10 +22,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest doc_id. Documents without words or doc_id all stay."""
-    groups = jaccard_join.jaccard_components(docs, shingle=5, percent=80)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies: that of the smallest doc_id, rows without one last, then of the smallest row hash. Rows without words all stay."""
+    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("__key"))
+    groups = written(jaccard_join.jaccard_components(keyed.select(F.col("__key").alias("doc_id"), "text"), shingle=5, percent=80).where("n_shingles > 0"), "groups")
+    rows = groups.groupBy(F.col("doc_id").alias("__key"), "component_id").agg(F.count("*").alias("copies"))
+    named = rows.join(keyed.select("__key", "doc_id").distinct(), "__key")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key"))["__key"].alias("first"))
+    gone = rows.join(first, "component_id").where("__key <> first").select("__key")
+    # rows equal in doc_id and text have one key: of those that stay, any one row
+    again = written(rows.where("copies > 1").join(first, "component_id").where("__key = first").select("__key"), "again")
+    once = keyed.join(gone.union(again), "__key", "left_anti")
+    return once.union(keyed.join(again, "__key", "left_semi").dropDuplicates(["__key"]).select(*once.columns)).select(*COLUMNS)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -461,6 +461,18 @@ def test_pipeline_keeps_clean_documents(spark, con, texts):
     assert {r["doc_id"] for r in rows} == want
 
 
+def test_one_row_of_each_group_of_near_copies_stays(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (1, a), (2, a + " more"), (2, b), (None, b), (7, b + " more"), (None, c), (None, c), (None, c + " more"), (8, None), (8, None), (None, ""), (9, "! !")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert {k: n for k, n in got.items() if k[1] and k[1][:1] in "ab"} == {(1, a): 1, (2, b): 1}
+    assert sum(n for (_, t), n in got.items() if t and t.startswith("c")) == 1
+    assert got[8, None] == 2 and got[None, ""] == 1 and sum(got.values()) == 7
+
+
 def test_nothing_else_imports_this_part():
     from pathlib import Path
 
