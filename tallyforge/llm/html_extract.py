@@ -31,10 +31,14 @@ _NEVER = _RAW | frozenset("nav header footer aside form button dialog menu label
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MAIN = frozenset(("article", "main"))
-_ROLES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+_ROLE = re.compile(r"ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget", re.I)
+#: Words that leave a role what it is; with any other word (post-header, no-sidebar) a name is no role.
+_BESIDE = frozenset("area bar block bottom box button buttons center container content feed form global inner item items left links list main mobile outer panel primary right row secondary section site slot sticky thread top unit wrap wrapper".split())
+_DISCUSSION = re.compile(r"comments?|disqus|replies|respond", re.I)
 _KEPT_ROLES = _MAIN | {"body", "html"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -65,14 +69,50 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield "text", "", html.unescape(page[at:])
 
 
-def _left_out(name: str, attributes: str, in_main: bool) -> bool:
+def _parts(names: str) -> Iterator[list[str]]:
+    """The words of each class token, id or role that names a role; post-header or no-sidebar name none."""
+    for name in names.split():
+        parts = [x for x in re.split(r"[-_]+", name) if x]
+        roles = [x for x in parts if _ROLE.fullmatch(x)]
+        if roles and all(x.lower() in _BESIDE or x.isdigit() or _ROLE.fullmatch(x) for x in parts):
+            yield roles
+
+
+def _left_out(name: str, attributes: str, in_main: bool) -> str:
+    """Why an element is no article text: always, or by role if it does not hold most of the page; empty if it may be."""
     if name == "header" and in_main:
-        return False
+        return ""
     if name in _NEVER:
-        return True
+        return "always"
     if name in _KEPT_ROLES or not attributes:
-        return False
-    return any(_ROLES.search(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)) or bool(re.search(r"\bhidden\b|display\s*:\s*none", attributes, re.I))
+        return ""
+    why = ""
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and _UNSEEN.search(value):
+            return "always"
+        if key in ("class", "id", "role"):
+            for roles in _parts(value):
+                if any(_DISCUSSION.fullmatch(x) for x in roles):
+                    return "always"
+                why = "role"
+    return why
+
+
+def _shares(found: list[tuple[str, str, str]]) -> list[float]:
+    """The share of the page's words in the element that each token opens, to the page's end if it is not closed."""
+    before, n, opened = [], 0, {}
+    end = [len(found)] * len(found)
+    for i, (kind, name, value) in enumerate(found):
+        before.append(n)
+        if kind == "text":
+            n += len(value.split())
+        elif kind == "open":
+            opened.setdefault(name, []).append(i)
+        elif opened.get(name):
+            end[opened[name].pop()] = i
+    before.append(n)
+    return [(before[end[i]] - before[i]) / max(n, 1) for i in range(len(found))]
 
 
 class _Page:
@@ -85,7 +125,8 @@ class _Page:
         self.names: list[str] = []
         closes = Counter(x.lower() for x in re.findall(r"</([a-zA-Z][^\s/>]*)", page))
         stack: list[tuple[str, int, bool]] = []
-        for kind, name, value in tokens(page):
+        found, shares = list(tokens(page)), None
+        for at, (kind, name, value) in enumerate(found):
             if kind == "text":
                 if not (stack and stack[-1][2]):
                     self.blocks[-1].append(value)
@@ -98,7 +139,9 @@ class _Page:
                     while stack and stack[-1][2]:
                         stack.pop()
                     out = False
-                out = out or _left_out(name, value, any(s[0] in _MAIN for s in stack))
+                if not out and (why := _left_out(name, value, any(s[0] in _MAIN for s in stack))):
+                    shares = shares or _shares(found)
+                    out = why == "always" or shares[at] <= 0.5
                 if out and not closes[name] and name not in _VOID:
                     out = bool(stack) and stack[-1][2]
                 if name == "p":

@@ -215,6 +215,21 @@ def test_main_text_without_an_article_element(spark):
     assert html_extract.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_attributes_that_only_look_like_roles_drop_nothing(spark):
+    words = "plain running words of the story that go on and on for a while"
+    kept = ["<div class='overflow-hidden'>", "<div aria-hidden='false'>", "<div data-x='hidden'>", "<section class=related-work>", "<div class='post-header'>", "<div title='display: none'>"]
+    gone = ["<div hidden>", "<div aria-hidden=true>", "<div style='color: red; display:none'>", "<div class='x sidebar'>", "<div id=site-nav>", "<div class='share-buttons'>", "<div class='cookie_notice'>"]
+    body = lambda tag: f"<p>{words}</p>{tag}<p>inner words here</p></{tag[1:].split()[0].strip('>')}><p>{words}</p>"
+    pages = [f"<body><article>{body(x)}</article></body>" for x in kept + gone]
+    pages += [f"<body><div class='{c}'><h1 class='post-header'>Title</h1><p>{words}</p><p>{words}</p></div><div class=sidebar>Home News</div></body>" for c in ("page no-sidebar", "with-sidebar", "widget")]
+    frame = spark.createDataFrame([(i, "u", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(frame).collect()}
+    n, m = len(kept), len(gone)
+    assert [got[i] for i in range(n)] == ["\n\n".join([words, "inner words here", words])] * n
+    assert [got[n + i] for i in range(m)] == ["\n\n".join([words, words])] * m
+    assert [got[n + m + i] for i in range(3)] == ["\n\n".join(["Title", words, words])] * 3
+
+
 def luhn(s):
     return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(s[::-1])) % 10 == 0
 
