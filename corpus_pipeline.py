@@ -14,9 +14,9 @@ LEAST_POSTERIOR = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; und and doubtful ones go. lang becomes what was found."""
+    """Documents in one of the learned languages; doubtful ones and those no language tells better than the background go. lang becomes what was found."""
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))).select("lang", "text"))
-    judged = langid.identify(docs.select(*COLUMNS), model)
+    judged = langid.identify(docs.select(*COLUMNS), langid.with_background(model))
     kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_POSTERIOR))
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 

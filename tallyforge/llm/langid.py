@@ -26,6 +26,8 @@ from .shingles import _CHUNK_BYTES, _STEP, _UNSTEP, mix
 TRAIN_DOCS = 500
 ROUNDS, SMOOTHING = 3, 0.05
 STRETCH, LONGEST_PIECE = 32, 12
+#: Log-probability a byte by which a language must beat the background.
+MARGIN = 0.15
 #: Words whose scores a task keeps.
 CACHE = 400_000
 
@@ -269,6 +271,22 @@ def train(labelled: DataFrame, *, train_docs: int = TRAIN_DOCS, vocabulary: str
     return [r["lang"] for r in rows], np.stack([np.frombuffer(r["p"], np.float64) for r in rows], 1)
 
 
+def with_background(model: tuple[list[str], np.ndarray], *, margin: float = MARGIN, vocabulary: str | None = None) -> tuple[list[str], np.ndarray]:
+    """The model with a background und: single bytes, as often as the languages together have them.
+
+    A text is und when no language gives its bytes margin more log-probability each than
+    the background, so a long text of no learned language, or junk, is no better off than
+    a short one.
+    """
+    languages, p = model
+    if not languages:
+        return model
+    pieces = _vocabulary(vocabulary or default_vocabulary()).pieces
+    q = np.bincount(np.frombuffer(b"".join(pieces), np.uint8), np.repeat(p.mean(1), [len(x) for x in pieces]), 256)
+    q = q / q.sum() * np.exp(margin)
+    return [*languages, "und"], np.c_[p, [q[x[0]] if len(x) == 1 else 0.0 for x in pieces]]
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, vocabulary: str | None = None) -> DataFrame:
     """docs -> all its columns with lang_pred and score, the posterior of that language under equal priors.
 

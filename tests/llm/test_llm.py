@@ -476,6 +476,22 @@ def test_pipeline_keeps_clean_documents(spark, con, texts):
     assert {r["doc_id"] for r in rows} == want
 
 
+def test_other_languages_and_junk_are_dropped(spark):
+    import corpus_pipeline
+
+    known = database("/root/testdata/sf0.01").execute("select doc_id, text, lang from documents where length(text) > 200 order by doc_id limit 400").fetchall()
+    rng = np.random.default_rng(6)
+    junk = [(10_000 + i, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz   "), 20 + 20 * i)), None) for i in range(20)]
+    rows = [(i, t, lang if lang != "fr" else None) for i, t, lang in known] + junk
+    rows += [(20_000 + i, re.sub(r"^\W+", "", t)[:60], None) for i, t, lang in known if lang != "fr"]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    other = [i for i, _, lang in known if lang == "fr"]
+    learned = [i for i, _, lang in known if lang != "fr"]
+    assert not any(i in kept for i, _, _ in junk) and np.mean([i in kept for i in other]) < 0.05
+    assert all(i in kept for i in learned) and np.mean([20_000 + i in kept for i in learned]) > 0.97
+
+
 def test_one_row_of_each_group_of_near_copies_stays(spark):
     import corpus_pipeline
 
