@@ -1,12 +1,16 @@
 """HTML main-text extraction by a maximum-scoring subsequence.
 
-A page is a sequence of words and tags. Words score one; a tag's score is negative,
-and the more so the more rarely labelled pages have that tag inside their article.
-One linear scan finds the contiguous run of the highest sum. It is widened to the
-element that holds it (an article, or a div below the body), and what is never
-article text (menus, forms, scripts, adverts, notices, comments, ...) is left out.
-Labelled pages are those whose markup names their article; a bounded sample of them
-is enough to learn the tags' scores.
+A page is a sequence of words and tags. A word scores one. A tag scores below nothing:
+by how often elements with its name, class, id or role stand outside the article of
+labelled pages, and by whether it opens or closes the article itself. Words in an
+element that labelled pages have outside their article score nothing, and those outside
+an element that is the article nearly nothing. One linear scan then finds the contiguous
+run of the highest sum; that run, less the elements outside, is the main text.
+
+Pages label themselves: the text of the one article element a page has (else of its main
+element) is content; what stands outside it, or inside it in an element that its markup
+names as no content (nav, aside, class="ad", ...), is not. A bounded sample of such pages
+is enough. Names that the sample lacks have the weight of PRIOR pages.
 """
 
 from __future__ import annotations
@@ -15,163 +19,178 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled pages from which tag scores are learned, at most.
+#: Pages whose markup is counted, about: those whose hash falls in the share that makes up so many.
 TRAIN_PAGES = 1000
-#: Score of a tag that never stands in an article; one that always does scores -LEAST.
-PENALTY, LEAST = 12.0, 0.02
+#: Score taken by a tag of an element that always stands outside the article, and by any tag at all.
+PENALTY, LEAST = 12.0, 1e-4
+#: Pages that the fixed lists below count as; share of elements outside for names that neither lists nor pages have.
+PRIOR, UNKNOWN = 4.0, 0.15
+#: An element that holds more of the page's words than this is no menu, advert or form, whatever its class says.
+MOST = 0.5
 
 # Element names by their role.
 _RAW = frozenset("script style template noscript iframe svg math object canvas select textarea title".split())
-_NEVER = _RAW | frozenset("nav header footer aside form button dialog menu label fieldset head".split())
+_OUTER = frozenset("nav header footer aside form button dialog menu label fieldset head".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_MAIN = frozenset(("article", "main"))
 _ROLE = re.compile(r"ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget", re.I)
 #: Words that leave a role what it is; with any other word (post-header, no-sidebar) a name is no role.
 _BESIDE = frozenset("area bar block bottom box button buttons center container content feed form global inner item items left links list main mobile outer panel primary right row secondary section site slot sticky thread top unit wrap wrapper".split())
 _DISCUSSION = re.compile(r"comments?|disqus|replies|respond", re.I)
-_KEPT_ROLES = _MAIN | {"body", "html"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 _UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 
+#: (share outside the article, share that is the article) by feature: a name, .token, @role.
+Scores = dict[str, tuple[float, float]]
+
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """('text', '', decoded text), ('open', name, attributes) and ('close', name, '') in page order; raw-text elements give no text."""
-    at = 0
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            yield "text", "", html.unescape(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
+    """('text', '', decoded text), ('open', name, attributes) and ('close', name, '') in page order; raw-text elements give no text.
+
+    Linear in the page: quoted attributes are looked through at most a few times the
+    page's length in vain, then a tag ends at the next >.
+    """
+    decoded = html.unescape if "&" in page else str
+    at = begin = 0
+    last, wasted, unclosed = page.rfind(">"), 0, set()
+    while 0 <= (at := page.find("<", at)):
+        m, name, following = None, "", page[at + 1 : at + 2]
+        if following in ("!", "?"):
+            start, stop = ("<!--", "-->") if page.startswith("<!--", at) else ("<![CDATA[", "]]>") if page.startswith("<![CDATA[", at) else ("<", ">")
+            end = page.find(stop, at + len(start))
+            end = len(page) if end < 0 else end + len(stop)
+        elif at < last and (following.isalpha() or following == "/"):
+            if wasted <= 4 * len(page):
+                m = _TAG.match(page, at)
+                wasted += 0 if m else len(page) - at
+            m = m or _PLAIN_TAG.match(page, at)
+            end = m.end() if m else 0
+        if not m and following not in ("!", "?"):
+            at += 1
+            continue
+        if at > begin:
+            yield "text", "", decoded(page[begin:at])
+        at = begin = end
+        if not m:
             continue
-        if m[1] or m[4]:
+        name, attributes = m[2].lower(), m[3]
+        if m[1]:
             yield "close", name, ""
             continue
-        attributes = m[3] if m[2] else m[6]
         yield "open", name, attributes
         if name in _RAW and not attributes.endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            if end:
+            close = None if name in unclosed else _END[name].search(page, at)
+            if close:
                 yield "close", name, ""
-                at = end.end()
-            elif name in ("script", "style"):
-                at = len(page)
+                at = begin = close.end()
+            else:
+                unclosed.add(name)
+                if name in ("script", "style"):
+                    begin = len(page)
+                    break
         elif name in _VOID or attributes.endswith("/"):
             yield "close", name, ""
-    if at < len(page):
-        yield "text", "", html.unescape(page[at:])
-
-
-def _parts(names: str) -> Iterator[list[str]]:
-    """The words of each class token, id or role that names a role; post-header or no-sidebar name none."""
-    for name in names.split():
-        parts = [x for x in re.split(r"[-_]+", name) if x]
-        roles = [x for x in parts if _ROLE.fullmatch(x)]
-        if roles and all(x.lower() in _BESIDE or x.isdigit() or _ROLE.fullmatch(x) for x in parts):
-            yield roles
-
-
-def _left_out(name: str, attributes: str, in_main: bool) -> str:
-    """Why an element is no article text: always, or by role if it does not hold most of the page; empty if it may be."""
-    if name == "header" and in_main:
-        return ""
-    if name in _NEVER:
-        return "always"
-    if name in _KEPT_ROLES or not attributes:
-        return ""
-    why = ""
-    for m in _ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and _UNSEEN.search(value):
-            return "always"
-        if key in ("class", "id", "role"):
-            for roles in _parts(value):
-                if any(_DISCUSSION.fullmatch(x) for x in roles):
-                    return "always"
-                why = "role"
-    return why
-
-
-def _shares(found: list[tuple[str, str, str]]) -> list[float]:
-    """The share of the page's words in the element that each token opens, to the page's end if it is not closed."""
-    before, n, opened = [], 0, {}
-    end = [len(found)] * len(found)
-    for i, (kind, name, value) in enumerate(found):
-        before.append(n)
-        if kind == "text":
-            n += len(value.split())
-        elif kind == "open":
-            opened.setdefault(name, []).append(i)
-        elif opened.get(name):
-            end[opened[name].pop()] = i
-    before.append(n)
-    return [(before[end[i]] - before[i]) / max(n, 1) for i in range(len(found))]
+    if begin < len(page):
+        yield "text", "", decoded(page[begin:])
 
 
-class _Page:
-    """A page's blocks and events: words[i] of block i, the tags before it, and the element each block stands in."""
+def _roles(name: str) -> list[str]:
+    """The roles that a class token, id or role names; post-header or no-sidebar name none."""
+    parts = [x for x in re.split(r"[-_]+", name.lower()) if x]
+    roles = [x for x in parts if _ROLE.fullmatch(x)]
+    return roles if roles and all(x in _BESIDE or x.isdigit() or _ROLE.fullmatch(x) for x in parts) else []
+
+
+def features(name: str, attributes: str) -> list[str]:
+    """An element's features: its name; .x of each class token, id and role; @x of each role those name; @hidden."""
+    found = [name]
+    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and _UNSEEN.search(value):
+            found.append("@hidden")
+        elif key in ("class", "id", "role"):
+            for token in value.split():
+                found.append("." + token.lower())
+                found += ["@discussion" if _DISCUSSION.fullmatch(x) else f"@{x}" for x in _roles(token)]
+    return found
 
-    def __init__(self, page: str):
-        self.blocks: list[list[str]] = [[]]
-        self.tags: list[list[str]] = [[]]
-        self.owner: list[tuple[int, ...]] = [()]
-        self.names: list[str] = []
-        closes = Counter(x.lower() for x in re.findall(r"</([a-zA-Z][^\s/>]*)", page))
-        stack: list[tuple[str, int, bool]] = []
-        found, shares = list(tokens(page)), None
-        for at, (kind, name, value) in enumerate(found):
-            if kind == "text":
-                if not (stack and stack[-1][2]):
-                    self.blocks[-1].append(value)
-                elif value.strip():
-                    self._cut(stack, ["skipped"])
-                continue
-            if kind == "open":
-                out = bool(stack) and stack[-1][2]
-                if name in _MAIN and out and not any(s[2] and s[0] in ("aside", "footer") or s[0] == "comments" for s in stack):
-                    while stack and stack[-1][2]:
-                        stack.pop()
-                    out = False
-                if not out and (why := _left_out(name, value, any(s[0] in _MAIN for s in stack))):
-                    shares = shares or _shares(found)
-                    out = why == "always" or shares[at] <= 0.5
-                if out and not closes[name] and name not in _VOID:
-                    out = bool(stack) and stack[-1][2]
-                if name == "p":
-                    while stack and stack[-1][0] == "p":
-                        stack.pop()
-                self.names.append(name)
-                stack.append((name, len(self.names) - 1, out))
-            else:
-                closes[name] -= 1
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                if depth is not None:
-                    del stack[depth:]
-            if name in _BLOCK:
-                self._cut(stack, [name])
-            elif name == "br":
-                self.blocks[-1].append(" ")
-            else:
-                self.tags[-1].append(name)
 
-    def _cut(self, stack: list, tags: list[str]) -> None:
-        self.blocks.append([])
-        self.tags.append(tags)
-        self.owner.append(tuple(i for _, i, _ in stack))
+def _sure(feature: str) -> bool:
+    """Whether a feature says what an element is however much of the page it holds."""
+    return feature in ("@hidden", "@discussion") or feature in _OUTER and feature != "form"
 
-    def texts(self) -> list[str]:
-        return [" ".join("".join(b).split()) for b in self.blocks]
 
+class Page:
+    """A page's tokens, where each element ends, the words before each token, and the element that the markup calls the content."""
 
-def best_run(words: list[int], penalties: list[float]) -> tuple[int, int]:
-    """[first, last] block of the highest sum of words less the penalties of the tags between; (0, -1) if there are no words."""
+    def __init__(self, page: str):
+        self.found = list(tokens(page))
+        self.before, self.end, self.closed = [0], [len(self.found)] * len(self.found), [False] * len(self.found)
+        opened: dict[str, list[int]] = {}
+        outermost = Counter()
+        for i, (kind, name, value) in enumerate(self.found):
+            self.before.append(self.before[-1] + (len(value.split()) if kind == "text" else 0))
+            if kind == "open":
+                outermost[name] += not opened.get(name)
+                opened.setdefault(name, []).append(i)
+            elif kind == "close" and opened.get(name):
+                start = opened[name].pop()
+                self.end[start], self.closed[start] = i, True
+        self.words = self.before[-1]
+        self.region = next((x for x in ("article", "main") if outermost[x] == 1), "article" if outermost["article"] else "main" if outermost["main"] else "")
+        self.labelled = outermost[self.region] == 1
+
+    def share(self, i: int) -> float:
+        """The share of the page's words in the element that token i opens."""
+        return (self.before[self.end[i]] - self.before[i]) / max(self.words, 1)
+
+
+def element_counts(page: Page, *, lists: bool = True) -> Iterator[tuple[str, str]]:
+    """(feature, where) of the elements of a page that labels itself, where being inside, outside, region or around.
+
+    Of elements outside within each other only the outermost counts, so a paragraph of a
+    footer says nothing against paragraphs. A name counts where the element has no
+    class, id or role. Without lists everything in the article is inside.
+    """
+    begin = next((i for i, (kind, name, _) in enumerate(page.found) if kind == "open" and name == page.region), None)
+    if begin is None or not page.labelled:
+        return
+    end, until = page.end[begin], 0
+    for i, (kind, name, value) in enumerate(page.found):
+        if kind != "open" or i < until or name in _RAW or name in _VOID or page.before[page.end[i]] == page.before[i]:
+            continue
+        of = [f for f in features(name, value) if lists or f[0] != "@"]
+        where = "region" if i == begin else "around" if i < begin and page.end[i] >= end else "outside"
+        if begin < i < end:
+            named = [f for f in of if (f[0] == "@" or f in _OUTER and f != "header") and (_sure(f) or page.share(i) <= MOST)]
+            where = "outside" if lists and named and page.closed[i] else "inside"
+        if where == "outside" and page.closed[i]:
+            until = page.end[i]
+        yield from ((f, where) for f in of if f != name or len(of) == 1)
+
+
+def scores_of(counts: dict[str, Counter], *, lists: bool = True) -> Scores:
+    """The shares of every counted feature, and of those that the lists name."""
+    outer = {f: (PRIOR, 0.0, PRIOR) for f in (*_OUTER, "@hidden", "@discussion", *(f for f in counts if f[0] == "@"))}
+    listed = outer | {f: (0.0, PRIOR, PRIOR) for f in ("article", "main")} if lists else {}
+    scores = {"@": (1.0, 0.0)} if lists else {}
+    for f in {*counts, *listed}:
+        n, (out, region, weight) = counts.get(f, Counter()), listed.get(f, (UNKNOWN, 0.0, 1.0))
+        scores[f] = (n["outside"] + out) / (n.total() + weight), (n["region"] + region) / (n.total() + weight)
+    return scores
+
+
+def best_run(words: list[float], penalties: list[float]) -> tuple[int, int]:
+    """[first, last] block of the highest sum of what words score less the penalties of the tags between; (0, -1) if none scores."""
     best, here, start, span = 0.0, 0.0, 0, (0, -1)
     for i, (n, cost) in enumerate(zip(words, penalties, strict=True)):
         here -= cost
@@ -183,61 +202,125 @@ def best_run(words: list[int], penalties: list[float]) -> tuple[int, int]:
     return span
 
 
-def extract(page: str, scores: dict[str, float]) -> str:
-    """The main text: blocks joined by an empty line."""
-    if not page:
-        return ""
-    p = _Page(page)
-    texts = p.texts()
-    other = scores.get("", PENALTY)
-    first, last = best_run([len(t.split()) for t in texts], [sum(scores.get(t, other) for t in tags) for tags in p.tags])
-    if last < first:
-        return ""
-    shared = 0
-    for a, b in zip(p.owner[first], p.owner[last], strict=False):
-        if a != b:
-            break
-        shared += 1
-    chain = list(p.owner[first][:shared])
-    while chain and p.names[chain[-1]] not in _MAIN | {"div", "section"}:
-        chain.pop()
-    outer = [i for i in chain if p.names[i] in _MAIN]
-    within = outer[0] if outer else chain[-1] if chain else None
-    if within is not None:
-        kept = [t for t, o in zip(texts, p.owner, strict=True) if t and within in o]
-    else:
-        kept = [t for t in texts[first : last + 1] if t]
-    return "\n\n".join(kept)
-
-
-def tag_scores(pages: DataFrame, *, train_pages: int = TRAIN_PAGES) -> dict[str, float]:
-    """What each tag takes from a run's sum, learned from at most train_pages labelled pages; '' stands for unknown tags."""
-    n = pages.count()
-    if not n:
-        return {"": PENALTY}
-    share = min(1.0, 2 * train_pages / n)
-    key = F.xxhash64("page_id", "html")
-    sample = pages.where(F.col("html").isNotNull() & (F.pmod(key, F.lit(1 << 20)) < int(share * (1 << 20)))).select("html").limit(train_pages)
-    known = _BLOCK | _RAW | _VOID | frozenset("a b i em strong span u small sup sub code abbr cite q time font".split())
+def _shares_of(of: list[str], scores: Scores, in_content: bool, small: bool) -> tuple[float, float]:
+    """(share outside, share that is the content) of elements with these features, the largest of each.
+
+    What holds most of the page is no menu whatever its class. In the content a name
+    decides only if it is one of the outer ones, and names that nobody knows say nothing.
+    """
+    name, marked = of[0], any(f[0] == "." for f in of)
+    unknown = (0.0, 0.0) if in_content else (UNKNOWN, 0.0)
+    found = [(0.0, 0.0)]
+    for f in of:
+        if f == name and (name not in _OUTER and (in_content or marked) or name == "header" and in_content):
+            continue
+        outside, region = scores.get(f, scores.get("@", unknown) if f[0] == "@" else unknown)
+        found.append((outside if small or _sure(f) else 0.0, region))
+    return max(x for x, _ in found), max(x for _, x in found)
+
+
+def scored_blocks(page: Page, scores: Scores) -> tuple[list[str], list[float], list[float]]:
+    """The texts of a page's blocks, less the words of elements outside the content; what their words score, and what the tags before or in each take.
+
+    A word scores one. Where a page has an element that is the content by its name or
+    class, other words score as much less as labelled pages are sure of that.
+    """
+    texts: list[list[str]] = [[]]
+    costs, within = [0.0], [False]
+    certain = 0.0  # how sure labelled pages are of the content's element
+    stack: list[tuple[str, bool, bool, bool]] = []  # name; outside the content; so for good; the content itself
+    standing: Counter = Counter()
+    regions = 0
+    known: dict[tuple[str, str, bool, bool], tuple[float, float, bool]] = {}
+    parting: list[tuple[int, int, float]] = []  # token, block, what an element outside the content takes
+    kept = [0] * (len(page.found) + 1)
+    for at, (kind, name, value) in enumerate(page.found):
+        if kind == "text":
+            if not (stack and stack[-1][1]):
+                texts[-1].append(value)
+                kept[at + 1] = len(value.split())
+            continue
+        cost, keep = LEAST, len(stack)
+        if kind == "close":
+            if standing[name]:
+                while stack[keep - 1][0] != name:
+                    keep -= 1
+                keep -= 1
+        elif name == "p" and stack and stack[-1][0] == "p":
+            keep -= 1
+        elif name == page.region and stack and stack[-1][1] and not stack[-1][2]:
+            # menus that are not closed in time end where the content begins
+            keep = next(i for i, s in enumerate(stack) if s[1])
+        for gone, _, _, own in stack[keep:]:
+            standing[gone] -= 1
+            if own:
+                regions -= 1
+                cost += PENALTY + page.words - page.before[at]
+        del stack[keep:]
+        own = False
+        if kind == "open":
+            outside, deep = stack[-1][1:3] if stack else (False, False)
+            if not outside and name not in _VOID:
+                element = name, value, regions > 0, page.share(at) <= MOST
+                if element not in known:
+                    of = features(name, value)
+                    known[element] = *_shares_of(of, scores, *element[2:]), name in ("aside", "footer") or "@discussion" in of
+                out, region, final = known[element]
+                if page.region == name and not regions:
+                    out, region = 0.0, scores.get(name, (0.0, 0.0))[1]
+                own = region > 0.5 and not regions and page.region in ("", name)
+                outside = out > 0.5 and (page.closed[at] or name in _RAW)
+                deep = outside and final
+                if not regions:
+                    parting.append((at, len(costs) - (name not in _BLOCK and not own), PENALTY * out))
+                if own:
+                    cost += PENALTY + page.before[at]
+                    regions += 1
+                    certain = max(certain, region)
+            standing[name] += 1
+            stack.append((name, outside, deep, own))
+        if name in _BLOCK or own:
+            texts.append([])
+            costs.append(0.0)
+            within.append(regions > 0)
+        elif name == "br":
+            texts[-1].append(" ")
+        costs[-1] += cost
+    # within the smallest element that holds most of what is left, what stands between its blocks parts nothing
+    left = list(accumulate(kept))
+    most = [i for i, (kind, name, _) in enumerate(page.found) if kind == "open" and name not in ("html", "body") and left[page.end[i]] - left[i] > MOST * left[-1]]
+    begin, end = (most[-1], page.end[most[-1]]) if most else (0, 0)
+    for at, block, cost in parting:
+        costs[block] += 0.0 if begin < at < end else cost
+    blocks = [" ".join("".join(t).split()) for t in texts]
+    elsewhere = 1 - certain if any(t and w for t, w in zip(blocks, within, strict=True)) else 1.0
+    return blocks, [len(t.split()) * (1.0 if w else elsewhere) for t, w in zip(blocks, within, strict=True)], costs
+
+
+def extract(page: str, scores: Scores) -> str:
+    """The main text: the blocks of the best run that have words, joined by an empty line."""
+    texts, words, costs = scored_blocks(Page(page), scores)
+    first, last = best_run(words, costs)
+    return "\n\n".join(t for t in texts[first : last + 1] if t)
+
+
+def tag_scores(pages: DataFrame, *, train_pages: int = TRAIN_PAGES, lists: bool = True) -> Scores:
+    """The shares of features, from those pages that label themselves among about train_pages chosen by their hash.
+
+    The choice follows from page_id and html alone, so it is the same in every run.
+    Features met fewer than three times are not learned.
+    """
+    share = min(1.0, train_pages / max(pages.count(), 1))
+    key = F.pmod(F.xxhash64("page_id", "html"), F.lit(1 << 40))
+    sample = pages.where(F.col("html").isNotNull() & (key < int(share * (1 << 40)))).select("html")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inside, all_ = Counter(), Counter()
-        for batch in batches:
-            for page in batch.column(0).to_pylist():
-                found = list(tokens(page))
-                where = [i for i, (k, name, _) in enumerate(found) if k != "text" and name in _MAIN]
-                if len(where) < 2 or found[where[0]][0] != "open":
-                    continue
-                for i, (kind, name, _) in enumerate(found):
-                    if kind != "text" and name in known:
-                        all_[name] += 1
-                        inside[name] += where[0] < i < where[-1]
-        yield pa.record_batch([pa.array(list(all_), pa.string()), pa.array(list(all_.values()), pa.int64()), pa.array([inside[t] for t in all_], pa.int64())], names=["tag", "n", "inside"])
-
-    rows = sample.mapInArrow(count, "tag string, n long, inside long").groupBy("tag").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside")).collect()
-    scores = {r["tag"]: LEAST + PENALTY * (1 - (r["inside"] + 1) / (r["n"] + 2)) for r in rows}
-    plain = ("p", "br", "b", "i", "em", "strong", "span", "u", "code", "sub", "sup", "small", "abbr", "cite", "q", "time", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre")
-    return {t: 4 * LEAST for t in plain} | scores | {"skipped": PENALTY / 4, "": PENALTY / 2}
+        n = Counter(x for batch in batches for page in batch.column(0).to_pylist() for x in element_counts(Page(page), lists=lists))
+        yield pa.record_batch([pa.array([f for f, _ in n], pa.string()), pa.array([w for _, w in n], pa.string()), pa.array(n.values(), pa.int64())], names=["feature", "where", "n"])
+
+    rows = sample.mapInArrow(count, "feature string, where string, n long").groupBy("feature").pivot("where", ["inside", "outside", "region", "around"]).agg(F.sum("n"))
+    rows = rows.na.fill(0).where("inside + outside + region + around >= 3").collect()
+    return scores_of({r["feature"]: Counter({w: r[w] for w in ("inside", "outside", "region", "around")}) for r in rows}, lists=lists)
 
 
 def extract_main_text(pages: DataFrame, *, train_pages: int = TRAIN_PAGES) -> DataFrame:
@@ -245,8 +328,9 @@ def extract_main_text(pages: DataFrame, *, train_pages: int = TRAIN_PAGES) -> Da
 
     Character references are decoded, white space inside a block becomes one space,
     blocks are joined by an empty line in page order. Null and empty pages, and pages
-    without words, give an empty text. Repeated rows are each extracted; other columns
-    are ignored; an empty table gives none.
+    without words, give an empty text. Very long pages, and tags, quotes and comments
+    that are never closed, take time in proportion to their length. Repeated rows are
+    each extracted; other columns are ignored; an empty table gives none.
     """
     pages = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     scores = tag_scores(pages, train_pages=train_pages)
