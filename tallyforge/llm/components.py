@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,11 +30,12 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             via = to.select(F.col("node").alias("component"), F.col("to").alias("next"))
             labels = labels.join(via, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-        labels = written(labels, "labels")
+        before, labels = labels, written(labels, "labels")
         a = to.select(F.col("node").alias("a"), F.col("to").alias("x"))
         b = to.select(F.col("node").alias("b"), F.col("to").alias("y"))
         moved = edges.join(a, "a").join(b, "b").where("x <> y")
-        edges = written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        done, edges = edges, written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(before, to, done)
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels

@@ -19,7 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import new_path, shuffle_partitions
+from .store import new_path, qualified, shuffle_partitions, written
 
 #: Bytes of records in a frame, and of compressed frames in a bundle, about.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 64 << 20
@@ -31,25 +31,30 @@ BROADCAST_ROWS = 200_000
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _DATE = "2000-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Names that Hadoop and pyarrow have for one scheme.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 _HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 INDEX = "record_id string, page_id long, bundle string, frame_at long, frame_bytes long, record_at long, record_bytes long"
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}')}>"
+def record_id(page_id: int | None, digest: str, copy: int | None = None) -> str:
+    """The name of one record; copy tells rows of one page_id and payload apart."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}' if copy is None else f'{page_id}/{digest}/{copy}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
-    """A response record with its payload, or a revisit record that names the response."""
-    head = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", _DATE)]
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None, copy: int | None, alone: bool | None) -> bytes:
+    """A response record with its payload, or a revisit record; that names the response by its identifier where there is one such row alone."""
+    head = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id, digest, copy)), ("WARC-Date", _DATE)]
     if url is not None:
         head.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)))
     head += [("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload)))]
     if page_id is not None:
         head.append(("X-Page-Id", str(page_id)))
     if kind == "revisit":
-        head += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page-Id", str(refers_to))]
+        head += [("WARC-Profile", _PROFILE), ("X-Refers-To-Page-Id", str(refers_to))]
+        if alone:
+            head.append(("WARC-Refers-To", record_id(refers_to, digest)))
     block = _HEAD + (payload if kind == "response" else b"")
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -92,23 +97,33 @@ def read_seek_table(file, size: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+def _open(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a qualified URI, and the path in it; what pyarrow has no file system for is an error."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) -> with payload, digest, kind and refers_to.
+    """pages (page_id, url, html) -> with payload, digest, kind, refers_to, copy and alone.
 
     Of equal payloads of LEAST_BYTES or more, those of the largest page_id are responses.
+    Rows of one page_id and payload have different copy numbers; alone tells whether the
+    response of a payload is one row.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    large = rows.where(F.octet_length("payload") >= LEAST_BYTES)
-    repeated = large.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("digest", "last")
+    by = rows.groupBy("digest", "page_id").agg(F.count("*").alias("n"), F.first(F.octet_length("payload")).alias("size"))
+    repeated = by.groupBy("digest").agg(F.max(F.struct("page_id", "n")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("n"), F.first("size").alias("size")).where("n > 1")
+    large = (F.col("size") >= LEAST_BYTES) & F.col("top.page_id").isNotNull()
+    repeated = repeated.select("digest", F.when(large, F.col("top.page_id")).alias("last"), F.col("top.page_id").alias("top"), (F.col("top.n") == 1).alias("alone"), (F.col("most") > 1).alias("twice"))
+    repeated = written(repeated.where("last is not null or twice"), "repeated")
     few = repeated.count() <= BROADCAST_ROWS
     joined = rows.join(F.broadcast(repeated) if few else repeated, "digest", "left")
     again = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    return joined.select("page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("last")).alias("refers_to"))
+    copy = F.when(F.col("twice") & ~(F.col("alone") & F.col("page_id").eqNullSafe(F.col("top"))), F.monotonically_increasing_id())
+    return joined.select("page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("last")).alias("refers_to"), copy.alias("copy"), "alone")
 
 
 def write_bundles(pages: DataFrame, path: str, *, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
@@ -116,12 +131,14 @@ def write_bundles(pages: DataFrame, path: str, *, frame_bytes: int = FRAME_BYTES
 
     Every task writes bundles of its own with names of their own, and only what a
     task that succeeded has written is in the index; a lost task is simply run again.
+    Bundles go to the file system in which Spark looks for path, not to an executor's own.
     """
+    uri = qualified(pages.sparkSession, path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        fs, root = _open(path)
+        fs, root = _open(uri)
         fs.create_dir(f"{root}/bundles", recursive=True)
         out, sizes, index, held, pending = None, [], [], [], 0
         name, at = "", 0
@@ -155,11 +172,11 @@ def write_bundles(pages: DataFrame, path: str, *, frame_bytes: int = FRAME_BYTES
 
         for batch in batches:
             for i in range(batch.num_rows):
-                page_id, url, payload, digest, kind, refers_to = (batch.column(j)[i].as_py() for j in range(6))
+                page_id, url, payload, digest, kind, refers_to, copy, alone = (batch.column(j)[i].as_py() for j in range(8))
                 if out is None:
                     name, at = f"{uuid.uuid4().hex}.warc.zst", 0
                     out = fs.open_output_stream(f"{root}/bundles/{name}", compression=None)
-                held.append((record_id(page_id, digest), page_id, record(page_id, url, payload, digest, kind, refers_to)))
+                held.append((record_id(page_id, digest, copy), page_id, record(page_id, url, payload, digest, kind, refers_to, copy, alone)))
                 pending += len(held[-1][2])
                 if pending >= frame_bytes:
                     end_frame()
@@ -189,11 +206,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_bundles(index: DataFrame, path: str) -> DataFrame:
     """Every record of the bundles in the index, read frame by frame from the seek tables; a response's digest is verified."""
+    uri = qualified(index.sparkSession, path)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        fs, root = _open(path)
+        fs, root = _open(uri)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 where = f"{root}/bundles/{name}"
@@ -209,11 +227,12 @@ def read_bundles(index: DataFrame, path: str) -> DataFrame:
 
 def fetch(index: DataFrame, path: str) -> DataFrame:
     """The records of some index rows: each frame is read where it lies and cut at the record's offset."""
+    uri = qualified(index.sparkSession, path)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        fs, root = _open(path)
+        fs, root = _open(uri)
         last, raw = None, b""
         for batch in batches:
             rows = []
@@ -232,8 +251,8 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     """Write pages (page_id, url, html) to bundles in the shared folder and read all records back.
 
     Null pages have an empty payload. Repeated page_ids each get a record, those of a
-    repeated payload's largest page_id all as responses; rows without page_id are
-    kept. Control characters and spaces in urls are percent-encoded. Other columns are
+    repeated payload's largest page_id all as responses, and each with an identifier of
+    its own; rows without page_id are kept. Control characters and spaces in urls are percent-encoded. Other columns are
     ignored; an empty table gives none.
     """
     path = new_path(pages.sparkSession, "warc")
