@@ -375,7 +375,6 @@ def test_packing_round_trip(spark, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = packing.pack(spark.read.parquet(f"{SF}/documents.parquet")).collect()
     of, seq = defaultdict(list), defaultdict(list)
     for r in rows:
