@@ -82,7 +82,7 @@ with p as (
   select page_id, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
          coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') as path
   from pages),
-l as (select doc_id, min(case when quality = 1 and toxic = 0 then 1 else 0 end) as good from labels group by 1),
+l as (select doc_id, min((quality = 1 and toxic = 0)::int) as good from labels group by 1 having good is not null),
 o as (select page_id, min(good) as good from (select page_id, try_cast(regexp_extract(path, '/(\d{{1,18}})(?:\.html)?/?$', 1) as bigint) as doc_id from p) join l using (doc_id) where page_id is not null group by 1),
 h0 as (select host, count(good) as n, coalesce(sum(good), 0)::bigint as k, regexp_replace(host, ':\d+$', '') as plain from p left join o using (page_id) group by 1),
 h1 as (select *, case when regexp_matches(plain, '(^|\.)({_SECOND})\.[a-z][a-z]$') then regexp_extract(plain, '(?:^|\.)((?:{_SECOND})\.[a-z][a-z])$', 1) else regexp_extract(plain, '[^.:]*$') end as suffix from h0),

@@ -4,7 +4,7 @@ Outcomes of labelled pages are shrunk through beta-binomial priors from the host
 its registered domain and from there to its suffix and the whole. The strength of
 each level's prior is fitted by moments from how much the groups below it differ.
 A host passes when the lower posterior bound of its share of good pages does.
-Only DataFrame functions are used.
+Only DataFrame functions are used. Counts by host are stored once; all levels are made of them.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import written
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Second-level labels under which country registries register names; fixed values.
 _SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
@@ -87,7 +89,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: DataFrame, *, min_g
     Returns page_id, host, path, rule (the longest that fits, else null), verdict
     (the rule's, else allow when the host's bound reaches min_good, else block),
     n_labelled and bound of the host. A rule fits its host and all subdomains when
-    the path starts with the rule's path.
+    the path starts with the rule's path. A port is part of the host: no rule without
+    it fits, but reputation counts the domain and suffix before it.
 
     Null urls and urls without :// have an empty host, judged as one host. Repeated
     page_ids are each judged; outcomes with a null page_id or good are ignored. An
@@ -96,8 +99,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: DataFrame, *, min_g
     pages = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     good = outcomes.where("page_id is not null and good is not null").groupBy("page_id").agg(F.min(F.col("good").cast("int")).alias("good"))
     counts = pages.select("page_id", "host").join(good, "page_id", "left").groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
-    known = host_reputation(counts, z=z)
-    labels = F.split(F.regexp_replace("host", r":\d+$", ""), r"\.")
+    known = host_reputation(written(counts, "hosts"), z=z)
+    labels = F.split("host", r"\.")
     suffixes = known.select("host", labels.alias("labels")).select("host", F.explode(F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))")).alias("rule_host"))
     of_host = suffixes.join(rules, "rule_host").groupBy("host").agg(F.collect_list(F.struct("rule_path", "rule", "action")).alias("rules"))
     known = known.join(of_host, "host", "left")
