@@ -1,18 +1,20 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map.
 
 A record's virtual slot is a hash of its doc_id and never changes. Bytes are
-aggregated per slot, so a map of a few thousand rows decides where everything lies:
-it is balanced by bytes when it is made, and edited, never remade, when shards are
-added or fill unevenly. Each edit is a new version of the stored map.
+aggregated per slot, so a map of a few thousand rows decides where everything lies. It
+is made once, for an empty store, and then edited, never remade, when shards fill
+unevenly or are added. Each edit is a new version of the stored map.
 """
 
 from __future__ import annotations
 
-import heapq
+from bisect import bisect_left, insort
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import new_path
+
 #: Virtual slots; far more than there will be shards.
 SLOTS = 4096
 
@@ -34,20 +36,13 @@ def slot_loads(rows: DataFrame) -> dict[int, tuple[int, int]]:
     return {r["virtual"]: (r["bytes"], r["n"]) for r in rows.groupBy("virtual").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
 
 
-def balanced_map(loads: dict[int, int], shards: int, slots: int = SLOTS) -> dict[int, int]:
-    """Slot to shard: the heaviest slot goes to the lightest shard, again and again."""
-    heap = [(0, 0, s) for s in range(shards)]
-    heapq.heapify(heap)
-    placed = {}
-    for slot in sorted(range(slots), key=lambda s: (-loads.get(s, 0), s)):
-        load, n, shard = heapq.heappop(heap)
-        placed[slot] = shard
-        heapq.heappush(heap, (load + loads.get(slot, 0), n + 1, shard))
-    return placed
-
-
 def rebalanced(placed: dict[int, int], loads: dict[int, int], shards: int, into: set[int] | None = None) -> dict[int, int]:
-    """The map edited for new loads or more shards: slots leave the heaviest shard for the lightest (of ``into``, if given) while that narrows the gap."""
+    """The map edited for its slots' loads or for more shards.
+
+    The heaviest shard gives a slot to the lightest (of ``into``, if given) while that
+    narrows their gap, the one that comes nearest to half of it; where no slot does,
+    the two exchange slots that do (not with ``into``, into which slots only move).
+    """
     placed = dict(placed)
     total = dict.fromkeys(range(shards), 0)
     held: dict[int, list[tuple[int, int]]] = {s: [] for s in range(shards)}
@@ -55,23 +50,37 @@ def rebalanced(placed: dict[int, int], loads: dict[int, int], shards: int, into:
         total[shard] += loads.get(slot, 0)
         held[shard].append((loads.get(slot, 0), slot))
     for slots in held.values():
-        slots.sort(reverse=True)
-    moved = True
-    while moved:
-        moved = False
+        slots.sort()
+
+    def move(load: int, slot: int, source: int, target: int) -> None:
+        held[source].remove((load, slot))
+        insort(held[target], (load, slot))
+        total[source] -= load
+        total[target] += load
+        placed[slot] = target
+
+    while True:
         light = min(into or total, key=lambda s: (total[s], s))
         heavy = max(total, key=lambda s: (total[s], -s))
         gap = total[heavy] - total[light]
-        for i, (load, slot) in enumerate(held[heavy]):
-            if 0 < load < gap:
-                del held[heavy][i]
-                held[light] = sorted([*held[light], (load, slot)], reverse=True)
-                total[heavy] -= load
-                total[light] += load
-                placed[slot] = light
-                moved = True
-                break
-    return placed
+        if one := _nearest(held[heavy], 0, gap):
+            move(*one, heavy, light)
+            continue
+        if into:
+            return placed
+        pairs = [(abs(gap - 2 * (a[0] - b[0])), a, b) for b in held[light] if (a := _nearest(held[heavy], b[0], gap))]
+        if not pairs:
+            return placed
+        _, a, b = min(pairs)
+        move(*a, heavy, light)
+        move(*b, light, heavy)
+
+
+def _nearest(slots: list[tuple[int, int]], base: int, gap: int) -> tuple[int, int] | None:
+    """Of slots in order of their load, the one whose load is above base by nearest to half the gap, if by more than nothing and less than the gap."""
+    at = bisect_left(slots, (base + gap // 2, 0))
+    near = [x for x in slots[max(0, at - 1) : at + 1] if 0 < x[0] - base < gap]
+    return min(near, key=lambda x: abs(gap - 2 * (x[0] - base)), default=None)
 
 
 def write_map(spark: SparkSession, path: str, placed: dict[int, int], version: int) -> None:
@@ -81,9 +90,15 @@ def write_map(spark: SparkSession, path: str, placed: dict[int, int], version: i
 
 
 def read_map(spark: SparkSession, path: str, version: int) -> dict[int, int]:
+    """A version of the stored map: one entry a virtual slot."""
     return {r["virtual"]: r["shard"] for r in spark.read.parquet(f"{path}/version={version}").collect()}
 
 
+def even_map(shards: int, slots: int = SLOTS) -> dict[int, int]:
+    """The map of a store that holds nothing yet: slots dealt in turn."""
+    return {slot: slot % shards for slot in range(slots)}
+
+
 def placed_records(rows: DataFrame, placed: dict[int, int], loads: dict[int, tuple[int, int]]) -> DataFrame:
     """rows as of records() -> (doc_id, size, text_crc32, virtual, shard, slot), slot being the place in the shard, gapless from 0.
 
@@ -104,14 +119,16 @@ def placed_records(rows: DataFrame, placed: dict[int, int], loads: dict[int, tup
 def shard_documents(docs: DataFrame, shards: int, *, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """docs (doc_id, text) -> a row a document with its shard and place; sizes of shards are near equal in bytes.
 
-    Null texts have size 8 and CRC 0. Rows without doc_id are spread by their CRC;
-    repeated rows are each placed. Other columns are ignored; an empty table gives
-    none. With map_path, the map is stored there as version 0.
+    The map is stored at map_path (by default in the shared folder): version 0 is that
+    of an empty store, version 1 the same map edited for the bytes of the slots. Places
+    follow from the version as read back. Null texts have size 8 and CRC 0. Rows without
+    doc_id are spread by their CRC; repeated rows are each placed. Other columns, those
+    named like the result's too, are ignored; an empty table gives none.
     """
+    spark = docs.sparkSession
+    path = map_path or new_path(spark, "slot-map")
     rows = records(docs, slots)
     loads = slot_loads(rows)
-    placed = balanced_map({s: b for s, (b, _) in loads.items()}, shards, slots)
-    if map_path:
-        write_map(docs.sparkSession, map_path, placed, 0)
-        placed = read_map(docs.sparkSession, map_path, 0)
-    return placed_records(rows, placed, loads)
+    write_map(spark, path, even_map(shards, slots), 0)
+    write_map(spark, path, rebalanced(read_map(spark, path, 0), {s: b for s, (b, _) in loads.items()}, shards), 1)
+    return placed_records(rows, read_map(spark, path, 1), loads)

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from compare import assert_same, database
@@ -144,6 +145,20 @@ def test_url_rules_and_odd_urls(spark):
     assert url_reputation.judge_urls(pages.limit(0), outcomes, url_reputation.rules_frame(spark, queries.RULES)).count() == 0
 
 
+def test_operator_and_sql_agree_on_ports_and_odd_urls(spark):
+    urls = ["http://a.example.net:80/en/1", "http://example.net:/en/", "http://net:8080/", "http://m.net:443/x", "http://u@example.com/de/7", "HTTP://EXAMPLE.NET/en/2", "http://[::1]:80/en/", "x://y://example.net/en/", "http://.net/", "http://net/", "http://example.net./en/3", "://org/fr/", None, "", "http://h.co.uk:80/p/5", "http://a.b:c/6"]
+    pages = [(i, u, None) for i, u in enumerate(urls)] + [(3, urls[3], None), (None, urls[0], None)]
+    names = {"pages": "page_id long, url string, html string", "labels": "doc_id long, quality int, toxic int"}
+    rows = {"pages": pages, "labels": [(1, 1, 0), (2, 1, 1), (3, 0, 0), (5, 1, 0), (6, 1, 0), (6, 0, 1), (7, None, 0), (None, 1, 0)]}
+    folder, con = store.new_path(spark, "urls"), duckdb.connect()
+    for name, schema in names.items():
+        spark.createDataFrame(rows[name], schema).write.parquet(f"{folder}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{folder}/{name}.parquet/*.parquet'")
+    assert_same(queries.op1_url_filter(spark, folder), con, queries.ORACLE["op1_url_filter"])
+    got = {r["page_id"]: (r["host"], r["rule"]) for r in queries.op1_url_filter(spark, folder).collect()}
+    assert got[0] == ("a.example.net:80", None) and got[5] == ("example.net", "example.net/en/") and got[9] == ("net", "net/")
+
+
 def test_host_reputation_shrinks_small_hosts(spark):
     hosts = spark.createDataFrame([("a.x.com", 1000, 900), ("b.x.com", 1, 0), ("c.y.com", 1000, 100), ("d.y.com", 0, 0)], "host string, n long, k long")
     got = {r["host"]: r for r in url_reputation.host_reputation(hosts).collect()}
@@ -302,7 +317,7 @@ def test_shards_are_even_and_places_gapless(spark, texts, odd, none):
 
 def test_slot_map_versions_and_edits(spark):
     loads = {s: 1 + s * 7919 % 100 for s in range(512)}
-    placed = sharding.balanced_map(loads, 4, 512)
+    placed = sharding.rebalanced(sharding.even_map(4, 512), loads, 4)
     grown = sharding.rebalanced(placed, loads, 5, {4})
     assert all(grown[s] in (placed[s], 4) for s in placed)
     sizes = Counter()
