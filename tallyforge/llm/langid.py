@@ -4,7 +4,8 @@ Every language has a probability for each piece of a fixed public byte-level
 vocabulary, learned by expectation-maximisation. The probability of a word is the
 sum over all its segmentations into pieces, which a forward pass computes; that of
 a text is the product over its words. Words are letter runs, lower-cased, with a
-leading space; runs of more than STRETCH bytes are scored stretch by stretch.
+leading space. Short words of equal length share a pass; a long one has a pass of its
+own, however long it is, that carries the probabilities of its last bytes along.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import _CHUNK_BYTES, _STEP, _UNSTEP, mix
+from .shingles import _CHUNK_BYTES, _power_tables, mix
 
 #: Different texts of each language that the piece probabilities are learned from, at most.
 TRAIN_DOCS = 500
 ROUNDS, SMOOTHING = 3, 0.05
-STRETCH, LONGEST_PIECE = 32, 12
+#: Bytes of a word up to which words of equal length are treated together; up to which words teach; of a long word that are looked up at a time.
+SHORT, TEACHING, STRETCH = 32, 1024, 1 << 16
 #: Log-probability a byte by which a language must beat the background.
 MARGIN = 0.15
 #: Words whose scores a task keeps.
@@ -34,8 +36,6 @@ CACHE = 400_000
 _LETTER = re.compile(r"[^\W\d_]")
 _GAP = ~np.isin(np.arange(256), np.r_[97:123, 128:256])
 _CODE = mix((np.arange(256, dtype=np.uint64) + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15))
-_UP = np.cumprod(np.r_[np.uint64(1), np.full(STRETCH + 1, _STEP)], dtype=np.uint64)
-_DOWN = np.cumprod(np.r_[np.uint64(1), np.full(STRETCH + 1, _UNSTEP)], dtype=np.uint64)
 
 
 def default_vocabulary() -> str:
@@ -50,10 +50,11 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             pieces = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
-        inside = lambda p: len(p) <= LONGEST_PIECE and not any(_GAP[b] for b in p[p[:1] == b" " :])
+        inside = lambda p: not any(_GAP[b] for b in p[p[:1] == b" " :])
         self.pieces = sorted({p for p in pieces if p != b" " and inside(p)} | {bytes([b]) for b in np.flatnonzero(~_GAP)} | {b" "})
         with np.errstate(over="ignore"):
-            codes = np.array([np.sum(_CODE[np.frombuffer(p, np.uint8)] * _UP[: len(p)], dtype=np.uint64) + np.uint64(len(p)) for p in self.pieces])
+            up = _power_tables(max(map(len, self.pieces)) + 1)[0]
+            codes = np.array([np.sum(_CODE[np.frombuffer(p, np.uint8)] * up[: len(p)], dtype=np.uint64) + np.uint64(len(p)) for p in self.pieces])
             codes = mix(codes)
         order = np.argsort(codes)
         self.pieces = [self.pieces[i] for i in order]
@@ -88,14 +89,15 @@ def _vocabulary(path: str) -> Vocabulary:
 def _edges(vocabulary: Vocabulary, words: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """(begin, end, rows, pieces) of the pieces in equally long words (a row each)."""
     n = words.shape[1]
+    up, down = _power_tables(n + 1)
     total = np.zeros((len(words), n + 1), np.uint64)
-    np.cumsum(_CODE[words] * _UP[:n], axis=1, dtype=np.uint64, out=total[:, 1:])
+    np.cumsum(_CODE[words] * up[:n], axis=1, dtype=np.uint64, out=total[:, 1:])
     found = []
     for end in range(1, n + 1):
         for size in vocabulary.lengths:
             if size > end:
                 break
-            codes = mix((total[:, end] - total[:, end - size]) * _DOWN[end - size] + np.uint64(size))
+            codes = mix((total[:, end] - total[:, end - size]) * down[end - size] + np.uint64(size))
             piece = vocabulary.find(codes)
             rows = np.flatnonzero(piece >= 0)
             if len(rows):
@@ -103,6 +105,69 @@ def _edges(vocabulary: Vocabulary, words: np.ndarray) -> list[tuple[int, int, np
     return found
 
 
+def _lattice(vocabulary: Vocabulary, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, piece) of the pieces in one word, in order of their ends."""
+    n = len(word)
+    up, down = _power_tables(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_CODE[word] * up[:n], dtype=np.uint64, out=total[1:])
+    found = []
+    for size in vocabulary.lengths:
+        if size > n:
+            break
+        piece = vocabulary.find(mix((total[size:] - total[:-size]) * down[: n + 1 - size] + np.uint64(size)))
+        begin = np.flatnonzero(piece >= 0)
+        found.append((begin, begin + size, piece[begin].astype(np.int64)))
+    begin, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(end, kind="stable")
+    return begin[order], end[order], piece[order]
+
+
+def _long_score(vocabulary: Vocabulary, word: np.ndarray, probability: np.ndarray) -> np.ndarray:
+    """Log-probabilities of a word of any length in each language.
+
+    The forward pass goes stretch by stretch; what it has of the bytes that a piece can
+    reach back to goes along, and is scaled so that it stays in range.
+    """
+    longest = vocabulary.lengths[-1]
+    known, out = np.ones((1, probability.shape[1])), np.zeros(probability.shape[1])
+    for at in range(0, len(word), STRETCH):
+        back = len(known) - 1
+        begin, end, piece = _lattice(vocabulary, word[at - back : at + STRETCH])
+        new = end > back
+        begin, end, p = begin[new], end[new], probability[piece[new]]
+        n = min(STRETCH, len(word) - at)
+        forward = np.vstack([known, np.zeros((n, probability.shape[1]))])
+        bounds = np.searchsorted(end, np.arange(back + 1, back + n + 2))
+        for j in range(n):
+            i, k = bounds[j], bounds[j + 1]
+            forward[back + 1 + j] = (forward[begin[i:k]] * p[i:k]).sum(0)
+            if j % 16 == 15 or j == n - 1:
+                top = forward[back + 1 + j].copy()
+                forward[max(0, back + 2 + j - longest) : back + 2 + j] /= top
+                out += np.log(top)
+        known = forward[-longest:]
+    return out
+
+
+def _teach_long(vocabulary: Vocabulary, word: np.ndarray, times: float, p: np.ndarray, counts: np.ndarray) -> None:
+    """Add to counts how often each piece is expected in a long word."""
+    begin, end, piece = _lattice(vocabulary, word)
+    n, logs = len(word), np.log(p[piece])
+    forward, backward = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    forward[0] = backward[n] = 0
+    ends = np.searchsorted(end, np.arange(n + 2))
+    for j in range(1, n + 1):
+        forward[j] = np.logaddexp.reduce(forward[begin[ends[j] : ends[j + 1]]] + logs[ends[j] : ends[j + 1]])
+    by = np.argsort(begin, kind="stable")
+    begins = np.searchsorted(begin[by], np.arange(n + 1))
+    for j in range(n - 1, -1, -1):
+        at = by[begins[j] : begins[j + 1]]
+        if len(at):
+            backward[j] = np.logaddexp.reduce(backward[end[at]] + logs[at])
+    np.add.at(counts, piece, times * np.exp(forward[begin] + logs + backward[end] - forward[n]))
+
+
 def _forward(edges: list, n: int, rows: int, probability: np.ndarray) -> np.ndarray:
     """forward[j]: probability of the first j bytes in each language, summed over segmentations."""
     forward = np.zeros((n + 1, rows, probability.shape[1]))
@@ -115,6 +180,8 @@ def _forward(edges: list, n: int, rows: int, probability: np.ndarray) -> np.ndar
 def _by_length(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(indices, their bytes behind a space) of words of equal length, a few thousand at a time."""
     size = stop - start
+    if not len(size):
+        return
     order = np.argsort(size, kind="stable")
     cuts = np.flatnonzero(np.r_[True, np.diff(size[order]) > 0, True])
     for i, j in zip(cuts[:-1], cuts[1:], strict=True):
@@ -127,7 +194,7 @@ def _by_length(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator
 
 
 def _words(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, stop, code) of the letter runs of rows of lower-cased bytes, cut into stretches."""
+    """(row, start, stop, code) of the letter runs of rows of lower-cased bytes."""
     if not len(raw):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     gap = _GAP[raw]
@@ -140,18 +207,11 @@ def _words(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     row_stops = ends[1:][ends[1:] > 0] - 1
     stops[row_stops] = ~gap[row_stops]
     start, stop = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    parts = -(-(stop - start) // STRETCH)
-    if len(parts) and parts.max() > 1:
-        index = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        start, stop = np.repeat(start, parts) + index * STRETCH, np.repeat(stop, parts)
-        stop = np.minimum(stop, start + STRETCH)
     rows = np.searchsorted(ends, start, "right") - 1
-    code = np.zeros(len(start), np.uint64)
-    width = stop - start
-    for i in range(int(width.max()) if len(width) else 0):
-        live = np.flatnonzero(width > i)
-        code[live] = (code[live] + _CODE[raw[start[live] + i]]) * _STEP
-    return rows, start, stop, mix(code + width.astype(np.uint64))
+    up, down = _power_tables(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_CODE[raw] * up[: len(raw)], dtype=np.uint64, out=total[1:])
+    return rows, start, stop, mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
 
 
 def _batches(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -166,18 +226,23 @@ def _batches(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndar
 
 
 def learned_pieces(texts: list[str | None], vocabulary: Vocabulary, *, rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> np.ndarray:
-    """A probability for each piece, by expectation-maximisation over all segmentations of the texts' words."""
+    """A probability for each piece, by expectation-maximisation over all segmentations of the texts' words.
+
+    Words of more than TEACHING bytes teach nothing.
+    """
     groups, codes = [], {}
-    parts = []
     for _, raw, ends in _batches(texts):
         _, start, stop, code = _words(raw, ends)
+        teaching = stop - start <= TEACHING
+        start, stop, code = start[teaching], stop[teaching], code[teaching]
         _, one, times = np.unique(code, return_index=True, return_counts=True)
         for i, c, n in zip(one, code[one].tolist(), times.tolist(), strict=True):
             if c in codes:
                 codes[c][1] += n
             else:
                 codes[c] = [raw[start[i] : stop[i]].tobytes(), n]
-    words = list(codes.values())
+    long = [(np.frombuffer(b" " + w, np.uint8), n) for w, n in codes.values() if len(w) > SHORT]
+    words = [(w, n) for w, n in codes.values() if len(w) <= SHORT]
     if words:
         parts = b"".join(w for w, _ in words)
         ends = np.cumsum([0, *(len(w) for w, _ in words)])
@@ -195,6 +260,8 @@ def learned_pieces(texts: list[str | None], vocabulary: Vocabulary, *, rounds: i
                 flow = p[piece] * backward[end][who]
                 np.add.at(counts, piece, forward[begin][who] * flow)
                 backward[begin][who] += flow
+        for word, n_words in long:
+            _teach_long(vocabulary, word, n_words, p, counts)
         p = counts / counts.sum()
     return p
 
@@ -209,9 +276,13 @@ class Scorer:
 
     def _score(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         out = np.zeros((len(start), self.probability.shape[1]))
-        for who, words in _by_length(raw, start, stop):
+        short = stop - start <= SHORT
+        for i in np.flatnonzero(~short):
+            out[i] = _long_score(self.vocabulary, np.r_[np.uint8(32), raw[start[i] : stop[i]]], self.probability)
+        few = np.flatnonzero(short)
+        for who, words in _by_length(raw, start[few], stop[few]):
             n = words.shape[1]
-            out[who] = np.log(_forward(_edges(self.vocabulary, words), n, len(who), self.probability)[n])
+            out[few[who]] = np.log(_forward(_edges(self.vocabulary, words), n, len(who), self.probability)[n])
         return out
 
     def texts(self, texts: list[str | None]) -> np.ndarray:

@@ -341,7 +341,7 @@ def test_language_of_held_out_documents(spark, con):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.98
 
 
-def test_forward_sums_all_segmentations():
+def test_forward_sums_all_segmentations(monkeypatch):
     vocabulary = langid.Vocabulary(langid.default_vocabulary())
     rng = np.random.default_rng(0)
     p = rng.random((len(vocabulary.pieces), 2))
@@ -350,14 +350,42 @@ def test_forward_sums_all_segmentations():
     def total(word):
         f = [np.ones(2)] + [np.zeros(2) for _ in word]
         for j in range(1, len(word) + 1):
-            for i in range(max(0, j - langid.LONGEST_PIECE), j):
+            for i in range(max(0, j - 200), j):
                 if word[i:j] in index:
                     f[j] = f[j] + f[i] * p[index[word[i:j]]]
         return f[-1]
 
-    for word in ("the", "über", "été", "zxq"):
+    for word in ("the", "über", "été", "zxq", "internationalization", "donaudampfschifffahrtsgesellschaft", "characteristically" * 3):
         got = langid.Scorer(vocabulary, p).texts([word])[0]
-        assert np.allclose(np.exp(got), total(b" " + word.encode()))
+        assert np.allclose(got, np.log(total(b" " + word.encode())))
+    # in stretches, and beyond what doubles hold
+    q = p / p.sum(0)
+    word = b" " + "".join(rng.choice(list("etaoinü"), 3001)).encode()[:3000]
+    f = [np.zeros(2)] + [None] * len(word)
+    for j in range(1, len(word) + 1):
+        f[j] = np.logaddexp.reduce([f[i] + np.log(q[index[word[i:j]]]) for i in range(max(0, j - 200), j) if word[i:j] in index])
+    for stretch in (64, 1000, 1 << 16):
+        monkeypatch.setattr(langid, "STRETCH", stretch)
+        assert np.allclose(langid._long_score(vocabulary, np.frombuffer(word, np.uint8), q), f[-1])
+
+
+def test_every_piece_that_can_stand_in_a_word_is_kept():
+    import base64
+
+    vocabulary = langid.Vocabulary(langid.default_vocabulary())
+    with open(langid.default_vocabulary(), "rb") as file:
+        pieces = {base64.b64decode(line.split()[0]) for line in file if line.strip()}
+    letters = re.compile(rb" ?[a-z\x80-\xff]+")
+    assert {p for p in pieces if letters.fullmatch(p)} <= set(vocabulary.pieces) and max(map(len, vocabulary.pieces)) > 12
+
+
+def test_long_words_teach_as_short_ones_do(monkeypatch):
+    vocabulary = langid.Vocabulary(langid.default_vocabulary())
+    texts = ["the quick international characteristically short words", "other words of any kind"]
+    with np.errstate(over="ignore"):
+        one = langid.learned_pieces(texts, vocabulary)
+        monkeypatch.setattr(langid, "SHORT", 4)
+        assert np.allclose(one, langid.learned_pieces(texts, vocabulary))
 
 
 def test_language_on_edge_rows(spark, odd, none):
