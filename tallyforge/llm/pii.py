@@ -4,10 +4,12 @@ Base spans (email, ip, card, phone) are pattern matches. Around each, the corpus
 estimates how strongly a term t reveals the protected entity e: with
 PMI(e; t) = ln(N n_te / (n_t n_e)) and IC(e) = ln(N / n_e), the term discloses e when
 PMI >= IC / alpha, that is when knowing t gives away most of the information in e.
-All four are counts of documents, copies included. Such terms, seen with e in two
-different texts at least, are spans of kind term wherever they stand: those that
-disclose a value in every text, those that disclose a kind in every text that has one
-of that kind.
+All four are counts of documents, copies included, so neither is ever below nothing.
+What chance could bring together discloses nothing: t must be seen with e in two
+different texts at least, and its log-likelihood ratio n_te PMI - (n_te - n_t n_e / N)
+reach SURE. Such terms are spans of kind term wherever they stand: those that disclose a
+value in every text, those that disclose a kind in every text that has one of that kind.
+A kind that more than MOST_COMMON of the documents have is no secret.
 """
 
 from __future__ import annotations
@@ -25,13 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import _chunks, word_hashes
-from .store import written
+from .store import discard, fresh, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of an entity that count as seen with it.
 WINDOW = 8
 #: A term discloses e when PMI(e; t) >= IC(e) / ALPHA; different texts in which it must be seen with e.
 ALPHA, SUPPORT = 1.25, 2
+#: Log-likelihood ratio at which a term and an entity meet more often than by chance; share of documents up to which a kind is protected.
+SURE, MOST_COMMON = 4.5, 0.1
+#: Letters of the shortest term; initials and particles of fewer are no terms.
+SHORTEST = 3
 #: Hashes that may be broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_HASHES = 2_000_000
 
@@ -99,11 +105,11 @@ def _words(text: str) -> tuple[list[int], list[int], np.ndarray]:
 
 
 def _free(spans: list[tuple[str, int, int]], starts: list[int], ends: list[int], which: Iterable[int]) -> list[int]:
-    """Those of the words that are longer than two letters and no part of a span."""
+    """Those of the words that have SHORTEST letters and are no part of a span."""
     taken = sorted((a, b) for _, a, b in spans)
     begins, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     # a word overlaps a span when, of those that begin before its end, one ends after its begin
-    return [i for i in which if ends[i] - starts[i] > 2 and (not (n := bisect_left(begins, ends[i])) or reach[n - 1] <= starts[i])]
+    return [i for i in which if ends[i] - starts[i] >= SHORTEST and (not (n := bisect_left(begins, ends[i])) or reach[n - 1] <= starts[i])]
 
 
 def windows(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, str | None, list[tuple[int, int, int]]]]:
@@ -123,7 +129,7 @@ def windows(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int,
         yield _hash(kind), kind, terms
 
 
-def disclosing_terms(docs: DataFrame, *, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def disclosing_terms(docs: DataFrame, *, alpha: float = ALPHA, support: int = SUPPORT, sure: float = SURE, most_common: float = MOST_COMMON) -> DataFrame:
     """docs (text) -> (kind string, term long): hashes of the terms that disclose an entity; kind is null where that is a value."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,13 +174,16 @@ def disclosing_terms(docs: DataFrame, *, alpha: float = ALPHA, support: int = SU
 
     n_t = docs.select("text").mapInArrow(df, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     n = max(docs.count(), 1)
-    pmi = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    reveals = often.join(n_t, "term").where(pmi >= F.log(F.lit(float(n)) / F.col("n_e")) / alpha)
-
+    chance = F.col("n_t") * F.col("n_e") / F.lit(float(n))
+    pmi = F.log(F.col("n_te") / chance)
     kind = F.lit(None).cast("string")
     for name in KINDS:
         kind = F.when(F.col("entity") == _hash(name), name).otherwise(kind)
-    return written(reveals.select(kind.alias("kind"), "term").distinct(), "disclosing")
+    strong = (pmi >= F.log(F.lit(float(n)) / F.col("n_e")) / alpha) & (F.col("n_te") * pmi - (F.col("n_te") - chance) >= sure)
+    reveals = often.join(n_t, "term").where(strong & (kind.isNull() | (F.col("n_e") <= most_common * n)))
+    found = written(reveals.select(kind.alias("kind"), "term").distinct(), "disclosing")
+    discard(met, often)
+    return found
 
 
 def _sorted_terms(pairs: Iterable[tuple[str | None, int]]) -> dict[str | None, np.ndarray]:
@@ -236,8 +245,9 @@ def find_personal_data(docs: DataFrame, *, alpha: float = ALPHA, support: int =
     Adds n_email, n_ip, n_card, n_phone, n_term (long), base and spans (string,
     kind:start:end comma-joined). Null texts stay null and have no spans; empty ones
     likewise. Repeated rows are each treated; columns of the added names are
-    replaced. Disclosing terms are broadcast up to BROADCAST_HASHES of 8 bytes; with
-    more, only those of each text's words are fetched by a join.
+    replaced, others kept whatever they are called. Disclosing terms are broadcast up to
+    BROADCAST_HASHES of 8 bytes; with more, only those of each text's words are fetched
+    by a join. An empty table gives none.
     """
     added = ("n_email", "n_ip", "n_card", "n_phone", "n_term", "base", "spans")
     docs = docs.drop(*added)
@@ -253,10 +263,11 @@ def find_personal_data(docs: DataFrame, *, alpha: float = ALPHA, support: int =
         rows = docs.withColumn("text", F.col("text").cast("string"))
     else:
         shared = None
-        keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn("__key", F.xxhash64("text"))
-        asked = keyed.select("__key", "text").mapInArrow(_asked, "key long, term long").distinct()
-        mine = asked.join(pairs, "term").groupBy("key").agg(F.collect_set(F.struct("kind", "term")).alias("__pairs"))
-        rows = keyed.join(mine, F.col("__key") == F.col("key"), "left").select(*names, "__pairs")
+        key, own_pairs = fresh(docs, "key"), fresh(docs, "pairs")
+        keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn(key, F.xxhash64("text"))
+        asked = keyed.select(F.col(key).alias("key"), "text").mapInArrow(_asked, "key long, term long").distinct()
+        mine = asked.join(pairs, "term").groupBy(F.col("key").alias(key)).agg(F.collect_set(F.struct("kind", "term")).alias(own_pairs))
+        rows = keyed.join(mine, key, "left").select(*(f"`{c}`" for c in names), own_pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
