@@ -1,4 +1,4 @@
-"""Connected components by graph contraction, entirely in DataFrames."""
+"""Connected components by graph contraction, and pairs within lists of any length, entirely in DataFrames."""
 
 from __future__ import annotations
 
@@ -8,6 +8,35 @@ from pyspark.sql import functions as F
 from .store import discard, written
 
 
+#: Members of a list that meet each other in one block.
+BLOCK = 4096
+#: Rows up to which a table of a few numbers a row is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def pairs_across(posts: DataFrame, keys: list[str], near: str) -> DataFrame:
+    """posts (keys, cls, component, others) -> distinct (a, b), a < b: members of one list that lie in different components and are near.
+
+    near is an expression on a_x and b_x, the columns x of the two members. Lists whose
+    members all lie in one component are left out. A longer list than BLOCK is cut into
+    parts, and every two parts meet in a block of their own, so no task has more than
+    two parts of one list and all pairs are looked at.
+    """
+    lists = posts.groupBy(*keys).agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    lists = written(lists.select(*keys, F.ceil(F.col("members") / BLOCK).cast("int").alias("parts")), "lists")
+    few = lists.count() <= BROADCAST_ROWS
+    dealt = posts.join(F.broadcast(lists) if few else lists, keys).withColumn("part", F.expr("cast(pmod(xxhash64(cls), parts) as int)"))
+    dealt = written(dealt, "dealt")
+    others = [c for c in posts.columns if c not in keys]
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in others]
+    x = dealt.select(*keys, F.col("part").alias("i"), F.explode(F.expr("sequence(part, parts - 1)")).alias("j"), *side("a"))
+    y = dealt.select(*keys, F.explode(F.expr("sequence(0, part)")).alias("i"), F.col("part").alias("j"), *side("b"))
+    met = x.join(y, [*keys, "i", "j"]).where(f"(i < j or a_cls < b_cls) and a_component <> b_component and {near}")
+    pairs = written(met.select(F.least("a_cls", "b_cls").alias("a"), F.greatest("a_cls", "b_cls").alias("b")).distinct(), "pairs")
+    discard(lists, dealt)
+    return pairs
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a long, b long) -> (node, component), component being the smallest node reached; nodes without edges are absent.
 

@@ -15,7 +15,9 @@ the places of a common shingle leave both enough shingles to reach T. Before the
 sets of a pair are fetched their parity bitmaps, a bit or two a shingle, are
 compared: each shingle flips a bit, so the bits that differ are at most the shingles
 that do, and a pair with more of them than a link allows can be left out.
-The result is exact up to 64-bit hash collisions.
+Members of a long list meet in blocks of two parts of it. Sets have 63-bit names;
+where two different sets get the same one, told by a second name, all sets of that name
+go by the second. The result is exact up to collisions of single 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -29,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .shingles import mix, set_class, shingle_sets
-from .store import shuffle_partitions, written
+from .components import components, pairs_across
+from .shingles import mix, set_class, set_names, shingle_sets
+from .store import discard, shuffle_partitions, written
 
 #: A shingle in more classes than this sorts after the others; it rises so that at most MAX_FREQUENT exist.
 FREQUENT, MAX_FREQUENT = 64, 1 << 20
@@ -101,18 +103,36 @@ def parity(members: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _classes(docs: DataFrame, k: int) -> DataFrame:
+def _classes(docs: DataFrame, k: int, clashes: frozenset[int]) -> DataFrame:
+    """(doc_id, n, cls, other, bits): each document's set size, the name of its set, a second name and the parity bitmap."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cls, bits = [], [], []
+            n, cls, other, bits = [], [], [], []
             for _, s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
-                cls.append(set_class(s) if len(s) else None)
+                cls.append(set_class(s, clashes) if len(s) else None)
+                other.append(set_names(s)[1] if len(s) else None)
                 bits.append(parity(s) if len(s) else None)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(bits, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "cls", "bits"])
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(other, pa.int64()), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "cls", "other", "bits"])
+
+    return docs.mapInArrow(sets, "doc_id long, n long, cls long, other long, bits array<long>")
 
-    return docs.mapInArrow(sets, "doc_id long, n long, cls long, bits array<long>")
+
+def _named_sets(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """(documents with the names of their sets, one row a different set, names that stood for different sets at first)."""
+    clashes: frozenset[int] = frozenset()
+    while True:
+        classes = written(_classes(docs, k, clashes), "classes")
+        named = classes.where("cls is not null and doc_id is not null")
+        counted = named.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bits").alias("bits"), F.min("other").alias("lo"), F.max("other").alias("hi"))
+        nodes = written(counted, "nodes")
+        found = frozenset(r["cls"] for r in nodes.where("lo <> hi").select("cls").collect())
+        if not found:
+            return classes.drop("other", "bits"), nodes.drop("lo", "hi"), clashes
+        clashes |= found
+        discard(classes, nodes)
 
 
 def _packed(tokens: np.ndarray, *columns: np.ndarray, buckets: int, salt: np.ndarray | None = None) -> Iterator[tuple]:
@@ -191,7 +211,7 @@ def _frequent(docs: DataFrame, k: int, percent: int, buckets: int, more_than: in
     return tokens[order], df[order]
 
 
-def _lists(docs: DataFrame, k: int, percent: int, buckets: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _lists(docs: DataFrame, k: int, percent: int, buckets: int, frequent: tuple[np.ndarray, np.ndarray], clashes: frozenset[int]) -> DataFrame:
     """What the inverted lists of prefix shingles give: (kind, token, a, b, n, pos).
 
     kind 0: a pair of classes to compare, each list's head with each other one that
@@ -216,7 +236,7 @@ def _lists(docs: DataFrame, k: int, percent: int, buckets: int, frequent: tuple[
         held, seen, size = [], set(), 0
         for batch in batches:
             for _, s in shingle_sets(batch.column(0), k):
-                if not len(s) or (cls := set_class(s)) in seen:
+                if not len(s) or (cls := set_class(s, clashes)) in seen:
                     continue
                 seen.add(cls)
                 p, n = prefix_length(len(s), percent), len(s)
@@ -307,7 +327,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return given.join(asked, ["a", "part"]).where(f"{least} <= least(na, nb)").where(within).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, clashes: frozenset[int]) -> DataFrame:
     """The pairs (a, b) of classes that link, found by DivideSkip with a as the query and its partners as candidates."""
     pairs = written(_likely(pairs, nodes, percent), "likely")
     ids = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
@@ -317,7 +337,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perce
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(set_class(s), s.tobytes()) for _, s in shingle_sets(batch.column(0), k) if len(s)]
+            found = [(set_class(s, clashes), s.tobytes()) for _, s in shingle_sets(batch.column(0), k) if len(s)]
             yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["cls", "members"])
 
     sets_of = wanted.select("text").mapInArrow(sets, "cls long, members binary")
@@ -345,7 +365,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perce
                     size += len(held[-1][1])
         yield from flush()
 
-    return rows.mapInArrow(search, "a long, b long, overlap long")
+    links = written(rows.mapInArrow(search, "a long, b long, overlap long").select("a", "b"), "links")
+    discard(pairs, ids)
+    return links
 
 
 def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -362,9 +384,7 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80)
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    classes = written(_classes(docs, shingle), "classes")
-    named = classes.where("cls is not null and doc_id is not null")
-    nodes = written(named.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bits").alias("bits")), "nodes")
+    classes, nodes, clashes = _named_sets(docs, shingle)
     shingles_in_all = nodes.agg(F.sum("n")).first()[0] or 0
     docs = docs.where("doc_id is not null")
     edges = None
@@ -375,8 +395,9 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80)
         frequent = _frequent(docs, shingle, percent, buckets, more_than)
         if len(frequent[0]):
             frequent = _frequent(docs, shingle, percent, buckets, more_than, frequent)
-        lists = written(_lists(docs, shingle, percent, buckets, frequent), "lists")
-        edges = _links(lists, docs, nodes, shingle, percent)
+        lists = written(_lists(docs, shingle, percent, buckets, frequent, clashes), "lists")
+        edges = _links(lists, docs, nodes, shingle, percent, clashes)
+        discard(lists)
     if edges is None:
         grouped = nodes.select("cls", F.col("rep").alias("component_id"))
     else:
@@ -389,25 +410,26 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80)
     )
 
 
-def _links(lists: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+def _links(lists: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, clashes: frozenset[int]) -> DataFrame:
     """Links between classes, enough of them to join all that are linked."""
-    least = f"(({percent} * (na + nb) + {99 + percent}) div {100 + percent})"
-    near = f"pa <= na - {least} and pb <= nb - {least}"
+    least = lambda x, y: f"(({percent} * ({x} + {y}) + {99 + percent}) div {100 + percent})"
     heads = lists.where("kind = 2").select("token", "a", F.col("n").alias("na"), F.col("pos").alias("pa"))
     tops = heads.groupBy("token").agg(F.min(F.struct("pa", "a", "na")).alias("top")).select("token", "top.*")
-    across = heads.select("token", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("pa").alias("pb")).join(tops, "token").where(f"a <> b and {near}").select("a", "b")
+    across = heads.select("token", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("pa").alias("pb")).join(tops, "token")
+    across = across.where(f"a <> b and pa <= na - {least('na', 'nb')} and pb <= nb - {least('na', 'nb')}").select("a", "b")
     pairs = written(lists.where("kind = 0").select("a", "b").union(across).distinct(), "pairs")
-    edges = written(_verified(pairs, docs, nodes, k, percent).select("a", "b"), "links")
+    edges = _verified(pairs, docs, nodes, k, percent, clashes)
     # Second look: pairs between components that no list's head has covered.
-    parts = components(edges).withColumnRenamed("node", "a")
-    posts = lists.where("kind = 1").join(parts, "a", "left").withColumn("component", F.coalesce("component", "a"))
-    mixed = posts.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    posts = written(posts.join(mixed, "token"), "postings")
-    x = posts.select("token", "a", F.col("b").alias("times"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
-    y = posts.select("token", F.col("a").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-    more = x.join(y, "token").where(f"a < b and ca <> cb and {near}").select("a", "b").distinct()
+    parts = components(edges)
+    posts = lists.where("kind = 1").select("token", F.col("a").alias("cls"), "n", "pos")
+    posts = posts.join(parts, posts.cls == parts.node, "left").select("token", "cls", "n", "pos", F.coalesce("component", "cls").alias("component"))
+    most = least("a_n", "b_n")
+    met = pairs_across(posts, ["token"], f"a_pos <= a_n - {most} and b_pos <= b_n - {most}")
     seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(more.join(seen, ["a", "b"], "left_anti"), "more")
+    more = written(met.join(seen, ["a", "b"], "left_anti"), "more")
+    discard(pairs, met, parts)
     if more.isEmpty():
         return edges
-    return edges.union(_verified(more, docs, nodes, k, percent).select("a", "b"))
+    found = _verified(more, docs, nodes, k, percent, clashes)
+    discard(more)
+    return edges.union(found)

@@ -118,6 +118,13 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield first + i, hashes[bounds[i] : bounds[i + 1]]
 
 
-def set_class(hashes: np.ndarray) -> int:
-    """A 63-bit name of a shingle set: equal sets have equal names."""
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "big") >> 1
+def set_names(hashes: np.ndarray) -> tuple[int, int]:
+    """Two independent 63-bit names of a shingle set: equal sets have equal names."""
+    digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "big") >> 1, int.from_bytes(digest[8:], "big") >> 1
+
+
+def set_class(hashes: np.ndarray, clashes: frozenset[int] = frozenset()) -> int:
+    """The name of a shingle set: the first, or the second where different sets clash in the first."""
+    first, second = set_names(hashes)
+    return second if first in clashes else first
