@@ -5,6 +5,10 @@ after it. The set of a document's signatures is its fingerprint. Fingerprints ar
 compared by Jaccard likeness, which set lengths bound: near-duplicate search deals
 them to partitions by length, wide enough that two that reach the threshold lie in
 the same or in neighbouring ones, and prunes pairs by length before it intersects.
+
+Each document also meets the next one. The order of all is found on keys alone, ranges of
+about as many keys each; then every text moves once, to its range, and each range gets a
+copy of the one text before it.
 """
 
 from __future__ import annotations
@@ -12,13 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
-from .store import written
+from .components import components, pairs_across
+from .store import discard, shuffle_partitions, written
 
 CHAIN = 2
-#: Documents whose ids lie in one such range are sorted together.
-RANGE = 256
-_LAST = -(1 << 62)
+#: Ranges of ids for each shuffle partition; equal rows beyond so many count once and are told again at the end.
+RANGES, REPEATED = 4, 1000
+#: Place of rows without doc_id in the order of ids.
+_LOWEST = -(1 << 63)
 
 # The common words of four languages that serve as anchors.
 ANCHORS = (
@@ -67,41 +72,69 @@ def _edited(df: DataFrame) -> DataFrame:
     return df.withColumn("edited", F.concat(F.expr("substring(text, 1, n_chars - n_chars div 2)"), F.substring("next", F.lit(1), half)))
 
 
+def _longs(values: list[int]) -> Column:
+    """A list of numbers as one literal array, however long."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _range_of(tops: list[tuple[int, int]]) -> Column:
+    """The number of ranges whose last key (id, h) lies below a row's, by bisection."""
+    ids, hashes = _longs([i for i, _ in tops]), _longs([h for _, h in tops])
+    steps = F.array(*[F.lit(1 << k) for k in range(len(tops).bit_length() - 1, -1, -1)])
+
+    def step(at: Column, k: Column) -> Column:
+        last = F.get(ids, at + k - 1)
+        below = (last < F.col("id")) | ((last == F.col("id")) & (F.get(hashes, at + k - 1) < F.col("h")))
+        return F.when(F.coalesce(below, F.lit(False)), at + k).otherwise(at)
+
+    return F.least(F.aggregate(steps, F.lit(0), step), F.lit(len(tops) - 1))
+
+
 def fingerprints_with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> fingerprints of each text, its edited text and their likenesses; a row a document.
 
-    The next document is that of the next smaller doc_id; the largest follows the
-    smallest, rows without doc_id come after those with one and equal ids are ordered
-    by text. The edited text has the last floor(n_chars / 2) code points replaced by
-    as many from the start of the next document, or all it has.
+    The next document is that of the next smaller doc_id; the smallest is followed by the
+    largest, and rows of one doc_id by each other in the order of their texts' hashes.
+    Rows without doc_id have the smallest of all. The edited text has the last
+    floor(n_chars / 2) code points replaced by as many from the start of the next
+    document, or all it has.
 
-    Rows are dealt by ranges of doc_id and looked at within one; only the last row of
-    a range needs the first one of another, found from the list of ranges. Null texts
-    count as empty. Repeated rows are each returned; an empty table gives none.
+    Null texts count as empty. Repeated rows are each returned: where one row stands more
+    than REPEATED times, all but one of its copies have it as their next. Other columns
+    are ignored; an empty table gives none. A fingerprint holds every signature, so it
+    grows with its text.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("range", F.coalesce(F.floor(F.col("doc_id") / RANGE), F.lit(_LAST)))
-    order = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    seen = docs.withColumn("next", F.lead("text").over(order)).withColumn("first", F.row_number().over(order) == 1)
-    seen = seen.withColumn("n_chars", F.char_length("text").cast("long"))
-    # The next range of each: within blocks of ranges, and between their ends.
-    ranges = docs.select("range").distinct().withColumn("block", F.floor(F.col("range") / 4096))
-    near = Window.partitionBy("block").orderBy(F.col("range").desc())
-    ranges = written(ranges.withColumn("then", F.lead("range").over(near)), "ranges")
-    ends = ranges.groupBy("block").agg(F.max("range").alias("top"), F.min("range").alias("low"))
-    ends = ends.withColumn("then", F.lead("top").over(Window.orderBy(F.col("block").desc())))
-    first = ranges.agg(F.max("range")).first()[0]
-    after = ranges.where("then is not null").select("range", "then").union(ends.select("low", F.coalesce("then", F.lit(first).cast("long"))))
-    heads = seen.where("first").select(F.col("range").alias("then"), F.col("text").alias("next"))
-    heads = signatures(heads, "next", "next_sigs")
-    last = seen.where("next is null").drop("next").join(after, "range").join(heads, "then").select("doc_id", "text", "n_chars", "next", "next_sigs")
-    inner = signatures(seen, "text", "sigs").withColumn("next_sigs", F.lead("sigs").over(order)).where("next is not null")
-    rows = inner.select("doc_id", "text", "n_chars", "next", "sigs", "next_sigs").unionByName(signatures(last, "text", "sigs").select("doc_id", "text", "n_chars", "next", "sigs", "next_sigs"))
-    rows = signatures(_edited(rows), "edited", "edited_sigs")
-    return rows.select(
+    docs = docs.withColumn("id", F.coalesce("doc_id", F.lit(_LOWEST))).withColumn("h", F.xxhash64("text"))
+    keys = written(docs.select("id", "h"), "keys")
+    repeated = written(keys.groupBy("id", "h").agg(F.count("*").alias("n")).where(F.col("n") > F.greatest(F.lit(REPEATED), F.lit(keys.count() // 1_000_000))), "repeated")
+    rows = docs.withColumn("n", F.lit(1).cast("long"))
+    if not repeated.isEmpty():
+        hot = docs.join(F.broadcast(repeated.select("id", "h")), ["id", "h"], "left_semi")
+        hot = hot.groupBy("id", "h").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("n"))
+        rows = rows.join(F.broadcast(repeated.select("id", "h")), ["id", "h"], "left_anti").select("doc_id", "text", "id", "h", "n").union(hot.select("doc_id", "text", "id", "h", "n"))
+        keys = keys.join(F.broadcast(repeated.select("id", "h")), ["id", "h"], "left_anti").union(repeated.select("id", "h"))
+    dealt = keys.repartitionByRange(RANGES * shuffle_partitions(spark), "id", "h").groupBy(F.spark_partition_id().alias("at")).agg(F.max(F.struct("id", "h")).alias("top"))
+    tops = sorted((r["id"], r["h"]) for r in dealt.select("top.*").collect()) or [(0, 0)]
+    rows = rows.select(_range_of(tops).alias("range"), "id", "h", F.lit(True).alias("own"), "doc_id", "text", "n")
+    # the text before each range is the last one of the range before, and before the first that of the last
+    ends = spark.range(1).select(F.inline(F.arrays_zip(_longs([i for i, _ in tops]).alias("id"), _longs([h for _, h in tops]).alias("h"), F.sequence(F.lit(1), F.lit(len(tops))).alias("to"))))
+    before = docs.join(F.broadcast(ends), ["id", "h"]).groupBy("to").agg(F.first("id").alias("id"), F.first("h").alias("h"), F.first("text").alias("text"))
+    before = before.select((F.col("to") % len(tops)).alias("range"), "id", "h", F.lit(False).alias("own"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(1).cast("long").alias("n"))
+    order = Window.partitionBy("range").orderBy("own", "id", "h")
+    seen = rows.union(before).withColumn("next", F.lag("text").over(order))
+    seen = signatures(seen, "text", "sigs").withColumn("next_sigs", F.lag("sigs").over(order)).where("own")
+    # of copies told once, one has the row before as its next and the others have the row itself
+    seen = seen.withColumn("copy", F.explode(F.when(F.col("n") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    seen = seen.withColumns({"next": F.when(F.col("copy") == 1, F.col("text")).otherwise(F.col("next")), "next_sigs": F.when(F.col("copy") == 1, F.col("sigs")).otherwise(F.col("next_sigs"))})
+    seen = signatures(_edited(seen.withColumn("n_chars", F.char_length("text").cast("long"))), "edited", "edited_sigs")
+    found = seen.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("sigs")).alias("fingerprint"),
-        fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"), "copy", "n",
     )
+    times = F.when(F.col("copy") == 1, F.sequence(F.lit(2).cast("long"), F.col("n"))).otherwise(F.array(F.lit(0).cast("long")))
+    return found.withColumn("turn", F.explode(times)).drop("copy", "n", "turn")
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
@@ -134,11 +167,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     edges = written(alike(star), "alike")
     parts = components(edges).withColumnRenamed("node", "cls")
     posts = lanes.join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = posts.groupBy("sig", "lane").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig", "lane")
-    posts = written(posts.join(mixed, ["sig", "lane"]), "posts")
-    x = posts.select("sig", "lane", F.col("cls").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    y = posts.select("sig", "lane", F.col("cls").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    rest = x.join(y, ["sig", "lane"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    rest = pairs_across(posts, ["sig", "lane"], f"least(a_n, b_n) >= {threshold} * greatest(a_n, b_n) - 1e-9")
     parts = components(edges.union(written(alike(rest), "alike"))).withColumnRenamed("node", "cls")
     named = sets.select("cls", "rep").join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
