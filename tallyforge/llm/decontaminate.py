@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import _STEP, _chunks, mix, word_hashes
+from .store import fresh, written
 
 _GAPS = ~np.isin(np.arange(256), np.r_[48:58, 65:91, 97:123, 128:256])
 #: Words of a seed; alignment scores; share of an item's best score that is a leak.
@@ -26,6 +27,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
 #: Benchmark words up to which the items go to every task (8 bytes each, thrice); larger ones are searched in blocks.
 BLOCK_WORDS = 2_000_000
+#: Hashes of leaking texts that may be broadcast, 8 bytes each.
+BROADCAST_KEYS = 1_000_000
 
 
 def _grams(words: np.ndarray, n: int) -> np.ndarray:
@@ -128,20 +131,20 @@ def _document_leaks(words: np.ndarray, items: _Items, n: int, least: float) -> l
     held = _among(np.concatenate([items.words[k] for k in met]), np.unique(words))
     met = met[np.add.reduceat(held.astype(np.int64), np.cumsum(sizes) - sizes) >= least * sizes]
     order = np.argsort(grams, kind="stable")
+    ordered = grams[order]
     for k in met:
         item = items.words[k]
         full = MATCH * len(item)
         with np.errstate(over="ignore"):
-            place, index = _ranges(grams[order], _grams(item, n))
+            place, index = _ranges(ordered, _grams(item, n))
         start, count = np.unique(order[index] - place, return_counts=True)
         # seeds whose diagonals lie within half an item of each other share a passage; added words cost as much as matches leave over
         cuts = np.flatnonzero(np.diff(start) > len(item) // 2 + 2) + 1
         reach = max(len(item) // 2, int(full * max(1 - least, 0))) + 2
-        weight = np.cumsum(np.r_[0, np.where(_among(words, np.unique(item)), MATCH, max(MISMATCH, GAP))])
-        passages = []
+        known, passages = np.unique(item), []
         for g, c in zip(np.split(start, cuts), np.split(count, cuts), strict=True):
             lo, hi = max(0, int(g[0]) - reach), min(len(words), int(g[-1]) + len(item) + reach)
-            run = weight[lo : hi + 1]
+            run = np.cumsum(np.r_[0, np.where(_among(words[lo:hi], known), MATCH, max(MISMATCH, GAP))])
             bound = int((run - np.minimum.accumulate(run)).max())
             if bound >= least * full:
                 passages.append((bound, lo, hi, int(c.sum())))
@@ -202,7 +205,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, seed_words: int = SEED_
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, seed_words: int = SEED_WORDS, least: float = LEAST_SCORE) -> DataFrame:
-    """docs less those of which a passage is a copy of a benchmark item; rows without doc_id are judged by their text like others."""
-    key = F.xxhash64("doc_id", "text")
-    leaks = find_leaks(docs.select(key.alias("doc_id"), "text"), benchmark, seed_words=seed_words, least=least)
-    return docs.withColumn("__key", key).join(leaks.select(F.col("doc_id").alias("__key")).distinct(), "__key", "left_anti").drop("__key")
+    """docs less those of which a passage is a copy of a benchmark item; rows without doc_id are judged by their text like others.
+
+    Texts that leak are known by a hash; while those are few they are broadcast, so that
+    the texts that stay need not move. All columns of docs are kept, whatever their names.
+    """
+    key, text = fresh(docs, "key"), F.col("text").cast("string")
+    leaks = find_leaks(docs.select(F.xxhash64(text).alias("doc_id"), "text"), benchmark, seed_words=seed_words, least=least)
+    leaks = written(leaks.select(F.col("doc_id").alias(key)).distinct(), "leaking")
+    few = leaks.count() <= BROADCAST_KEYS
+    return docs.withColumn(key, F.xxhash64(text)).join(F.broadcast(leaks) if few else leaks, key, "left_anti").select(*(f"`{c}`" for c in docs.columns))

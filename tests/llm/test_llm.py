@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -182,6 +183,26 @@ def test_edited_copies_of_items_leak(spark, texts):
     assert sorted(r["doc_id"] for r in decontaminate.without_leaks(frame, items).collect()) == [2, 4, 5, 6]
 
 
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_KEYS, 0])
+def test_documents_without_leaks_keep_their_columns(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", most)
+    item = "the quick brown fox jumps over the lazy dog"
+    rows = [(1, f"x {item} y", 5, "k"), (2, "clean words", 6, None), (2, "clean words", 6, None), (None, item, 7, "k"), (None, None, 8, "k"), (3, "", 9, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long, `KEY_` string")
+    got = decontaminate.without_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert got.columns == docs.columns and Counter(map(tuple, got.collect())) == Counter(rows[1:3] + rows[4:])
+
+
+def test_a_document_that_quotes_a_whole_benchmark(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 30)) for _ in range(3000)]
+    began = time.perf_counter()
+    items = decontaminate._Items([(i, w) for i, w in decontaminate._rows(decontaminate.pa.array(texts))], 3)
+    [(_, words)] = decontaminate._rows(decontaminate.pa.array([" and then ".join(texts)]))
+    assert {x[0] for x in decontaminate._document_leaks(words, items, 3, 0.5)} == set(range(3000))
+    assert time.perf_counter() - began < 20
+
+
 def test_hot_edited_copies_leak_beside_an_exact_one(spark):
     rng = np.random.default_rng(9)
     items = [[f"item{k}w{i}" for i in range(40)] for k in range(2)]
