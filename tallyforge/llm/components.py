@@ -42,29 +42,34 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points every node at its smallest neighbour, follows pointers twice
     and contracts the graph, which at least halves the nodes that still have edges.
-    Null ends and loops are ignored; repeated and reversed edges count once.
+    Null ends and loops are ignored; repeated and reversed edges count once. While
+    pointers are few they are broadcast, so the edges of a node that has most of them
+    stay where they are.
     """
     edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = written(edges, "edges")
     labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to"))
+        near = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")), "nearest")
+        few, to = near.count() <= BROADCAST_ROWS, near
         for _ in range(2):
             via = to.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            to = to.join(via, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
+            to = to.join(F.broadcast(via) if few else via, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
         to = written(to, "pointers")
         if labels is None:
             labels = to.select("node", F.col("to").alias("component"))
         else:
             via = to.select(F.col("node").alias("component"), F.col("to").alias("next"))
-            labels = labels.join(via, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+            labels = labels.join(F.broadcast(via) if few else via, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
         before, labels = labels, written(labels, "labels")
         a = to.select(F.col("node").alias("a"), F.col("to").alias("x"))
         b = to.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        if few:
+            a, b = F.broadcast(a), F.broadcast(b)
         moved = edges.join(a, "a").join(b, "b").where("x <> y")
         done, edges = edges, written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        discard(before, to, done)
+        discard(before, to, done, near)
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels
