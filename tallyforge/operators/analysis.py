@@ -1,7 +1,8 @@
 """Growth, ratios and valuation of entities, and one report for each.
 
 Definitions are the textbook ones, given beside each operator. Assumption grids are
-parameters, so every operator is narrow over the entities.
+parameters, so every operator is narrow over the entities. Facts are as of facts.parsed,
+one row a key; null amounts give null results; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import ratio
 from .facts import pivot_facts
 
+RATIOS = ("net_margin", "cash_conversion", "equity_ratio", "non_recurring", "mean_equity_return")
 RATIO_METRICS = ("revenue", "net_profit_parent", "net_profit_parent_adjusted", "operating_cash_flow", "assets_total", "equity_parent")
 
 
@@ -63,13 +65,19 @@ def present_value(projected: DataFrame, r: float, g_terminal: float) -> DataFram
 
 
 def sensitivity_grid(base: DataFrame, grid: list[tuple[float, float, float]], years: int) -> DataFrame:
-    """Every entity's value on every (g, r, terminal g) cell: least, median and greatest."""
+    """Every entity's value on every (g, r, terminal g) cell: least, median and greatest, the cells that have a value, and r_le_g, those that have none because r does not exceed the terminal g.
+
+    Every entity has a row; its values are null where no cell has one.
+    """
     cells = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(r).alias("r"), F.lit(e).alias("e")) for g, r, e in grid])
-    rows = base.select("document", F.col("value").cast("double").alias("value"), F.inline(cells)).where("r > e")
+    rows = base.select("document", F.col("value").cast("double").alias("value"), F.inline(cells))
     flows = F.aggregate(F.sequence(F.lit(1), F.lit(years)), F.lit(0.0), lambda s, t: s + F.pow((1 + F.col("g")) / (1 + F.col("r")), t))
-    end = F.pow((1 + F.col("g")) / (1 + F.col("r")), F.lit(years)) * (1 + F.col("e")) / (F.col("r") - F.col("e"))
-    rows = rows.withColumn("pv", F.col("value") * (flows + end))
-    return rows.groupBy("document").agg(F.round(F.min("pv"), 2).alias("least"), F.round(F.percentile("pv", 0.5), 2).alias("median"), F.round(F.max("pv"), 2).alias("most"), F.count("*").alias("cells"))
+    end = F.pow((1 + F.col("g")) / (1 + F.col("r")), F.lit(years)) * (1 + F.col("e")) / F.nullif(F.col("r") - F.col("e"), F.lit(0.0))
+    rows = rows.withColumn("pv", F.when(F.col("r") > F.col("e"), F.col("value") * (flows + end)))
+    return rows.groupBy("document").agg(
+        F.round(F.min("pv"), 2).alias("least"), F.round(F.percentile("pv", 0.5), 2).alias("median"), F.round(F.max("pv"), 2).alias("most"),
+        F.count("pv").alias("cells"), F.count_if(F.col("r") <= F.col("e")).alias("r_le_g"),
+    )
 
 
 def multiple_value(facts: DataFrame, multiples: list[tuple[str, int]]) -> DataFrame:
@@ -80,11 +88,19 @@ def multiple_value(facts: DataFrame, multiples: list[tuple[str, int]]) -> DataFr
 
 
 def entity_report(facts: DataFrame, checks: DataFrame, ratio_rows: DataFrame, values: DataFrame) -> DataFrame:
-    """One record an entity: its numbers of facts and checks by status, last ratios and values, as JSON."""
-    f = facts.groupBy("document").agg(F.count("*").alias("n_facts"), F.max("year").alias("last_year"))
-    c = checks.groupBy("document").agg(F.sum((F.col("status") == "ok").cast("long")).alias("checks_ok"), F.sum((F.col("status") != "ok").cast("long")).alias("checks_other"))
-    r = ratio_rows.groupBy("document").agg(F.max_by("net_margin", "period").alias("net_margin"))
-    v = values.groupBy("document").agg(F.max("present_value").alias("best_value"))
+    """One record an entity, as JSON: its facts, the checks of its quarters, its ratios and its values, each in order.
+
+    Amounts are exact decimals as text; what is null is left out. An entity has at most
+    one fact a metric and period, so its lists are bounded by those.
+    """
+
+    def part(rows: DataFrame, name: str, *columns: Column) -> DataFrame:
+        return rows.groupBy("document").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+
+    text = lambda name, kind: F.col(name).cast(kind).cast("string").alias(name)
+    f = part(facts, "facts", F.col("name"), F.col("period"), text("amount", "decimal(24,4)"), F.col("unit"))
+    c = part(checks, "checks", F.col("name"), F.col("year"), text("diff", "decimal(24,4)"), F.col("status"))
+    r = part(ratio_rows, "ratios", F.col("period"), *(text(n, "decimal(24,6)") for n in RATIOS))
+    v = part(values, "values", F.col("scenario"), text("present_value", "decimal(24,2)"), F.col("flag"))
     parts = f.join(c, "document", "left").join(r, "document", "left").join(v, "document", "left")
-    text = lambda c: F.col(c).cast("string").alias(c)
-    return parts.select("document", F.to_json(F.struct("n_facts", "last_year", "checks_ok", "checks_other", text("net_margin"), F.col("best_value").cast("decimal(24,2)").cast("string").alias("best_value"))).alias("report"))
+    return parts.select("document", F.to_json(F.struct("facts", "checks", "ratios", "values")).alias("report"))

@@ -1,12 +1,16 @@
 """Reconciling a document manifest with stored and landed copies, and keeping corpora apart.
 
-Digests travel, never contents: they are computed where the bytes are, and joins are
-on paths and digests. All operators are DataFrame expressions.
+Joins are on paths and digests; contents move only for the store that is written anew.
+All operators are DataFrame expressions. Rows without a path or digest match nothing;
+repeated rows are each returned unless an operator says otherwise; empty tables give
+empty results, or results as for nothing present.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import inside, resolved_segments
@@ -46,10 +50,11 @@ def fingerprint(df: DataFrame, column: str) -> DataFrame:
 
 
 def freshness(manifest: DataFrame, store: DataFrame) -> DataFrame:
-    """Adds state: current if the stored copy has the manifest's digest exactly, stale, or absent."""
-    held = store.select("path", F.col("sha256").alias("stored"))
-    state = F.when(F.col("stored").isNull(), "absent").when(F.col("stored") == F.col("sha256"), "current").otherwise("stale")
-    return manifest.join(held, "path", "left").withColumn("state", state).drop("stored")
+    """Adds state: current if the stored copy has the manifest's digest exactly, stale, or absent. A path stored several times counts once, as current if any copy is."""
+    exact = store.select("path", "sha256").distinct().withColumn("exact", F.lit(True))
+    there = store.select("path").distinct().withColumn("there", F.lit(True))
+    state = F.when(F.col("exact"), "current").when(F.col("there"), "stale").otherwise("absent")
+    return manifest.join(exact, ["path", "sha256"], "left").join(there, "path", "left").select(*(manifest[c] for c in manifest.columns), state.alias("state"))
 
 
 def pending(manifest: DataFrame, store: DataFrame) -> DataFrame:
@@ -76,11 +81,60 @@ def classify(manifest: DataFrame, store: DataFrame, landed: DataFrame, root: str
 
 
 def verified_replace(classified: DataFrame, store: DataFrame) -> DataFrame:
-    """The new store (path, sha256): verified landed copies replace stored ones, all others stay."""
+    """The new store's digests (path, sha256): verified landed copies replace stored ones, all others stay."""
     fresh = classified.where(F.col("status").isin("new", "replaced")).select("path", F.col("landed").alias("verified")).distinct()
     return store.select("path", "sha256").join(fresh, "path", "full_outer").select("path", F.coalesce("verified", "sha256").alias("sha256"))
 
 
+def replaced_files(classified: DataFrame, store: DataFrame, landed: DataFrame) -> DataFrame:
+    """store and landed (path, content) -> the new store (path, sha256, content).
+
+    Landed copies that classify() found new or replaced come in, one a path; all other
+    stored files stay, those of paths the manifest does not know too.
+    """
+    accepted = classified.where(F.col("status").isin("new", "replaced")).select("path").distinct()
+    fresh = landed.join(accepted, "path", "left_semi").dropDuplicates(["path"])
+    kept = store.join(accepted, "path", "left_anti")
+    return kept.select("path", "content").union(fresh.select("path", "content")).select("path", F.sha2("content", 256).alias("sha256"), "content")
+
+
+def swap_store(files: DataFrame, base: str) -> int:
+    """Write files as the next version of the store at base; returns its number.
+
+    The files are staged beside the versions, read back and held against their digests;
+    only then does one rename make them a version. A run that fails leaves the store as it
+    was, so readers of read_store never see half of one. Two writers cannot both win.
+    """
+    spark = files.sparkSession
+    system, root = _hadoop(spark, base)
+    staged, wanted = f"{base}/staging-{uuid.uuid4().hex}", store_version(spark, base) + 1
+    files.write.parquet(staged)
+    damaged = spark.read.schema(files.schema).parquet(staged).where(~F.sha2("content", 256).eqNullSafe(F.col("sha256")))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    whole = damaged.isEmpty()
+    if not whole or system.exists(path(f"{base}/version={wanted}")) or not system.rename(path(staged), path(f"{base}/version={wanted}")):
+        system.delete(path(staged), True)
+        raise RuntimeError("the new store was not published: " + ("another run was first" if whole else "files do not have their digests"))
+    return wanted
+
+
+def store_version(spark: SparkSession, base: str) -> int:
+    """The number of the store's newest version, 0 if there is none."""
+    system, root = _hadoop(spark, base)
+    names = [f.getPath().getName() for f in system.listStatus(root)] if system.exists(root) else []
+    return max((int(n.removeprefix("version=")) for n in names if n.startswith("version=")), default=0)
+
+
+def read_store(spark: SparkSession, base: str, version: int | None = None) -> DataFrame:
+    """A version of the store, the newest by default."""
+    return spark.read.parquet(f"{base}/version={version or store_version(spark, base)}")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def dead_letter(classified: DataFrame) -> DataFrame:
     """(id, error) of the rows that failed."""
     return classified.where(F.col("status").isin(*FAILED)).select("id", "error")
@@ -99,7 +153,7 @@ def fail_on_errors(outcome: DataFrame) -> None:
 
 
 def completeness(required: DataFrame, present: DataFrame) -> DataFrame:
-    """(group, path) required and present -> group, ready, missing_paths."""
+    """(group, path) required and present -> group, ready, missing_paths. Present paths of other groups count for nothing, repeated ones once; a required null path is never present. A group's list is as long as what it lacks."""
     here = present.select("group", "path", F.lit(True).alias("here")).distinct()
     missing = F.sort_array(F.collect_list(F.when(F.col("here").isNull(), F.col("path"))))
     rows = required.join(here, ["group", "path"], "left").groupBy("group").agg(missing.alias("missing_paths"))
@@ -107,18 +161,18 @@ def completeness(required: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def source_groups(manifest: DataFrame) -> DataFrame:
-    """Documents by source and origin, with totals by source and over all (nulls)."""
+    """Documents by source and origin, with totals by source and over all, where the columns summed over are null; a null source or origin is a group of its own. An empty manifest gives the total 0."""
     return manifest.rollup("source", "origin").agg(F.count("*").alias("n"))
 
 
 def holdout_split(manifest: DataFrame, pct: int = 20) -> DataFrame:
-    """Adds split: whole sources are tuning or holdout, by a stable hash."""
+    """Adds split: whole sources are tuning or holdout, by a stable hash; rows without source are tuning."""
     bucket = F.conv(F.substring(F.sha2("source", 256), 1, 8), 16, 10).cast("long") % 100
     return manifest.withColumn("split", F.when(bucket < pct, "holdout").otherwise("tuning"))
 
 
 def holdout_leaks(split: DataFrame) -> DataFrame:
-    """Holdout rows whose digest or source tuning has too."""
+    """Holdout rows whose digest or source tuning has too, each once however often tuning has it; null digests and sources are equal to none."""
     tuning = split.where("split = 'tuning'")
     held = split.where("split = 'holdout'")
     digests = tuning.select("sha256").distinct().withColumn("same_content", F.lit(True))

@@ -1,4 +1,8 @@
-"""Financial facts: (document, name, value, unit, period, page) with exact amounts."""
+"""Financial facts: (document, name, value, unit, period, page) with exact amounts.
+
+Null values, units and periods are facts that cannot be read; repeated rows are each
+returned unless an operator groups them; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -45,7 +49,7 @@ def fact_conflicts(facts: DataFrame) -> DataFrame:
 
 
 def pivot_facts(facts: DataFrame, metrics: list[str] | tuple[str, ...]) -> DataFrame:
-    """A row for each document and period, a column for each metric; conflicts must be gone before."""
+    """A row for each document and period, a column for each metric, null where there is no amount; of repeated facts any one counts, so conflicts must be gone before."""
     return facts.groupBy("document", "period").pivot("name", list(metrics)).agg(F.first("amount", ignorenulls=True))
 
 
@@ -55,7 +59,7 @@ def unpivot_statement(wide: DataFrame, id_cols: list[str], periods: list[str]) -
 
 
 def quarter_rollup(facts: DataFrame, tol: float = 0) -> DataFrame:
-    """Additive metrics: the sum of four quarters against the year's value."""
+    """Additive metrics: the sum of four quarters against the year's value. Null amounts add nothing; repeated quarters would be added twice, so fact_conflicts comes first."""
     rows = facts.where(F.col("name").isin(*ADDITIVE)).groupBy("document", "name", "year").agg(
         F.sum(F.when(F.col("grain") == "quarter", F.col("amount"))).cast(AMOUNT).alias("sum_q"),
         F.count_distinct(F.when(F.col("grain") == "quarter", F.col("quarter"))).alias("n_q"),
@@ -67,24 +71,31 @@ def quarter_rollup(facts: DataFrame, tol: float = 0) -> DataFrame:
 
 
 def trace_source(facts: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(facts with their document's digest and url, facts without a document)."""
+    """(facts with their document's digest and url, facts without a document, null ones too); a document the manifest has twice is traced to both."""
     known = manifest.select(F.col("id").alias("document"), "sha256", "url")
     return facts.join(known, "document"), facts.join(known, "document", "left_anti")
 
 
 def verify_facts(extracted: DataFrame, answers: DataFrame, tol: float = 0) -> DataFrame:
-    """Extracted facts against independent answers, by key: missing, unexpected, unit_mismatch, match or mismatch."""
-    x = extracted.select(*KEY, F.col("amount").alias("got"), F.col("unit").alias("got_unit"), F.lit(True).alias("in_x"))
-    y = answers.select(*KEY, F.col("amount").alias("want"), F.col("unit").alias("want_unit"), F.lit(True).alias("in_y"))
+    """Extracted facts against independent answers, by key: missing, unexpected, unit_mismatch, match or mismatch.
+
+    Keys are compared null-safe: a null in a key is equal to a null. Equal answers count
+    once; repeated extracted rows are each judged; several different answers to one key
+    are each held against every extracted row of it.
+    """
+    x = extracted.select(*(F.col(k).alias(f"x_{k}") for k in KEY), F.col("amount").alias("got"), F.col("unit").alias("got_unit"), F.lit(True).alias("in_x"))
+    y = answers.select(*(F.col(k).alias(f"y_{k}") for k in KEY), F.col("amount").alias("want"), F.col("unit").alias("want_unit"), F.lit(True).alias("in_y")).distinct()
     status = (
         F.when(F.col("in_x").isNull(), "missing").when(F.col("in_y").isNull(), "unexpected").when(~F.col("got_unit").eqNullSafe(F.col("want_unit")), "unit_mismatch")
         .when(F.abs(F.col("got") - F.col("want")) <= tol, "match").otherwise("mismatch")
     )
-    return x.join(y, list(KEY), "full_outer").select(*KEY, "got", "want", status.alias("status"))
+    same = [F.col(f"x_{k}").eqNullSafe(F.col(f"y_{k}")) for k in KEY]
+    key = [F.when(F.col("in_x"), F.col(f"x_{k}")).otherwise(F.col(f"y_{k}")).alias(k) for k in KEY]
+    return x.join(y, same, "full_outer").select(*key, "got", "want", status.alias("status"))
 
 
 def scorecard(results: DataFrame) -> DataFrame:
-    """(kind, split, passed boolean) -> counts and pass rates with a 95 % Wilson interval; kinds are never merged."""
-    rows = results.groupBy("kind", "split").agg(F.count("*").alias("n"), F.sum(F.col("passed").cast("long")).alias("passed"))
+    """(kind, split, passed boolean) -> counts and pass rates with a 95 % Wilson interval; kinds are never merged, and an unknown outcome counts as not passed."""
+    rows = results.groupBy("kind", "split").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("passed").cast("long"), F.lit(0))).alias("passed"))
     p, n = F.col("passed"), F.col("n")
     return rows.select("kind", "split", "n", "passed", F.round(p / n, 6).alias("rate"), F.round(wilson(p, n, False), 6).alias("lo"), F.round(wilson(p, n, True), 6).alias("hi"))

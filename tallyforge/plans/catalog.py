@@ -88,9 +88,16 @@ def corpus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir).select("id", "path", "status")
 
 
-@query(_corpus(f"{_STATUS} select coalesce(s.path, c.path) as path, coalesce(c.sha256, s.sha256) as sha256 from store s full join (select path, sha256 from classified where status in ('new', 'replaced')) c on s.path = c.path"))
+@query(_corpus(f"""{_STATUS}, fresh as (select distinct path from classified where status in ('new', 'replaced'))
+select path, sha256, octet_length(encode(content)) as bytes from (select path, sha256, content from store where path not in (from fresh) union all select path, sha256, content from landed where path in (from fresh))"""))
 def verified_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.verified_replace(_classified(spark, sf_dir), src.store(spark, sf_dir))
+    """Two versions of a store with its contents, written by staging and renaming: as found, then with what was landed; read back as files."""
+    base = src.scratch(spark, "store")
+    corpus.swap_store(src.store_files(spark, sf_dir).select("path", F.sha2("content", 256).alias("sha256"), "content"), base)
+    held = corpus.read_store(spark, base)
+    classified = corpus.classify(_public(spark, sf_dir), held.select("path", "sha256"), src.landed(spark, sf_dir))
+    corpus.swap_store(corpus.replaced_files(classified, held, src.landed_files(spark, sf_dir)), base)
+    return corpus.read_store(spark, base).select("path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"))
 
 
 @query(_corpus(f"{_STATUS} select id, status || ': ' || path as error from classified where status in ('rejected_path', 'not_landed', 'mismatch')"))
@@ -108,7 +115,7 @@ select n.document as "group", count(h.name) = count(*) as ready, coalesce(string
 from need n left join have h using (document, name, period) group by 1"""))
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Required: every annual fact of an entity; present: those of entities that were delivered."""
-    annual = src.facts(spark, sf_dir).where("period not like '%Q%'").select(F.col("document").alias("group"), F.concat_ws("/", "name", "period").alias("path"))
+    annual = src.stored(src.facts(spark, sf_dir).where("period not like '%Q%'").select(F.col("document").alias("group"), F.concat_ws("/", "name", "period").alias("path")), "annual")
     present = annual.where("cast(substring(`group`, 2) as bigint) % 7 <> 0")
     return corpus.completeness(annual, present).select("group", "ready", F.array_join("missing_paths", ",").alias("missing"))
 
@@ -148,25 +155,27 @@ def fact_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.parsed(src.facts(spark, sf_dir))
+    """The facts, derived and parsed once however often a query uses them."""
+    return src.stored(facts.parsed(src.facts(spark, sf_dir)), "facts")
 
 
-@query(_facts("w as (select 'S' || e as document, y::varchar as period, revenue, net_profit_parent, operating_cash_flow, assets_total, equity_parent, eps_basic from yf) select * from w"))
+@query(_facts("w as (select 'S' || e as document, y::varchar as period, revenue, net_profit_parent, net_profit_parent_adjusted, operating_cash_flow, assets_total, equity_parent, eps_basic from yf) select * from w"))
 def pivot_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.pivot_facts(_clean(spark, sf_dir).where("grain = 'annual'"), ("revenue", "net_profit_parent", "operating_cash_flow", "assets_total", "equity_parent", "eps_basic"))
+    return facts.pivot_facts(_clean(spark, sf_dir).where("grain = 'annual'"), (*src.AMOUNTS, "assets_total", "equity_parent", "eps_basic"))
 
 
-@query(_facts("u as (select document, name, period, value::decimal(24,4) as value from facts where period in ('1998', '1999', '2000')) select * from u"))
+@query(_facts("u as (select document, name, period, value::decimal(24,4) as value from facts where period not like '%Q%') select * from u"))
 def unpivot_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annual statements with a column a year, back to a row a period."""
-    years = ["1998", "1999", "2000"]
-    wide = _clean(spark, sf_dir).where(F.col("period").isin(years)).groupBy("document", "name").pivot("period", years).agg(F.first("amount"))
+    """Annual statements with a column for every year there is, back to a row a period."""
+    annual = _clean(spark, sf_dir).where("grain = 'annual'")
+    years = sorted(r["period"] for r in annual.select("period").distinct().collect())
+    wide = annual.groupBy("document", "name").pivot("period", years).agg(F.first("amount"))
     return facts.unpivot_statement(wide, ["document", "name"], years)
 
 
 _PARSED = "f as (select *, value::decimal(24,4) as amount, substr(period, 1, 4)::int as year, try_cast(substr(period, 7) as int) as quarter from facts)"
 _ROLLUP = f"""{_PARSED}, ru as (select document, name, year, cast(sum(amount) filter (where quarter is not null) as decimal(24,4)) as sum_q, count(distinct quarter) as n_q, max(amount) filter (where quarter is null) as annual
- from f where name in ('revenue', 'net_profit_parent', 'operating_cash_flow') group by 1, 2, 3),
+ from f where name in ('revenue', 'net_profit_parent', 'net_profit_parent_adjusted', 'operating_cash_flow') group by 1, 2, 3),
  rollup_ as (select *, case when n_q = 4 then cast(sum_q - annual as decimal(24,4)) end as diff, case when n_q < 4 then 'incomplete' when annual is null then 'no_annual' when abs(sum_q - annual) > 0 then 'mismatch' else 'ok' end as status from ru)"""
 
 
@@ -190,19 +199,20 @@ def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.expr("concat('S', s_suppkey)").alias("id"), F.sha2("s_name", 256).alias("sha256"), F.expr("concat('https://example.org/', s_suppkey)").alias("url"))
 
 
-_VERIFY = """a as (select document, name, period, value::decimal(24,4) as want, unit from facts where name = 'revenue' and period like '%Q%'), e0 as (select *, substr(document, 2)::bigint as e from a),
+_VERIFY = """a as (select document, case when substr(document, 2)::bigint % 5 = 0 and name = 'assets_total' and period = '1998' then null else name end as name, period, value::decimal(24,4) as want, unit from facts), e0 as (select *, substr(document, 2)::bigint as e from a),
 x as (select document, name, period, cast(case when e % 13 = 0 then want + 1 else want end as decimal(24,4)) as got, case when e % 29 = 0 then '%' else unit end as unit from e0 where e % 17 <> 0
  union all select 'S' || (100000 + e), name, period, want, unit from e0 where e % 19 = 0),
 v as (select coalesce(x.document, a.document) as document, coalesce(x.name, a.name) as name, coalesce(x.period, a.period) as period, got, want,
  case when x.document is null then 'missing' when a.document is null then 'unexpected' when x.unit is distinct from a.unit then 'unit_mismatch' when abs(got - want) <= 0 then 'match' else 'mismatch' end as status
- from x full join a on x.document = a.document and x.name = a.name and x.period = a.period)"""
+ from x full join a on x.document = a.document and x.name is not distinct from a.name and x.period = a.period)"""
 
 
 @query(_facts(f"{_VERIFY} select * from v"))
 def verify_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extracted quarterly revenue with known errors, against the answers."""
-    answers = facts.parse_value(src.facts(spark, sf_dir).where("name = 'revenue' and period like '%Q%'"))
+    """All facts as extracted with known errors, some without a name, against the answers."""
     e = F.expr("cast(substring(document, 2) as bigint)")
+    answers = facts.parse_value(src.facts(spark, sf_dir)).withColumn("name", F.when((e % 5 == 0) & (F.col("name") == "assets_total") & (F.col("period") == "1998"), None).otherwise(F.col("name")))
+    answers = src.stored(answers, "answers")
     shifted = answers.where(e % 17 != 0).withColumn("amount", F.when(e % 13 == 0, F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(24,4)")).withColumn("unit", F.when(e % 29 == 0, "%").otherwise(F.col("unit")))
     copies = answers.where(e % 19 == 0).withColumn("document", F.concat(F.lit("S"), (e + 100000).cast("string")))
     return facts.verify_facts(shifted.unionByName(copies), answers)
@@ -253,13 +263,21 @@ g as (select *, lag(amount) over w as prior0, ix - lag(ix) over w <> 1 as gap fr
 h as (select *, case when prior0 is null then 'first' when gap then 'gap' when prior0 = 0 then 'zero_base' when prior0 < 0 then 'negative_base' end as flag from g)
 select document, name, grain, period, amount, case when flag is null or flag in ('zero_base', 'negative_base') then prior0 end as prior, case when flag is null then round(amount::double / nullif(prior0::double, 0) - 1, 6) end as growth, flag from h"""))
 def growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.growth(_clean(spark, sf_dir).where("name <> 'eps_basic'"))
+    return analysis.growth(_clean(spark, sf_dir))
 
 
-ORACLE["growth"] = ORACLE["growth"].replace("from f),", "from f where name <> 'eps_basic'),", 1)
+@query(_facts(f"""{_PARSED}, i as (select document, name, period, amount, year from f where quarter is null),
+g as (select *, lag(amount, 3) over w as prior0, year - lag(year, 3) over w <> 3 as gap from i window w as (partition by document, name order by year)),
+h as (select *, case when prior0 is null then 'first' when gap then 'gap' when prior0 = 0 then 'zero_base' when prior0 < 0 then 'negative_base' end as flag from g)
+select document, name, 'annual' as grain, period, amount, case when flag is null or flag in ('zero_base', 'negative_base') then prior0 end as prior,
+ case when flag is null and amount > 0 then round(pow(amount::double / prior0::double, 1e0 / 3) - 1, 6) end as growth, flag from h"""))
+def compound_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The yearly rate that leads from each annual amount to that of three years on."""
+    return analysis.growth(_clean(spark, sf_dir).where("grain = 'annual'"), 3)
+
 
 _RATIO = """rt as (select 'S' || e as document, y::varchar as period, round(net_profit_parent::double / nullif(revenue::double, 0), 6) as net_margin, round(operating_cash_flow::double / nullif(net_profit_parent::double, 0), 6) as cash_conversion,
-round(equity_parent::double / nullif(assets_total::double, 0), 6) as equity_ratio, null::decimal(24,4) as non_recurring,
+round(equity_parent::double / nullif(assets_total::double, 0), 6) as equity_ratio, cast(net_profit_parent - net_profit_parent_adjusted as decimal(24,4)) as non_recurring,
 round(net_profit_parent::double / ((equity_parent::double + (case when lag(y) over w = y - 1 then lag(equity_parent) over w end)::double) / 2), 6) as mean_equity_return
 from yf window w as (partition by e order by y))"""
 
@@ -270,34 +288,40 @@ def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ASSUMPTIONS = [("low", 0.02), ("high", 0.05)]
-_BASE = "b as (select 'S' || e as document, revenue::double as v from yf where y = 2000), s as (select * from (values ('low', 0.02e0), ('high', 0.05e0)) t(scenario, g)), pj as (select document, scenario, g, t::int as t, v * pow(1 + g, t) as projected from b, s, range(1, 6) r(t))"
+_BASE = _ROLLUP + """, b as (select document, arg_max(annual, year)::double as v from rollup_ where name = 'revenue' and status = 'ok' group by 1), s as (select * from (values ('low', 0.02e0), ('high', 0.05e0)) t(scenario, g)),
+pj as (select document, scenario, g, t::int as t, v * pow(1 + g, t) as projected from b, s, range(1, 6) r(t))"""
 
 
-def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clean(spark, sf_dir).where("name = 'revenue' and period = '2000'").select("document", F.col("amount").alias("value"))
+def _base(rows: DataFrame) -> DataFrame:
+    """(document, value): revenue of each entity's latest year whose four quarters add up to it."""
+    full = facts.quarter_rollup(rows).where("name = 'revenue' and status = 'ok'")
+    return full.groupBy("document").agg(F.max_by("annual", "year").alias("value"))
 
 
 @query(_facts(f"{_BASE} select document, scenario, g, t, round(projected, 2) as projected from pj"))
 def project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.project(_base(spark, sf_dir), ASSUMPTIONS, 5).select("document", "scenario", "g", "t", F.round("projected", 2).alias("projected"))
+    return analysis.project(_base(_clean(spark, sf_dir)), ASSUMPTIONS, 5).select("document", "scenario", "g", "t", F.round("projected", 2).alias("projected"))
 
 
 _PV = "pv as (select document, scenario, round(sum(projected / pow(1.08e0, t)) + arg_max(projected, t) * 1.01e0 / (0.08e0 - 0.01e0) / pow(1.08e0, 5), 2) as present_value, null::varchar as flag from pj group by 1, 2)"
 
 
-@query(_facts(f"{_BASE}, {_PV} select * from pv"))
+@query(_facts(f"{_BASE}, {_PV} select 'usual' as \"case\", * from pv union all select 'no_end', document, scenario, null, 'r_le_g' from pv"))
 def present_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.present_value(analysis.project(_base(spark, sf_dir), ASSUMPTIONS, 5), 0.08, 0.01)
+    """At a usual rate, and at one that does not exceed the growth after the last year, which has no finite value."""
+    flows = analysis.project(_base(_clean(spark, sf_dir)), ASSUMPTIONS, 5)
+    cases = [analysis.present_value(flows, r, g).select(F.lit(name).alias("case"), "*") for name, r, g in (("usual", 0.08, 0.01), ("no_end", 0.03, 0.03))]
+    return cases[0].unionByName(cases[1])
 
 
-GRID = [(g, r, e) for g in (0.02, 0.05) for r in (0.08, 0.10, 0.12) for e in (0.01, 0.02)]
+GRID = [(g, r, e) for g in (0.02, 0.05) for r in (0.08, 0.10, 0.12) for e in (0.01, 0.02, 0.09)]
 
 
-@query(_facts(f"""b as (select 'S' || e as document, revenue::double as v from yf where y = 2000), k as (select * from (values {", ".join(f"({g}e0, {r}e0, {e}e0)" for g, r, e in GRID)}) t(g, r, e)),
-c as (select document, v * (list_sum(list_transform(range(1, 6), lambda t: pow((1 + g) / (1 + r), t))) + pow((1 + g) / (1 + r), 5) * (1 + e) / (r - e)) as pv from b, k)
-select document, round(min(pv), 2) as least, round(quantile_cont(pv, 0.5), 2) as median, round(max(pv), 2) as most, count(*) as cells from c group by 1"""))
+@query(_facts(f"""{_BASE}, k as (select * from (values {", ".join(f"({g}e0, {r}e0, {e}e0)" for g, r, e in GRID)}) t(g, r, e)),
+c as (select document, r, e, case when r > e then v * (list_sum(list_transform(range(1, 6), lambda t: pow((1 + g) / (1 + r), t))) + pow((1 + g) / (1 + r), 5) * (1 + e) / (r - e)) end as pv from b, k)
+select document, round(min(pv), 2) as least, round(quantile_cont(pv, 0.5), 2) as median, round(max(pv), 2) as most, count(pv) as cells, count(*) filter (where r <= e) as r_le_g from c group by 1"""))
 def sensitivity_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.sensitivity_grid(_base(spark, sf_dir), GRID, 5)
+    return analysis.sensitivity_grid(_base(_clean(spark, sf_dir)), GRID, 5)
 
 
 @query(_facts("mv as (select 'S' || e as document, y::varchar as period, multiple_name, cast(eps_basic * multiple as decimal(24,4)) as price from yf, (values ('low', 8), ('high', 15)) t(multiple_name, multiple)) select * from mv"))
@@ -305,12 +329,27 @@ def multiple_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.multiple_value(_clean(spark, sf_dir), [("low", 8), ("high", 15)])
 
 
-@query(_facts(f"""{_ROLLUP}, {_BASE}, {_PV}, {_RATIO},
-n as (select document, count(*) as n_facts, max(year) as last_year from f group by 1), ck as (select document, count(*) filter (where status = 'ok') as a, count(*) filter (where status <> 'ok') as z from rollup_ group by 1),
-rr as (select document, arg_max(net_margin, period) as net_margin from rt group by 1), vv as (select document, max(present_value) as best from pv group by 1)
-select document, '{{"n_facts":' || n_facts || ',"last_year":' || last_year || ',"checks_ok":' || a || ',"checks_other":' || z || case when net_margin is null then '' else ',"net_margin":"' || net_margin || '"' end || case when best is null then '' else ',"best_value":"' || best::decimal(24,2) || '"' end || '}}' as report
-from n left join ck using (document) left join rr using (document) left join vv using (document)"""))
+def _json(**fields: str) -> str:
+    """A SQL expression of a JSON object whose null fields are left out; numbers are written as such, text in quotes."""
+    parts = ", ".join(f"""case when {x} is not null then '"{name}":' || {f"{x}" if name == "year" else f"""'"' || {x} || '"'"""} end""" for name, x in fields.items())
+    return "'{' || concat_ws(',', " + parts + ") || '}'"
+
+
+def _list(part: str, source: str, order: str, /, **fields: str) -> str:
+    return f"j_{part} as (select document, '[' || string_agg({_json(**fields)}, ',' order by {order}) || ']' as \"{part}\" from {source} group by 1)"
+
+
+_DECIMAL = {n: f"cast({n} as decimal(24,6))::varchar" for n in analysis.RATIOS}
+
+
+@query(_facts(f"""{_BASE}, {_PV}, {_RATIO},
+{_list("facts", "f", "name, period", name="name", period="period", amount="amount::varchar", unit="unit")},
+{_list("checks", "rollup_", "name, year", name="name", year="year::varchar", diff="diff::varchar", status="status")},
+{_list("ratios", "rt", "period", period="period", **_DECIMAL)},
+{_list("values", "pv", "scenario", scenario="scenario", present_value="cast(present_value as decimal(24,2))::varchar", flag="flag")}
+select f.document, '{{' || concat_ws(',', '"facts":' || facts, '"checks":' || checks, '"ratios":' || ratios, '"values":' || "values") || '}}' as report
+from j_facts f left join j_checks using (document) left join j_ratios using (document) left join j_values using (document)"""))
 def entity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _clean(spark, sf_dir)
-    values = analysis.present_value(analysis.project(_base(spark, sf_dir), ASSUMPTIONS, 5), 0.08, 0.01)
+    values = analysis.present_value(analysis.project(_base(rows), ASSUMPTIONS, 5), 0.08, 0.01)
     return analysis.entity_report(rows, facts.quarter_rollup(rows), analysis.ratios(rows), values)

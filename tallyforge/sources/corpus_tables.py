@@ -13,19 +13,28 @@ FACT_FILE = "description string, pdf_sha256 string, image_sha256 string, url str
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder all executors share; a temporary one only where spark.checkpoint.dir is unset."""
+    """A new path in the folder all executors share. Where spark.checkpoint.dir is unset, a cluster gets an error and a local session a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tallyforge-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tallyforge/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once in the shared folder and read back, for tables that a query uses several times."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def manifest_scan(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
-    """The manifest's rows. Rows must have id, origin and path: the first that lacks one fails the read."""
+    """The manifest's rows. Rows must have id, origin and path: the first that lacks one fails every read, whatever columns it asks for. Repeated rows stay; an empty manifest gives none."""
     rows = spark.read.schema(MANIFEST).option("multiLine", multi_line).json(path)
-    checked = F.when(F.col("id").isNull() | F.col("origin").isNull() | F.col("path").isNull(), F.raise_error(F.lit("a manifest row lacks id, origin or path")).cast("string")).otherwise(F.col("id"))
-    return rows.withColumn("id", checked)
+    lacks = F.col("id").isNull() | F.col("origin").isNull() | F.col("path").isNull()
+    return rows.where(F.when(lacks, F.raise_error(F.lit("a manifest row lacks id, origin or path")).cast("boolean")).otherwise(F.lit(True)))
 
 
 def fact_scan(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
@@ -56,30 +65,41 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("id"), "source", origin.alias("origin"), _path().alias("path"), F.expr("concat('https://example.org/', doc_id)").alias("url"), F.sha2("text", 256).alias("sha256"))
 
 
-def store(spark: SparkSession, sf_dir: str) -> DataFrame:
+def store_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content) of the store; some are stale."""
     docs = table(spark, sf_dir, "documents").where("doc_id % 7 <> 0")
-    return docs.select(_path().alias("path"), F.expr("sha2(if(doc_id % 11 = 0, concat(text, 'x'), text), 256)").alias("sha256"))
+    return docs.select(_path().alias("path"), F.expr("if(doc_id % 11 = 0, concat(text, 'x'), text)").cast("binary").alias("content"))
 
 
-def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def landed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content) of landed copies; some are damaged."""
     docs = table(spark, sf_dir, "documents").where("doc_id % 17 <> 0")
-    return docs.select(_path().alias("path"), F.expr("sha2(if(doc_id % 13 = 0, concat(text, 'y'), text), 256)").alias("sha256"))
+    return docs.select(_path().alias("path"), F.expr("if(doc_id % 13 = 0, concat(text, 'y'), text)").cast("binary").alias("content"))
+
+
+def store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_files(spark, sf_dir).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed_files(spark, sf_dir).select("path", F.sha2("content", 256).alias("sha256"))
 
 
 CORPUS_SQL = """
 manifest as (select doc_id::varchar as id, source, case when doc_id % 5 < 2 then 'simulated' else 'public_original' end as origin,
   (case when doc_id % 101 = 0 then '../escape' else source end) || '/' || doc_id || '.txt' as path, 'https://example.org/' || doc_id as url, sha256(text) as sha256 from documents),
-store as (select (case when doc_id % 101 = 0 then '../escape' else source end) || '/' || doc_id || '.txt' as path, sha256(case when doc_id % 11 = 0 then text || 'x' else text end) as sha256 from documents where doc_id % 7 <> 0),
-landed as (select (case when doc_id % 101 = 0 then '../escape' else source end) || '/' || doc_id || '.txt' as path, sha256(case when doc_id % 13 = 0 then text || 'y' else text end) as sha256 from documents where doc_id % 17 <> 0)"""
+store as (select path, sha256(content) as sha256, content from (select (case when doc_id % 101 = 0 then '../escape' else source end) || '/' || doc_id || '.txt' as path, case when doc_id % 11 = 0 then text || 'x' else text end as content from documents where doc_id % 7 <> 0)),
+landed as (select path, sha256(content) as sha256, content from (select (case when doc_id % 101 = 0 then '../escape' else source end) || '/' || doc_id || '.txt' as path, case when doc_id % 13 = 0 then text || 'y' else text end as content from documents where doc_id % 17 <> 0))"""
 
 # Tables derived from lineitem and orders: financial facts of suppliers.
 
-AMOUNTS = ("revenue", "net_profit_parent", "operating_cash_flow")
+# Quarterly and annual metrics by the lines that make them up.
+PARTS = {"revenue": "true", "net_profit_parent": "l_returnflag <> 'R'", "net_profit_parent_adjusted": "l_returnflag = 'N'", "operating_cash_flow": "l_linestatus = 'F'"}
+AMOUNTS = tuple(PARTS)
 
 
 def _sums() -> list[F.Column]:
-    parts = {"revenue": "true", "net_profit_parent": "l_returnflag <> 'R'", "operating_cash_flow": "l_linestatus = 'F'"}
-    return [F.expr(f"cast(coalesce(sum(v) filter (where {c}), 0) as decimal(24,4))").alias(n) for n, c in parts.items()]
+    return [F.expr(f"cast(coalesce(sum(v) filter (where {c}), 0) as decimal(24,4))").alias(n) for n, c in PARTS.items()]
 
 
 def entity_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +128,7 @@ def _sum_sql(n: str, c: str) -> str:
     return f"cast(coalesce(sum(v) filter (where {c}), 0) as decimal(24,4)) as {n}"
 
 
-_SUMS = ", ".join(_sum_sql(n, c) for n, c in (("revenue", "true"), ("net_profit_parent", "l_returnflag <> 'R'"), ("operating_cash_flow", "l_linestatus = 'F'")))
+_SUMS = ", ".join(_sum_sql(n, c) for n, c in PARTS.items())
 FACTS_SQL = f"""
 ln as (select l_suppkey as e, year(o_orderdate) as y, quarter(o_orderdate) as q, l_partkey, l_returnflag, l_linestatus,
   cast(l_extendedprice as decimal(12,2)) * (1 - cast(l_discount as decimal(4,2))) as v from lineitem join orders on l_orderkey = o_orderkey),

@@ -166,3 +166,65 @@ def test_landings_are_judged_as_they_come(spark, tmp_path):
     assert step() == [("x", "verified"), ("y", "mismatch")]
     spark.createDataFrame([("y", b), ("z", b)], landings.LANDED).coalesce(1).write.mode("append").parquet(folder)
     assert step() == [("x", "verified"), ("y", "mismatch"), ("y", "verified"), ("z", "unexpected")]
+
+
+def test_a_broken_manifest_fails_whatever_is_read_of_it(spark, tmp_path):
+    (tmp_path / "bad.json").write_text(json.dumps([{"id": "1", "origin": None, "path": "a", "sha256": "x"}]))
+    for ask in (lambda df: df.select("path", "sha256").collect(), lambda df: df.count(), lambda df: df.select("url").collect()):
+        with pytest.raises(Exception, match="lacks id, origin or path"):
+            ask(src.manifest_scan(spark, str(tmp_path / "bad.json")))
+
+
+def test_a_store_is_swapped_whole_or_not_at_all(spark, tmp_path):
+    base = str(tmp_path / "store")
+    files = lambda *rows: spark.createDataFrame([(p, digest(t) if good else "0", bytearray(t.encode())) for p, t, good in rows], "path string, sha256 string, content binary")
+    assert corpus.store_version(spark, base) == 0
+    assert corpus.swap_store(files(("a", "1", True), ("b", "2", True)), base) == 1
+    with pytest.raises(RuntimeError, match="digests"):
+        corpus.swap_store(files(("a", "3", True), ("c", "4", False)), base)
+    assert corpus.store_version(spark, base) == 1 and sorted(p.name for p in (tmp_path / "store").iterdir()) == ["version=1"]
+    manifest = spark.createDataFrame([("1", "o", "a", "u", digest("new")), ("2", "o", "b", "u", digest("2")), ("3", "o", "d", "u", digest("d")), ("4", "o", "e", "u", digest("e"))], MANIFEST)
+    landed = spark.createDataFrame([("a", bytearray(b"new")), ("b", bytearray(b"other")), ("d", bytearray(b"d")), ("d", bytearray(b"d")), ("e", bytearray(b"damaged"))], "path string, content binary")
+    held = corpus.read_store(spark, base)
+    classified = corpus.classify(manifest, held.select("path", "sha256"), corpus.fingerprint(landed, "content").select("path", "sha256").distinct())
+    assert corpus.swap_store(corpus.replaced_files(classified, held, landed), base) == 2
+    now = {r["path"]: bytes(r["content"]) for r in corpus.read_store(spark, base).collect()}
+    assert now == {"a": b"new", "b": b"2", "d": b"d"} and {r["path"] for r in corpus.read_store(spark, base, 1).collect()} == {"a", "b"}
+
+
+def test_freshness_of_paths_stored_several_times(spark):
+    manifest = spark.createDataFrame([("1", "p", "a", "u", digest("a")), ("2", "p", "b", "u", digest("b")), ("3", "p", "c", "u", None)], MANIFEST)
+    store = spark.createDataFrame([("a", "x"), ("a", digest("a")), ("a", "y"), ("b", "x"), ("b", "y"), ("c", None)], "path string, sha256 string")
+    assert sorted((r["id"], r["state"]) for r in corpus.freshness(manifest, store).collect()) == [("1", "current"), ("2", "stale"), ("3", "stale")]
+
+
+def test_facts_without_a_name_or_period_are_verified_too(spark):
+    answers = spark.createDataFrame([("d", None, "2020", 1, "元"), ("d", "x", None, 2, "元"), ("d", "x", None, 2, "元"), (None, None, None, 3, None), ("d", "gone", "2020", 4, "元")], "document string, name string, period string, amount int, unit string")
+    extracted = spark.createDataFrame([("d", None, "2020", 1, "元"), ("d", "x", None, 5, "元"), ("d", "x", None, 2, "元"), (None, None, None, 3, None), ("d", "more", None, 4, "元")], "document string, name string, period string, amount int, unit string")
+    typed = lambda df: df.selectExpr("document", "name", "period", "cast(amount as decimal(24,4)) as amount", "unit")
+    got = sorted((r["document"] or "", r["name"] or "", r["status"]) for r in facts.verify_facts(typed(extracted), typed(answers)).collect())
+    assert got == [("", "", "match"), ("d", "", "match"), ("d", "gone", "missing"), ("d", "more", "unexpected"), ("d", "x", "match"), ("d", "x", "mismatch")]
+
+
+def test_grids_flag_cells_without_a_value_and_keep_every_entity(spark):
+    base = spark.createDataFrame([("d", 100.0), ("n", None)], "document string, value double")
+    got = {r["document"]: r for r in analysis.sensitivity_grid(base, [(0.0, 0.1, 0.0), (0.0, 0.02, 0.02), (0.0, 0.01, 0.02)], 1).collect()}
+    assert (got["d"]["least"], got["d"]["cells"], got["d"]["r_le_g"]) == (1000.0, 1, 2) and (got["n"]["least"], got["n"]["cells"], got["n"]["r_le_g"]) == (None, 0, 2)
+    none = {r["document"]: r for r in analysis.sensitivity_grid(base, [(0.0, 0.01, 0.02)], 1).collect()}
+    assert set(none) == {"d", "n"} and none["d"]["median"] is None and none["d"]["r_le_g"] == 1
+
+
+def test_empty_tables_give_empty_results(spark):
+    none = facts.parsed(spark.createDataFrame([], FACTS))
+    base = spark.createDataFrame([], "document string, value double")
+    manifest = spark.createDataFrame([], MANIFEST + ", source string")
+    pairs = spark.createDataFrame([], "path string, sha256 string")
+    flows = analysis.project(base, [("s", 0.1)], 2)
+    values = analysis.present_value(flows, 0.1, 0.0)
+    empty = [
+        corpus.freshness(manifest, pairs), corpus.pending(manifest, pairs), corpus.holdout_leaks(corpus.holdout_split(manifest)), corpus.completeness(pairs.toDF("group", "path"), pairs.toDF("group", "path")),
+        facts.fact_conflicts(none), facts.pivot_facts(none, ["revenue"]), facts.quarter_rollup(none), facts.verify_facts(none, none), *facts.trace_source(none, manifest), facts.unit_consistency(none),
+        analysis.growth(none), analysis.ratios(none), flows, values, analysis.sensitivity_grid(base, [(0.0, 0.1, 0.0)], 1), analysis.multiple_value(none, [("m", 2)]),
+        analysis.entity_report(none, facts.quarter_rollup(none), analysis.ratios(none), values),
+    ]
+    assert not any(df.count() for df in empty) and corpus.source_groups(manifest).collect()[0]["n"] == 0
