@@ -161,7 +161,7 @@ def completeness(required: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def source_groups(manifest: DataFrame) -> DataFrame:
-    """Documents by source and origin, with totals by source and over all, where the columns summed over are null; a null source or origin is a group of its own. An empty manifest gives the total 0."""
+    """Documents by source and origin, with totals by source and over all, where the columns summed over are null; a null source or origin is a group of its own."""
     return manifest.rollup("source", "origin").agg(F.count("*").alias("n"))
 
 
