@@ -30,7 +30,7 @@ NODES, WIDTH = 40, 4
 #: Fillings that one enumeration may look at.
 STEPS = 20_000
 #: Pieces of one length that are ranked together, about.
-RANKED = 20_000
+RANKED = 1000
 
 Pattern = tuple[tuple[int, ...], int]
 
