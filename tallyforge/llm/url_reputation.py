@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .store import written
 
+#: Hosts up to which their reputations are broadcast (about 200 bytes each), so that the pages of a frequent host stay dealt.
+BROADCAST_HOSTS = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Second-level labels under which country registries register names; fixed values.
 _SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
@@ -99,12 +101,14 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: DataFrame, *, min_g
     pages = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     good = outcomes.where("page_id is not null and good is not null").groupBy("page_id").agg(F.min(F.col("good").cast("int")).alias("good"))
     counts = pages.select("page_id", "host").join(good, "page_id", "left").groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
-    known = host_reputation(written(counts, "hosts"), z=z)
+    hosts = written(counts, "hosts")
+    few = hosts.count() <= BROADCAST_HOSTS
+    known = host_reputation(hosts, z=z)
     labels = F.split("host", r"\.")
     suffixes = known.select("host", labels.alias("labels")).select("host", F.explode(F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))")).alias("rule_host"))
     of_host = suffixes.join(rules, "rule_host").groupBy("host").agg(F.collect_list(F.struct("rule_path", "rule", "action")).alias("rules"))
     known = known.join(of_host, "host", "left")
     fits = F.array_max(F.transform(F.filter(F.coalesce("rules", F.expr("cast(array() as array<struct<rule_path: string, rule: string, action: string>>)")), lambda r: F.startswith(F.col("path"), r["rule_path"])), lambda r: F.struct(F.length(r["rule"]).alias("size"), r["rule"].alias("rule"), r["action"].alias("action"))))
-    judged = pages.join(known, "host").withColumn("fit", fits)
+    judged = pages.join(F.broadcast(known) if few else known, "host").withColumn("fit", fits)
     verdict = F.coalesce(F.col("fit.action"), F.when(F.col("bound") >= min_good, "allow").otherwise("block"))
     return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), F.col("n").alias("n_labelled"), F.round("bound", 6).alias("bound"))
