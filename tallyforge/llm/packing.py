@@ -187,6 +187,13 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, *, nodes: i
     return best
 
 
+@functools.cache
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @functools.cache
 def _encoder(path: str):
     """The encoder of a tokenizer file, made once in a worker process: token ids as the file's own tokenizer gives them.
@@ -196,7 +203,6 @@ def _encoder(path: str):
     """
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
@@ -206,11 +212,11 @@ def _encoder(path: str):
     byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*shown}))}
     ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added}
     ordinary = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    whole = Tokenizer.from_file(path)
+    del model, ranks
 
     def encode(text: str) -> list[int]:
         if any(t in text for t in added):
-            return whole.encode(text, add_special_tokens=False).ids
+            return _tokenizer(path).encode(text, add_special_tokens=False).ids
         return ordinary(text)
 
     return encode
