@@ -76,6 +76,27 @@ def _strength(of: str, mean: str) -> str:
     return f"(select round(1 / (case when {r} <> 0 then least(greatest({s} / {r}, 1e-3), 0.5) else 1e-3 end) - 1, 6) from {of})"
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ANCHORS = ", ".join(f"'{w}'" for w in sorted(set(spotsigs.ANCHORS)))
+
+
+def _spots_sql(of: str, text: str) -> str:
+    """(doc_id, sigs) of the texts in a table: words with their rank among the content words, then the chain after each anchor."""
+    return f"""
+  with w as (
+    select doc_id, string_split(trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') as words from {of}),
+  u as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as place from w),
+  c as (select *, lag(word in ({_ANCHORS}), 1, false) over (partition by doc_id order by place) as spot from u),
+  k as (select doc_id, spot, word || ' ' || lead(word) over (partition by doc_id order by place) as chain from c where word not in ({_ANCHORS})),
+  f as (select doc_id, list_sort(list(distinct left(md5(chain), 16))) as sigs from k where spot and chain is not null group by 1)
+  select doc_id, coalesce(sigs, [left(md5('=' || array_to_string(words, ' ')), 16)]) as sigs from w left join f using (doc_id)"""
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    both = f"len(list_intersect({a}, {b}))"
+    return f"{both}::double / (len({a}) + len({b}) - {both})"
+
+
 ORACLE = {
     "op1_url_filter": rf"""
 with p as (
@@ -105,6 +126,34 @@ f as (select host, path, arg_max(rule, length(rule)) as rule, arg_max(action, le
       from hp join r on (host = rule_host or host like '%.' || rule_host) and starts_with(path, rule_path) group by 1, 2)
 select page_id, p.host, p.path, f.rule, coalesce(f.action, case when bound >= 0.5 then 'allow' else 'block' end) as verdict, n_labelled, bound
 from p join e using (host) left join f on f.host = p.host and f.path = p.path""",
+    "op2_jaccard_join": f"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') as words from documents),
+d as (
+  select doc_id, case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')]
+    else list_sort(list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')))) end as members
+  from w),
+s as (select members, min(doc_id) as a, len(members) as n from d where len(members) > 0 and doc_id is not null group by 1),
+p as (select a, n, unnest(members) as shingle from s),
+shared as (select x.a, y.a as b, x.n as na, y.n as nb, count(*) as both_have from p x join p y using (shingle) where x.a < y.a group by all),
+l as (select a, b from shared where 100 * both_have >= 85 * (na + nb - both_have)),
+e as (from l union all select b, a from l),
+r as (select a, a as b from s union select r.a, e.b from r join e on r.b = e.a),
+least_of as (select members, min(r.b) as component_id from s join r using (a) group by 1)
+select doc_id, len(d.members)::bigint as n_shingles, case when doc_id is not null then coalesce(component_id, doc_id) end as component_id
+from d left join least_of using (members)""",
+    "op10_spotsigs": f"""
+with t as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n_chars from documents),
+ordered as (
+  select *, coalesce(lag(text) over o, last_value(text) over (o rows between unbounded preceding and unbounded following)) as next,
+         coalesce(lag(doc_id) over o, last_value(doc_id) over (o rows between unbounded preceding and unbounded following)) as next_id
+  from t window o as (order by doc_id)),
+e as (select *, left(text, n_chars - n_chars // 2) || left(next, n_chars // 2) as edited from ordered),
+a as ({_spots_sql("e", "text")}),
+b as ({_spots_sql("e", "edited")})
+select e.doc_id, e.n_chars::bigint as n_chars, sha256(edited) as edited_sha256, array_to_string(a.sigs, ',') as fingerprint, array_to_string(b.sigs, ',') as edited_fingerprint,
+       {_likeness_sql("a.sigs", "b.sigs")} as near_edited, {_likeness_sql("a.sigs", "m.sigs")} as near_next
+from e join a using (doc_id) join b using (doc_id) join a m on m.doc_id = e.next_id""",
     "op9_warc": """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
 r as (select payload_digest, max(page_id) as last from p where payload_bytes >= 1000 group by 1 having count(*) > 1)

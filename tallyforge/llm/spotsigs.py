@@ -39,8 +39,12 @@ def _words(text: Column) -> Column:
     return F.split(plain, " ")
 
 
+def _digest(chain: Column) -> Column:
+    return F.substring(F.md5(chain.cast("binary")), 1, 16)
+
+
 def signatures(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with a column of the sorted distinct signature hashes of a text column.
+    """df with a column of the sorted distinct signatures of a text column, each the first 16 hexadecimal digits of its chain's MD5.
 
     A text without spots has one signature, of all its words.
     """
@@ -50,15 +54,15 @@ def signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     marked = F.transform(words, lambda w, i: F.when(stop(w), F.lit(None)).when((i > 0) & stop(F.get(F.col(words), i - 1)), F.concat(F.lit("^"), w)).otherwise(w))
     df = df.withColumn(content, F.filter(marked, lambda w: w.isNotNull()))
     chain = lambda i: F.concat_ws(" ", *(F.ltrim(F.get(F.col(content), i + k), F.lit("^")) for k in range(CHAIN)))
-    spots = F.filter(F.transform(content, lambda w, i: F.when(F.startswith(w, F.lit("^")) & (i + CHAIN <= F.size(content)), F.xxhash64(chain(i)))), lambda h: h.isNotNull())
+    spots = F.filter(F.transform(content, lambda w, i: F.when(F.startswith(w, F.lit("^")) & (i + CHAIN <= F.size(content)), _digest(chain(i)))), lambda h: h.isNotNull())
     found = F.array_sort(F.array_distinct(spots))
-    whole = F.array(F.xxhash64(F.lit("whole"), F.array_join(words, " ")))
+    whole = F.array(_digest(F.concat(F.lit("="), F.array_join(words, " "))))
     return df.withColumn(out, found).withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(whole)).drop(words, content)
 
 
 def fingerprint(sigs: Column) -> Column:
-    """The signatures as a string of hexadecimal hashes."""
-    return F.array_join(F.transform(sigs, lambda h: F.lower(F.hex(h))), ",")
+    """The signatures as one string."""
+    return F.array_join(sigs, ",")
 
 
 def likeness(a: Column, b: Column) -> Column:

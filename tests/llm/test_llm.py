@@ -129,7 +129,7 @@ def test_jaccard_join_on_edge_rows(odd, none):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
-def test_url_filter_and_warc_equal_their_sql(spark, con):
+def test_queries_equal_their_sql(spark, con):
     for name, sql in queries.ORACLE.items():
         assert_same(queries.QUERIES[name](spark, SF), con, sql)
 
