@@ -234,8 +234,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, *, vocabulary: str | None
         encode = _encoder(path)
         for batch in batches:
             index, rows = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.array([*encode(text or ""), 0], "<u4")
+            for i, text in enumerate(batch.column(1)):  # one text in Python at a time
+                ids = np.array([*encode(text.as_py() or ""), 0], "<u4")
                 start = 0
                 for k, stop in enumerate(range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)):
                     index.append(i)
