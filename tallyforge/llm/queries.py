@@ -65,7 +65,12 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints_with_next(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_decontamination, op4_html_extraction, op5_personal_data, op6_sharding, op7_language_id, op8_packing, op9_warc, op10_spotsigs)}
+def spotsigs_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of operator 10 over length partitions, beside its fingerprints."""
+    return spotsigs.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_decontamination, op4_html_extraction, op5_personal_data, op6_sharding, op7_language_id, op8_packing, op9_warc, op10_spotsigs, spotsigs_near_duplicates)}
 
 _RULES_SQL = ", ".join(f"('{a}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}', '{r}')" for a, r in RULES)
 _SECOND = "|".join(("ac", "co", "com", "edu", "gov", "net", "org"))
@@ -154,6 +159,17 @@ b as ({_spots_sql("e", "edited")})
 select e.doc_id, e.n_chars::bigint as n_chars, sha256(edited) as edited_sha256, array_to_string(a.sigs, ',') as fingerprint, array_to_string(b.sigs, ',') as edited_fingerprint,
        {_likeness_sql("a.sigs", "b.sigs")} as near_edited, {_likeness_sql("a.sigs", "m.sigs")} as near_next
 from e join a using (doc_id) join b using (doc_id) join a m on m.doc_id = e.next_id""",
+    "spotsigs_near_duplicates": f"""
+with recursive e as (select doc_id, coalesce(text, '') as text from documents),
+f as ({_spots_sql("e", "text")}),
+s as (select sigs, min(doc_id) as a, len(sigs) as n from f group by 1),
+p as (select a, n, unnest(sigs) as sig from s),
+shared as (select x.a, y.a as b, x.n as na, y.n as nb, count(*) as both_have from p x join p y using (sig) where x.a < y.a group by all),
+l as (select a, b from shared where both_have::double / (na + nb - both_have) >= 0.8e0),
+t as (from l union all select b, a from l),
+r as (select a, a as b from s union select r.a, t.b from r join t on r.b = t.a),
+least_of as (select sigs, min(r.b) as component_id from s join r using (a) group by 1)
+select doc_id, len(f.sigs)::bigint as n_signatures, component_id from f join least_of using (sigs)""",
     "op9_warc": """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
 r as (select payload_digest, max(page_id) as last from p where payload_bytes >= 1000 group by 1 having count(*) > 1)

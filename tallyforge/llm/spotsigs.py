@@ -142,17 +142,21 @@ def fingerprints_with_next(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, component_id): documents joined by fingerprints of at least that likeness.
+    """docs (doc_id, text, ...) -> (doc_id, n_signatures, component_id), a row a document: documents joined by fingerprints of at least that likeness.
 
     Equal fingerprints collapse first. Each remaining one shows its rarest signatures,
     enough that two alike share one, in its partition of lengths and the next; pairs
     that meet there are pruned by length and then intersected. Pairs within a group
     are met through its shortest member and, beyond that, only between different
-    components. Rows without doc_id are left out; an empty table gives none.
+    components; component_id is the smallest doc_id reached.
+
+    Null texts count as empty, and texts without words are alike. Repeated rows are each
+    returned. A row without doc_id is returned with a null component_id and joins
+    nothing. Other columns are ignored; an empty table gives none.
     """
-    docs = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    ids = written(signatures(docs, "text", "sigs").select("doc_id", "sigs", F.xxhash64("sigs").alias("cls")), "fingerprints")
-    sets = ids.groupBy("cls").agg(F.first("sigs").alias("sigs"), F.min("doc_id").alias("rep")).withColumn("n", F.size("sigs"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    ids = written(signatures(docs, "text", "sigs").select("doc_id", "sigs", F.size("sigs").cast("long").alias("n_signatures"), F.xxhash64("sigs").alias("cls")), "fingerprints")
+    sets = written(ids.where("doc_id is not null").groupBy("cls").agg(F.first("sigs").alias("sigs"), F.min("doc_id").alias("rep")).withColumn("n", F.size("sigs")), "sets")
     shown = sets.select("cls", "n", F.explode("sigs").alias("sig"))
     df = shown.groupBy("sig").agg(F.count("*").alias("df"))
     prefix = F.expr(f"n - cast(ceil({threshold} * n - 1e-9) as int) + 1")
@@ -175,4 +179,5 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     parts = components(edges.union(written(alike(rest), "alike"))).withColumnRenamed("node", "cls")
     named = sets.select("cls", "rep").join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return ids.select("doc_id", "cls").join(named.join(least, "component").select("cls", "component_id"), "cls").select("doc_id", "component_id")
+    found = ids.select("doc_id", "n_signatures", "cls").join(named.join(least, "component").select("cls", "component_id"), "cls", "left")
+    return found.select("doc_id", "n_signatures", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -544,6 +544,15 @@ def test_spot_signature_duplicates(spark, texts):
     assert got == groups_of({i: naive_signatures(t) for i, t in texts.items()}, 80)
 
 
+def test_spot_signature_duplicates_on_edge_rows(spark, odd, none):
+    rows = spotsigs.near_duplicates(odd).collect()
+    assert len(rows) == odd.count() and all((r["component_id"] is None) == (r["doc_id"] is None) for r in rows)
+    assert spotsigs.near_duplicates(none).count() == 0
+    docs = [(None, "of the house"), (4, "of the house"), (2, "of the house"), (2, "of the house"), (7, None), (5, ""), (9, "another one of them")]
+    got = spotsigs.near_duplicates(spark.createDataFrame([(*r, "x", 1) for r in docs], "doc_id long, text string, sigs string, cls int")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in got) == [(0, None), (2, 2), (2, 2), (4, 2), (5, 5), (7, 5), (9, 9)]
+
+
 def test_pipeline_keeps_clean_documents(spark, con, texts):
     import corpus_pipeline
 
