@@ -42,7 +42,7 @@ SUBLIST = 4096
 #: Rows up to which the identifiers of the texts to fetch are broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Hashes gathered before a task hands on its packed postings.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 
 def required_overlap(n: int, m: int, percent: int) -> int:

@@ -13,7 +13,7 @@ _STEP = np.uint64(0xD1342543DE82EF95)  # odd, so it has an inverse modulo 2**64
 _UNSTEP = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_CHUNK_BYTES = 1 << 20
+_CHUNK_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
