@@ -1,6 +1,6 @@
 """Reconciling a document manifest with stored and landed copies, and keeping corpora apart.
 
-Joins are on paths and digests; contents move only for the store that is written anew.
+Joins are on paths and digests; contents move only in store.py, and there only accepted ones.
 All operators are DataFrame expressions. Rows without a path or digest match nothing;
 repeated rows are each returned unless an operator says otherwise; empty tables give
 empty results, or results as for nothing present.
@@ -8,9 +8,7 @@ empty results, or results as for nothing present.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import inside, resolved_segments
@@ -86,55 +84,6 @@ def verified_replace(classified: DataFrame, store: DataFrame) -> DataFrame:
     return store.select("path", "sha256").join(fresh, "path", "full_outer").select("path", F.coalesce("verified", "sha256").alias("sha256"))
 
 
-def replaced_files(classified: DataFrame, store: DataFrame, landed: DataFrame) -> DataFrame:
-    """store and landed (path, content) -> the new store (path, sha256, content).
-
-    Landed copies that classify() found new or replaced come in, one a path; all other
-    stored files stay, those of paths the manifest does not know too.
-    """
-    accepted = classified.where(F.col("status").isin("new", "replaced")).select("path").distinct()
-    fresh = landed.join(accepted, "path", "left_semi").dropDuplicates(["path"])
-    kept = store.join(accepted, "path", "left_anti")
-    return kept.select("path", "content").union(fresh.select("path", "content")).select("path", F.sha2("content", 256).alias("sha256"), "content")
-
-
-def swap_store(files: DataFrame, base: str) -> int:
-    """Write files as the next version of the store at base; returns its number.
-
-    The files are staged beside the versions, read back and held against their digests;
-    only then does one rename make them a version. A run that fails leaves the store as it
-    was, so readers of read_store never see half of one. Two writers cannot both win.
-    """
-    spark = files.sparkSession
-    system, root = _hadoop(spark, base)
-    staged, wanted = f"{base}/staging-{uuid.uuid4().hex}", store_version(spark, base) + 1
-    files.write.parquet(staged)
-    damaged = spark.read.schema(files.schema).parquet(staged).where(~F.sha2("content", 256).eqNullSafe(F.col("sha256")))
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    whole = damaged.isEmpty()
-    if not whole or system.exists(path(f"{base}/version={wanted}")) or not system.rename(path(staged), path(f"{base}/version={wanted}")):
-        system.delete(path(staged), True)
-        raise RuntimeError("the new store was not published: " + ("another run was first" if whole else "files do not have their digests"))
-    return wanted
-
-
-def store_version(spark: SparkSession, base: str) -> int:
-    """The number of the store's newest version, 0 if there is none."""
-    system, root = _hadoop(spark, base)
-    names = [f.getPath().getName() for f in system.listStatus(root)] if system.exists(root) else []
-    return max((int(n.removeprefix("version=")) for n in names if n.startswith("version=")), default=0)
-
-
-def read_store(spark: SparkSession, base: str, version: int | None = None) -> DataFrame:
-    """A version of the store, the newest by default."""
-    return spark.read.parquet(f"{base}/version={version or store_version(spark, base)}")
-
-
-def _hadoop(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
 def dead_letter(classified: DataFrame) -> DataFrame:
     """(id, error) of the rows that failed."""
     return classified.where(F.col("status").isin(*FAILED)).select("id", "error")
@@ -160,9 +109,34 @@ def completeness(required: DataFrame, present: DataFrame) -> DataFrame:
     return rows.select("group", (F.size("missing_paths") == 0).alias("ready"), "missing_paths")
 
 
+#: grouping_id of a rollup by source and origin: what a row counts.
+LEVELS = {0: "origin", 1: "source", 3: "all"}
+
+
 def source_groups(manifest: DataFrame) -> DataFrame:
-    """Documents by source and origin, with totals by source and over all, where the columns summed over are null; a null source or origin is a group of its own."""
-    return manifest.rollup("source", "origin").agg(F.count("*").alias("n"))
+    """level, source, origin, n: documents by source and origin, by source, and all. A null source or origin is a group of its own, told from a total, whose columns summed over are null, by the level."""
+    level = F.create_map(*[F.lit(x) for pair in LEVELS.items() for x in pair])[F.grouping_id("source", "origin").cast("int")]
+    return manifest.rollup("source", "origin").agg(level.alias("level"), F.count("*").alias("n")).select("level", "source", "origin", "n")
+
+
+def against_expected(groups: DataFrame, expected: DataFrame) -> DataFrame:
+    """source_groups() against expected (level, source, origin, n): level, source, origin, n, expected, status.
+
+    status: met, short, over, absent (expected and not there; n is null) or unexpected.
+    Nulls in keys are equal. Expecting 0 of a group that is not there is met. An expected
+    row without a number is compared as 0. Repeated expected rows of one group add up.
+    """
+    key = ("level", "source", "origin")
+    x = groups.select(*(F.col(k).alias(f"x_{k}") for k in key), "n", F.lit(True).alias("in_x"))
+    y = expected.groupBy(*key).agg(F.sum(F.coalesce("n", F.lit(0))).cast("long").alias("expected")).select(*(F.col(k).alias(f"y_{k}") for k in key), "expected", F.lit(True).alias("in_y"))
+    same = [F.col(f"x_{k}").eqNullSafe(F.col(f"y_{k}")) for k in key]
+    n = F.coalesce("n", F.lit(0))
+    status = (
+        F.when(F.col("in_y").isNull(), "unexpected").when(n == F.col("expected"), "met").when(F.col("in_x").isNull(), "absent")
+        .when(n < F.col("expected"), "short").otherwise("over")
+    )
+    keys = [F.when(F.col("in_x"), F.col(f"x_{k}")).otherwise(F.col(f"y_{k}")).alias(k) for k in key]
+    return x.join(y, same, "full_outer").select(*keys, "n", "expected", status.alias("status"))
 
 
 def holdout_split(manifest: DataFrame, pct: int = 20) -> DataFrame:

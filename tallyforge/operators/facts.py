@@ -30,9 +30,28 @@ def parse_period(facts: DataFrame) -> DataFrame:
     return facts.withColumns({"year": year, "quarter": quarter, "grain": grain, "period_index": F.coalesce(4 * year + quarter, year)})
 
 
+def read_facts(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts whose value and period can be read, with both parsed; the others as they came, with reason: value, period or value,period)."""
+    both = parse_period(parse_value(facts))
+    reason = F.concat_ws(",", F.when(~F.col("ok"), "value"), F.when(F.col("grain").isNull(), "period"))
+    return both.where("ok and grain is not null"), both.where("not ok or grain is null").select(*(facts[c] for c in facts.columns), reason.alias("reason"))
+
+
 def parsed(facts: DataFrame) -> DataFrame:
-    """Facts whose value and period can be read, with both parsed."""
-    return parse_period(parse_value(facts)).where("ok and grain is not null")
+    """The first part of read_facts()."""
+    return read_facts(facts)[0]
+
+
+def fact_letters(unread: DataFrame) -> DataFrame:
+    """The second part of read_facts() as dead letters (id, error): document/name/period, and what cannot be read of value and period."""
+    known = lambda c: F.coalesce(F.col(c), F.lit("null"))
+    told = F.transform(F.split("reason", ","), lambda r: F.concat(r, F.lit(" "), F.when(r == "value", known("value")).otherwise(known("period"))))
+    return unread.select(F.concat_ws("/", *map(known, KEY)).alias("id"), F.concat(F.lit("unreadable "), F.array_join(told, ", ")).alias("error"))
+
+
+def file_letters(broken: DataFrame) -> DataFrame:
+    """The second part of read_fact_files() as dead letters (id, error)."""
+    return broken.select(F.col("file").alias("id"), F.concat("reason", F.lit(": "), F.coalesce(F.col("pdf_sha256"), F.lit("no digest"))).alias("error"))
 
 
 def unit_consistency(facts: DataFrame) -> DataFrame:
@@ -77,21 +96,22 @@ def trace_source(facts: DataFrame, manifest: DataFrame) -> tuple[DataFrame, Data
 
 
 def verify_facts(extracted: DataFrame, answers: DataFrame, tol: float = 0) -> DataFrame:
-    """Extracted facts against independent answers, by key: missing, unexpected, unit_mismatch, match or mismatch.
+    """Extracted facts against independent answers, by key: missing, unexpected, unit_mismatch, match or mismatch. The pages of both are reported, not compared; a table without a page gives null ones.
 
-    Keys are compared null-safe: a null in a key is equal to a null. Equal answers count
+    Keys are compared null-safe: a null in a key is equal to a null. Equal answers (pages too) count
     once; repeated extracted rows are each judged; several different answers to one key
     are each held against every extracted row of it.
     """
-    x = extracted.select(*(F.col(k).alias(f"x_{k}") for k in KEY), F.col("amount").alias("got"), F.col("unit").alias("got_unit"), F.lit(True).alias("in_x"))
-    y = answers.select(*(F.col(k).alias(f"y_{k}") for k in KEY), F.col("amount").alias("want"), F.col("unit").alias("want_unit"), F.lit(True).alias("in_y")).distinct()
+    page = lambda df: F.col("page") if "page" in df.columns else F.lit(None).cast("int")
+    x = extracted.select(*(F.col(k).alias(f"x_{k}") for k in KEY), F.col("amount").alias("got"), F.col("unit").alias("got_unit"), page(extracted).alias("got_page"), F.lit(True).alias("in_x"))
+    y = answers.select(*(F.col(k).alias(f"y_{k}") for k in KEY), F.col("amount").alias("want"), F.col("unit").alias("want_unit"), page(answers).alias("want_page"), F.lit(True).alias("in_y")).distinct()
     status = (
         F.when(F.col("in_x").isNull(), "missing").when(F.col("in_y").isNull(), "unexpected").when(~F.col("got_unit").eqNullSafe(F.col("want_unit")), "unit_mismatch")
         .when(F.abs(F.col("got") - F.col("want")) <= tol, "match").otherwise("mismatch")
     )
     same = [F.col(f"x_{k}").eqNullSafe(F.col(f"y_{k}")) for k in KEY]
     key = [F.when(F.col("in_x"), F.col(f"x_{k}")).otherwise(F.col(f"y_{k}")).alias(k) for k in KEY]
-    return x.join(y, same, "full_outer").select(*key, "got", "want", status.alias("status"))
+    return x.join(y, same, "full_outer").select(*key, "got", "want", "got_page", "want_page", status.alias("status"))
 
 
 def scorecard(results: DataFrame) -> DataFrame:

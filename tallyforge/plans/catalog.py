@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analysis, corpus, facts
+from ..operators import analysis, corpus, facts, restore, store
 from ..sources import corpus_tables as src
 
 QUERIES: dict = {}
@@ -91,13 +91,46 @@ def corpus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_corpus(f"""{_STATUS}, fresh as (select distinct path from classified where status in ('new', 'replaced'))
 select path, sha256, octet_length(encode(content)) as bytes from (select path, sha256, content from store where path not in (from fresh) union all select path, sha256, content from landed where path in (from fresh))"""))
 def verified_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two versions of a store with its contents, written by staging and renaming: as found, then with what was landed; read back as files."""
+    """A store with its contents, then what was landed brought in as a second version; read back as files."""
+    base, _ = _restored(spark, sf_dir)
+    return store.read_store(spark, base).select("path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"))
+
+
+def _restored(spark: SparkSession, sf_dir: str) -> tuple[str, restore.Run]:
+    """The store of an earlier run, and the run that restores from it what was landed: its failures are expected here."""
     base = src.scratch(spark, "store")
-    corpus.swap_store(src.store_files(spark, sf_dir).select("path", F.sha2("content", 256).alias("sha256"), "content"), base)
-    held = corpus.read_store(spark, base)
-    classified = corpus.classify(_public(spark, sf_dir), held.select("path", "sha256"), src.landed(spark, sf_dir))
-    corpus.swap_store(corpus.replaced_files(classified, held, src.landed_files(spark, sf_dir)), base)
-    return corpus.read_store(spark, base).select("path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"))
+    files = src.store_files(spark, sf_dir)
+    store.update_store(corpus.fingerprint(files, "content").select("path", "sha256"), files, base)
+    try:
+        run = restore.restore(src.manifest(spark, sf_dir), src.landed_files(spark, sf_dir), base, src.scratch(spark, "sinks"))
+    except restore.RunFailed as failed:
+        run = failed.run
+    return base, run
+
+
+_AFTER = f"""{_STATUS}, fresh as (select distinct path, sha256 from classified where status in ('new', 'replaced')),
+after as (select path, sha256 from store where path not in (select path from fresh) union all select path, sha256 from fresh),
+sizes as (select sha256, any_value(octet_length(encode(content)))::bigint as bytes from (select sha256, content from store union all select sha256, content from landed) group by 1)"""
+
+
+@query(_corpus(f"""{_AFTER}
+select 1 as version, (select count(*) from store) as n_paths, count(*) as n_contents, count(*) as n_new, coalesce(sum(bytes), 0)::bigint as bytes_new from sizes where sha256 in (select sha256 from store)
+union all select 2, (select count(*) from after), (select count(distinct sha256) from after), count(*), coalesce(sum(bytes), 0)::bigint from sizes where sha256 in (select sha256 from fresh) and sha256 not in (select sha256 from store)"""))
+def store_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the two versions of verified_replace point to, and the contents that each brought."""
+    return store.store_history(spark, _restored(spark, sf_dir)[0])
+
+
+@query(_corpus(f"""{_AFTER}
+select 'store' as sink, path as key, sha256 as value from after
+union all select 'dead_letters', id, status || ': ' || path from classified where status in ('rejected_path', 'not_landed', 'mismatch')
+union all select 'outcome', status, count(*)::varchar from classified group by status"""))
+def restore_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sinks of one run, as they are after it has raised."""
+    base, run = _restored(spark, sf_dir)
+    held = store.read_pointers(spark, base, run.version).select(F.lit("store").alias("sink"), F.col("path").alias("key"), F.col("sha256").alias("value"))
+    letters = spark.read.parquet(f"{run.folder}/dead_letters").select(F.lit("dead_letters"), "id", "error")
+    return held.union(letters).union(spark.read.parquet(f"{run.folder}/outcome").select(F.lit("outcome"), "status", F.col("n").cast("string")))
 
 
 @query(_corpus(f"{_STATUS} select id, status || ': ' || path as error from classified where status in ('rejected_path', 'not_landed', 'mismatch')"))
@@ -131,7 +164,7 @@ def fact_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _faulty(select: str) -> str:
-    return f"with {src.FAULTY_SQL.strip()}, parsed as (select *, try_cast(value as decimal(24,4)) as amount, try_cast(regexp_extract(period, '^(\\d{{4}})(-Q[1-4])?$', 1) as int) as year, try_cast(regexp_extract(period, '^\\d{{4}}-Q([1-4])$', 1) as int) as quarter from faulty) {select}"
+    return f"with {src.FAULTY_SQL.strip()}, parsed as (select *, try_cast(value as decimal(24,4)) as amount, try_cast(regexp_extract(period, '^(\\d{{4}})(-Q[1-4])?$', 1) as int) as year, try_cast(regexp_extract(period, '^\\d{{4}}-Q([1-4])$', 1) as int) as quarter from faulty){'' if select.startswith(',') else ' '}{select}"
 
 
 @query(_faulty("select document, name, period, amount, amount is not null as ok from parsed"))
@@ -144,7 +177,60 @@ def parse_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.parse_period(src.faulty_facts(spark, sf_dir)).select("document", "name", "period", "year", "quarter", "grain", "period_index")
 
 
-@query(_faulty("select name, string_agg(distinct unit, ',' order by unit) as units from parsed group by name having count(distinct unit) > 1"))
+_UNREAD = "unread as (select *, concat_ws(',', case when amount is null then 'value' end, case when year is null then 'period' end) as reason from parsed where amount is null or year is null)"
+_LETTER = "document || '/' || name || '/' || period as id, 'unreadable ' || concat_ws(', ', case when amount is null then 'value ' || value end, case when year is null then 'period ' || period end) as error"
+
+
+@query(_faulty(f", {_UNREAD} select document, name, value, period, reason from unread"))
+def fact_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that cannot be read, each once with its reason."""
+    return facts.read_facts(src.faulty_facts(spark, sf_dir))[1].select("document", "name", "value", "period", "reason")
+
+
+_FILES = """files as (select document, substr(document, 2)::bigint % 10 as k, count(*) as n, sha256(document) as digest from facts group by 1),
+broken as (select sha256('{"description":"facts","pdf_sha256":"' || digest || '","upstream_reference":[{"document":"' || document) as cut from files where k = 3)"""
+
+
+def _fact_files(spark: SparkSession, rows: DataFrame) -> str:
+    """The facts as lines of JSON, a document each; some are cut off, some without facts."""
+    path = src.scratch(spark, "facts")
+    docs = rows.groupBy("document").agg(F.collect_list(F.struct("document", "name", "value", "unit", "period", "page")).alias("list"))
+    head = F.concat(F.lit('{"description":"facts","pdf_sha256":"'), F.sha2("document", 256), F.lit('","upstream_reference":'))
+    k = F.expr("cast(substring(document, 2) as bigint) % 10")
+    line = F.when(k == 3, F.concat(head, F.lit('[{"document":"'), "document")).when(k == 5, F.concat(head, F.lit("[]}"))).otherwise(F.concat(head, F.to_json("list"), F.lit("}")))
+    docs.select(line.alias("value")).write.text(path)
+    return path
+
+
+@query(_facts(f"""{_FILES} select 'read' as reason, digest as pdf_sha256, n, null::varchar as record_sha256 from files where k not in (3, 5)
+union all select 'no_facts', digest, 0, null from files where k = 5 union all select 'unreadable', null, 0, cut from broken"""))
+def fact_file_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fact files: those read with the number of their facts, and each broken one once with its reason."""
+    flat, broken = src.read_fact_files(spark, _fact_files(spark, src.facts(spark, sf_dir)), multi_line=False)
+    read = flat.groupBy("pdf_sha256").agg(F.count("*").alias("n")).select(F.lit("read").alias("reason"), "pdf_sha256", "n", F.lit(None).cast("string").alias("record_sha256"))
+    return read.union(broken.select("reason", "pdf_sha256", F.lit(0).cast("long"), F.sha2("record", 256)))
+
+
+@query(_faulty(f""", {_UNREAD}, kept as (select *, substr(document, 2)::bigint % 10 as k from faulty), files as (select distinct document, k from kept)
+select 'outcome' as sink, 'read' as key, count(*)::varchar as value from parsed where amount is not null and year is not null and substr(document, 2)::bigint % 10 not in (3, 5)
+union all select 'outcome', 'unreadable ' || reason, count(*)::varchar from unread where substr(document, 2)::bigint % 10 not in (3, 5) group by reason
+union all select 'outcome', case k when 3 then 'unreadable' else 'no_facts' end, count(*)::varchar from files where k in (3, 5) group by k
+union all select 'dead_letters', id, error from (select document, {_LETTER} from unread) where substr(document, 2)::bigint % 10 not in (3, 5)
+union all select 'dead_letters', 'file', case k when 3 then 'unreadable: no digest' else 'no_facts: ' || sha256(document) end from files where k in (3, 5)"""))
+def fact_load_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sinks of one load of faulty facts in files of which some are broken, as they are after it has raised."""
+    path = _fact_files(spark, src.faulty_facts(spark, sf_dir))
+    try:
+        run = restore.load_facts(spark, path, src.scratch(spark, "loaded"), src.scratch(spark, "sinks"), multi_line=False)
+    except restore.RunFailed as failed:
+        run = failed.run
+    letters = spark.read.parquet(f"{run.folder}/dead_letters")
+    named = F.when(F.col("id").contains("/part-"), "file").otherwise(F.col("id"))
+    outcome = spark.read.parquet(f"{run.folder}/outcome").select(F.lit("outcome").alias("sink"), F.col("status").alias("key"), F.col("n").cast("string").alias("value"))
+    return outcome.union(letters.select(F.lit("dead_letters"), named, "error"))
+
+
+@query(_faulty("select name, string_agg(distinct unit, ',' order by unit) as units from parsed group by name having count(distinct unit) > 1 or count(*) filter (where unit not in ('元', '%', '元/股')) > 0"))
 def unit_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.unit_consistency(src.faulty_facts(spark, sf_dir))
 
@@ -199,10 +285,10 @@ def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.expr("concat('S', s_suppkey)").alias("id"), F.sha2("s_name", 256).alias("sha256"), F.expr("concat('https://example.org/', s_suppkey)").alias("url"))
 
 
-_VERIFY = """a as (select document, case when substr(document, 2)::bigint % 5 = 0 and name = 'assets_total' and period = '1998' then null else name end as name, period, value::decimal(24,4) as want, unit from facts), e0 as (select *, substr(document, 2)::bigint as e from a),
-x as (select document, name, period, cast(case when e % 13 = 0 then want + 1 else want end as decimal(24,4)) as got, case when e % 29 = 0 then '%' else unit end as unit from e0 where e % 17 <> 0
- union all select 'S' || (100000 + e), name, period, want, unit from e0 where e % 19 = 0),
-v as (select coalesce(x.document, a.document) as document, coalesce(x.name, a.name) as name, coalesce(x.period, a.period) as period, got, want,
+_VERIFY = """a as (select document, case when substr(document, 2)::bigint % 5 = 0 and name = 'assets_total' and period = '1998' then null else name end as name, period, value::decimal(24,4) as want, unit, page as want_page from facts), e0 as (select *, substr(document, 2)::bigint as e from a),
+x as (select document, name, period, cast(case when e % 13 = 0 then want + 1 else want end as decimal(24,4)) as got, case when e % 29 = 0 then '%' else unit end as unit, case when e % 7 = 0 then 2 else want_page end as got_page from e0 where e % 17 <> 0
+ union all select 'S' || (100000 + e), name, period, want, unit, want_page from e0 where e % 19 = 0),
+v as (select coalesce(x.document, a.document) as document, coalesce(x.name, a.name) as name, coalesce(x.period, a.period) as period, got, want, got_page, want_page,
  case when x.document is null then 'missing' when a.document is null then 'unexpected' when x.unit is distinct from a.unit then 'unit_mismatch' when abs(got - want) <= 0 then 'match' else 'mismatch' end as status
  from x full join a on x.document = a.document and x.name is not distinct from a.name and x.period = a.period)"""
 
@@ -213,7 +299,7 @@ def verify_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.expr("cast(substring(document, 2) as bigint)")
     answers = facts.parse_value(src.facts(spark, sf_dir)).withColumn("name", F.when((e % 5 == 0) & (F.col("name") == "assets_total") & (F.col("period") == "1998"), None).otherwise(F.col("name")))
     answers = src.stored(answers, "answers")
-    shifted = answers.where(e % 17 != 0).withColumn("amount", F.when(e % 13 == 0, F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(24,4)")).withColumn("unit", F.when(e % 29 == 0, "%").otherwise(F.col("unit")))
+    shifted = answers.where(e % 17 != 0).withColumn("amount", F.when(e % 13 == 0, F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(24,4)")).withColumn("unit", F.when(e % 29 == 0, "%").otherwise(F.col("unit"))).withColumn("page", F.when(e % 7 == 0, 2).otherwise(F.col("page")))
     copies = answers.where(e % 19 == 0).withColumn("document", F.concat(F.lit("S"), (e + 100000).cast("string")))
     return facts.verify_facts(shifted.unionByName(copies), answers)
 
@@ -228,11 +314,29 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.scorecard(src.table(spark, sf_dir, "labels").join(docs, "doc_id").withColumn("passed", F.col("quality") == 1))
 
 
-@query(_corpus("select source, origin, count(*) as n from manifest group by rollup (source, origin)"))
+def _groups(of: str) -> str:
+    return f"select case grouping_id(source, origin) when 0 then 'origin' when 1 then 'source' else 'all' end as level, source, origin, count(*) as n from {of} group by rollup (source, origin)"
+
+
+@query(_corpus(_groups("manifest")))
 def source_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.source_groups(src.manifest(spark, sf_dir))
 
 
+@query(_corpus(f"""pub as (select id, case when id::bigint % 43 = 0 then null else source end as source, origin from manifest),
+planned as (select * from pub where id::bigint % 50 <> 0 and not (source is null and origin = 'simulated')),
+g as ({_groups("pub")}), x as ({_groups("planned")} union all select 'source', 'ghost', null, 5)
+select coalesce(g.level, x.level) as level, coalesce(g.source, x.source) as source, coalesce(g.origin, x.origin) as origin, g.n, x.n as expected,
+ case when x.level is null then 'unexpected' when g.n = x.n then 'met' when g.level is null then 'absent' when g.n < x.n then 'short' else 'over' end as status
+from g full join x on g.level = x.level and g.source is not distinct from x.source and g.origin is not distinct from x.origin"""))
+def expected_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, some sources unknown, against the totals of a plan that lacks some documents and names a source that is not there."""
+    rows = src.manifest(spark, sf_dir).withColumn("source", F.expr("if(cast(id as bigint) % 43 = 0, null, source)"))
+    planned = corpus.source_groups(rows.where("cast(id as bigint) % 50 <> 0 and not (source is null and origin = 'simulated')"))
+    ghost = spark.createDataFrame([("source", "ghost", None, 5)], "level string, source string, origin string, n long")
+    return corpus.against_expected(corpus.source_groups(rows), planned.union(ghost))
+
+
 _SPLIT = "case when ('0x' || substr(sha256(source), 1, 8))::bigint % 100 < 20 then 'holdout' else 'tuning' end"
 
 
@@ -309,7 +413,7 @@ _PV = "pv as (select document, scenario, round(sum(projected / pow(1.08e0, t)) +
 @query(_facts(f"{_BASE}, {_PV} select 'usual' as \"case\", * from pv union all select 'no_end', document, scenario, null, 'r_le_g' from pv"))
 def present_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At a usual rate, and at one that does not exceed the growth after the last year, which has no finite value."""
-    flows = analysis.project(_base(_clean(spark, sf_dir)), ASSUMPTIONS, 5)
+    flows = src.stored(analysis.project(_base(_clean(spark, sf_dir)), ASSUMPTIONS, 5), "flows")
     cases = [analysis.present_value(flows, r, g).select(F.lit(name).alias("case"), "*") for name, r, g in (("usual", 0.08, 0.01), ("no_end", 0.03, 0.03))]
     return cases[0].unionByName(cases[1])
 

@@ -37,10 +37,29 @@ def manifest_scan(spark: SparkSession, path: str, *, multi_line: bool = True) ->
     return rows.where(F.when(lacks, F.raise_error(F.lit("a manifest row lacks id, origin or path")).cast("boolean")).otherwise(F.lit(True)))
 
 
+def read_fact_files(spark: SparkSession, path: str, *, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(flat facts, each with its file's digest and url; broken files (file, pdf_sha256, reason, record)).
+
+    A file, or a line where multi_line is off, is lost as a whole and listed once with a
+    reason: unreadable (no JSON, cut off, or a value of another type; record is its text),
+    no_facts (its list of facts is absent or empty) or blank (a file without any record).
+    Files of no bytes at all are not listed by Spark and so not seen. An entry null in a
+    list is a fact without values, for read_facts() to set aside.
+    """
+    reader = spark.read.schema(f"{FACT_FILE}, record string").option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "record")
+    rows = reader.json(path).withColumn("file", F.col("_metadata.file_path"))
+    lost = F.when(F.col("record").isNotNull(), "unreadable").when(F.coalesce(F.size("upstream_reference"), F.lit(0)) < 1, "no_facts")
+    flat = rows.where(lost.isNull()).select("pdf_sha256", "url", F.inline("upstream_reference")).withColumn("page", F.col("page").cast("int"))
+    broken = rows.select("file", F.when(F.col("record").isNull(), F.col("pdf_sha256")).alias("pdf_sha256"), lost.alias("reason"), "record").where("reason is not null")
+    listed = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+    blank = listed.join(rows.select("file").distinct(), "file", "left_anti")
+    none = F.lit(None).cast("string")
+    return flat, broken.union(blank.select("file", none.alias("pdf_sha256"), F.lit("blank").alias("reason"), none.alias("record")))
+
+
 def fact_scan(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
-    """Nested fact files as flat facts, each with its file's digest and url."""
-    rows = spark.read.schema(FACT_FILE).option("multiLine", multi_line).json(path)
-    return rows.select("pdf_sha256", "url", F.inline("upstream_reference")).withColumn("page", F.col("page").cast("int"))
+    """Nested fact files as flat facts, each with its file's digest and url: the first part of read_fact_files()."""
+    return read_fact_files(spark, path, multi_line=multi_line)[0]
 
 
 def file_scan(spark: SparkSession, path: str) -> DataFrame:

@@ -175,23 +175,6 @@ def test_a_broken_manifest_fails_whatever_is_read_of_it(spark, tmp_path):
             ask(src.manifest_scan(spark, str(tmp_path / "bad.json")))
 
 
-def test_a_store_is_swapped_whole_or_not_at_all(spark, tmp_path):
-    base = str(tmp_path / "store")
-    files = lambda *rows: spark.createDataFrame([(p, digest(t) if good else "0", bytearray(t.encode())) for p, t, good in rows], "path string, sha256 string, content binary")
-    assert corpus.store_version(spark, base) == 0
-    assert corpus.swap_store(files(("a", "1", True), ("b", "2", True)), base) == 1
-    with pytest.raises(RuntimeError, match="digests"):
-        corpus.swap_store(files(("a", "3", True), ("c", "4", False)), base)
-    assert corpus.store_version(spark, base) == 1 and sorted(p.name for p in (tmp_path / "store").iterdir()) == ["version=1"]
-    manifest = spark.createDataFrame([("1", "o", "a", "u", digest("new")), ("2", "o", "b", "u", digest("2")), ("3", "o", "d", "u", digest("d")), ("4", "o", "e", "u", digest("e"))], MANIFEST)
-    landed = spark.createDataFrame([("a", bytearray(b"new")), ("b", bytearray(b"other")), ("d", bytearray(b"d")), ("d", bytearray(b"d")), ("e", bytearray(b"damaged"))], "path string, content binary")
-    held = corpus.read_store(spark, base)
-    classified = corpus.classify(manifest, held.select("path", "sha256"), corpus.fingerprint(landed, "content").select("path", "sha256").distinct())
-    assert corpus.swap_store(corpus.replaced_files(classified, held, landed), base) == 2
-    now = {r["path"]: bytes(r["content"]) for r in corpus.read_store(spark, base).collect()}
-    assert now == {"a": b"new", "b": b"2", "d": b"d"} and {r["path"] for r in corpus.read_store(spark, base, 1).collect()} == {"a", "b"}
-
-
 def test_freshness_of_paths_stored_several_times(spark):
     manifest = spark.createDataFrame([("1", "p", "a", "u", digest("a")), ("2", "p", "b", "u", digest("b")), ("3", "p", "c", "u", None)], MANIFEST)
     store = spark.createDataFrame([("a", "x"), ("a", digest("a")), ("a", "y"), ("b", "x"), ("b", "y"), ("c", None)], "path string, sha256 string")
