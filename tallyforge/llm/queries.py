@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, langid, packing, pii, sharding, spotsigs, url_reputation, warc
+from . import decontaminate, hard_negatives, html_extract, jaccard_join, langid, minhash, packing, pii, sharding, spelling, spotsigs, url_reputation, warc
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 SHARDS = 24
@@ -65,12 +65,25 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.word_counts(_table(spark, sf_dir, "documents"), one_in=199))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)").alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 def spotsigs_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search of operator 10 over length partitions, beside its fingerprints."""
     return spotsigs.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_decontamination, op4_html_extraction, op5_personal_data, op6_sharding, op7_language_id, op8_packing, op9_warc, op10_spotsigs, spotsigs_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_decontamination, op4_html_extraction, op5_personal_data, op6_sharding, op7_language_id, op8_packing, op9_warc, op10_spotsigs, op11_minhash, op12_spelling_variants, op13_hard_negatives, spotsigs_near_duplicates)}
 
 _RULES_SQL = ", ".join(f"('{a}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}', '{r}')" for a, r in RULES)
 _SECOND = "|".join(("ac", "co", "com", "edu", "gov", "net", "org"))
@@ -102,6 +115,30 @@ def _likeness_sql(a: str, b: str) -> str:
     return f"{both}::double / (len({a}) + len({b}) - {both})"
 
 
+_REACHED = "case when doc_id is not null then coalesce(component_id, doc_id) end"
+
+
+def _jaccard_sql(k: int, percent: int) -> str:
+    """d (doc_id, members): sets of shingles; least_of (members, component_id)."""
+    return f"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') as words from documents),
+d as (
+  select doc_id, case when len(words) = 0 then [] when len(words) < {k} then [array_to_string(words, ' ')]
+    else list_sort(list_distinct(list_transform(range(1, len(words) - {k - 2}), lambda i: array_to_string(words[i:i + {k - 1}], ' ')))) end as members
+  from w),
+s as (select members, min(doc_id) as a, len(members) as n from d where len(members) > 0 and doc_id is not null group by 1),
+p as (select a, n, unnest(members) as shingle from s),
+shared as (select x.a, y.a as b, x.n as na, y.n as nb, count(*) as both_have from p x join p y using (shingle) where x.a < y.a group by all),
+l as (select a, b from shared where 100 * both_have >= {percent} * (na + nb - both_have)),
+e as (from l union all select b, a from l),
+r as (select a, a as b from s union select r.a, e.b from r join e on r.b = e.a),
+least_of as (select members, min(r.b) as component_id from s join r using (a) group by 1)"""
+
+
+# One step of a CRC-32 is a table entry; the table follows from its polynomial.
+_CRC = """crc_table as (select list(c order by i) as t from (select i, list_reduce(list_concat([i], range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as c from (select unnest(range(256)) as i)))"""
+
 ORACLE = {
     "op1_url_filter": rf"""
 with p as (
@@ -131,21 +168,11 @@ f as (select host, path, arg_max(rule, length(rule)) as rule, arg_max(action, le
       from hp join r on (host = rule_host or host like '%.' || rule_host) and starts_with(path, rule_path) group by 1, 2)
 select page_id, p.host, p.path, f.rule, coalesce(f.action, case when bound >= 0.5 then 'allow' else 'block' end) as verdict, n_labelled, bound
 from p join e using (host) left join f on f.host = p.host and f.path = p.path""",
-    "op2_jaccard_join": f"""
-with recursive w as (
-  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') as words from documents),
-d as (
-  select doc_id, case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')]
-    else list_sort(list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')))) end as members
-  from w),
-s as (select members, min(doc_id) as a, len(members) as n from d where len(members) > 0 and doc_id is not null group by 1),
-p as (select a, n, unnest(members) as shingle from s),
-shared as (select x.a, y.a as b, x.n as na, y.n as nb, count(*) as both_have from p x join p y using (shingle) where x.a < y.a group by all),
-l as (select a, b from shared where 100 * both_have >= 85 * (na + nb - both_have)),
-e as (from l union all select b, a from l),
-r as (select a, a as b from s union select r.a, e.b from r join e on r.b = e.a),
-least_of as (select members, min(r.b) as component_id from s join r using (a) group by 1)
-select doc_id, len(d.members)::bigint as n_shingles, case when doc_id is not null then coalesce(component_id, doc_id) end as component_id
+    "op2_jaccard_join": f"""{_jaccard_sql(4, 85)}
+select doc_id, len(d.members)::bigint as n_shingles, {_REACHED} as component_id
+from d left join least_of using (members)""",
+    "op11_minhash": f"""{_jaccard_sql(2, 80)}
+select doc_id, len(d.members)::bigint as n_shingles, {_REACHED} as component_id, doc_id = {_REACHED} as kept
 from d left join least_of using (members)""",
     "op10_spotsigs": f"""
 with t as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n_chars from documents),
@@ -170,6 +197,30 @@ t as (from l union all select b, a from l),
 r as (select a, a as b from s union select r.a, t.b from r join t on r.b = t.a),
 least_of as (select sigs, min(r.b) as component_id from s join r using (a) group by 1)
 select doc_id, len(f.sigs)::bigint as n_signatures, component_id from f join least_of using (sigs)""",
+    "op12_spelling_variants": f"""
+with recursive {_CRC},
+o as (select doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-zÀ-ÿ]+')) as run from documents),
+g as (select doc_id, run, count(*) as n from o where length(run) >= 6 group by 1, 2),
+b as (select *, list_transform(list_filter(string_split(hex(encode(doc_id::varchar || ':' || run)), ''), lambda x: x <> ''), lambda x: strpos('0123456789ABCDEF', x) - 1) as half from g),
+h as (select run, n, xor(list_reduce(list_concat([4294967295], list_transform(range(1, len(half) + 1, 2), lambda i: half[i] * 16 + half[i + 1])), lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1])), 4294967295) as h from b, crc_table),
+w as (select case when h % 199 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from h),
+v as (select word, sum(n)::bigint as n from w where length(word) >= 6 group by 1 having sum(n) >= 5),
+cut as (select word, n, i, left(word, i) || substr(word, i + 2) as rest from (select word, n, unnest(range(length(word))) as i from v)),
+near as (select distinct x.word, y.word as other, y.n as other_n from cut x join cut y using (i, rest) where x.word <> y.word
+  union select distinct cut.word, v.word, v.n from cut join v on v.word = cut.rest union select distinct v.word, cut.word, cut.n from cut join v on v.word = cut.rest),
+best as (select word, count(*) as n_near, max(other_n) as top from near group by 1),
+named as (select word, min(other) as form from near join best using (word) where other_n = top group by 1),
+f as (select v.word, case when top >= 5 * n then form end as form, n, coalesce(n_near, 0) as n_near, case when top >= 5 * n then top end as form_n from v left join best using (word) left join named using (word)),
+r as (select word, word as root, form from f union all select r.word, f.word, f.form from r join f on f.word = r.form)
+select f.word, f.form, r.root, f.n, f.n_near, f.form_n from f join r using (word) where r.form is null""",
+    "op13_hard_negatives": """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label as anchor_label, b.vec_id, b.label, list_dot_product(a.v, b.v)::bigint as score from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where label = anchor_label qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over w as rank, vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where label <> anchor_label and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+window w as (partition by anchor_id, positive_id order by score desc, vec_id) qualify rank <= 5""",
     "op9_warc": """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
 r as (select payload_digest, max(page_id) as last from p where payload_bytes >= 1000 group by 1 having count(*) > 1)
