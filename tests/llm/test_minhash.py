@@ -97,7 +97,31 @@ def test_odd_rows(spark):
 def test_heads_beyond_the_broadcast_limit(spark, monkeypatch):
     rows = families(np.random.default_rng(3), 15)
     monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(minhash, "BLOCK", 3)
     monkeypatch.setattr("tallyforge.llm.components.BROADCAST_ROWS", 0)
     monkeypatch.setattr("tallyforge.llm.jaccard_join.BROADCAST_IDS", 0)
     got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), shingle=2, percent=80).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, 2, 80)
+
+
+def test_bitmaps_lose_no_link():
+    rng = np.random.default_rng(5)
+    for n in (3, 40, 900):
+        both, x, y = (rng.integers(0, 1 << 63, m).astype(np.uint64) for m in (n, n // 9, n // 8))
+        bits = [minhash.parity(np.r_[both, own]) for own in (x, y)]
+        assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(x) + len(y)
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_pairs_of_a_bucket_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    sets = [np.unique(np.r_[rng.choice(base, 50, replace=False), rng.integers(0, 1 << 63, rng.integers(0, 9)).astype(np.uint64)]) for _ in range(50)]
+    rows = [(7, 2, i, len(s), minhash.parity(s).tolist(), [0] * 5, i // 4) for i, s in enumerate(sets)]
+    posts = spark.createDataFrame(rows, "band long, place int, cls long, n long, bits array<long>, bytes array<long>, component long")
+    got = {(r["a"], r["b"]) for r in minhash.pairs_of_buckets(posts, 80).collect()}
+    both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    every = {(i, j) for i in range(50) for j in range(i + 1, 50) if i // 4 != j // 4}
+    links = {(i, j) for i, j in every if 100 * both(i, j) >= 80 * (len(sets[i]) + len(sets[j]) - both(i, j))}
+    assert links and links <= got < every
