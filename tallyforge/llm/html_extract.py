@@ -4,8 +4,9 @@ A page is a sequence of words and tags. A word scores one. A tag scores below no
 by how often elements with its name, class, id or role stand outside the article of
 labelled pages, and by whether it opens or closes the article itself. Words in an
 element that labelled pages have outside their article score nothing, and those outside
-an element that is the article nearly nothing. One linear scan then finds the contiguous
-run of the highest sum; that run, less the elements outside, is the main text.
+an element that is the article nearly nothing; before and after what holds most of the page
+they count against the run. One linear scan then finds the contiguous run of the highest
+sum; that run, less the elements outside that stand within it, is the main text.
 
 Pages label themselves: the text of the one article element a page has (else of its main
 element) is content; what stands outside it, or inside it in an element that its markup
@@ -31,7 +32,7 @@ TRAIN_PAGES = 1000
 PENALTY, LEAST = 12.0, 1e-4
 #: Pages that the fixed lists below count as; share of elements outside for names that neither lists nor pages have.
 PRIOR, UNKNOWN = 4.0, 0.15
-#: An element that holds more of the page's words than this is no menu, advert or form, whatever its class says.
+#: What stands between the blocks of the smallest element that holds more than this share of the words left does not part them.
 MOST = 0.5
 
 # Element names by their role.
@@ -149,9 +150,13 @@ class Page:
         self.region = next((x for x in ("article", "main") if outermost[x] == 1), "article" if outermost["article"] else "main" if outermost["main"] else "")
         self.labelled = outermost[self.region] == 1
 
-    def share(self, i: int) -> float:
-        """The share of the page's words in the element that token i opens."""
-        return (self.before[self.end[i]] - self.before[i]) / max(self.words, 1)
+        self.content = next((i for i, (kind, name, _) in enumerate(self.found) if kind == "open" and name == self.region), None)
+
+    def around(self, i: int) -> bool:
+        """Whether the element that token i opens holds the content's element or, on a page without one, all words there are: then it is no menu, advert or form, whatever its class says."""
+        if self.content is not None:
+            return i < self.content < self.end[i]
+        return self.before[self.end[i]] - self.before[i] == self.words
 
 
 def element_counts(page: Page, *, lists: bool = True) -> Iterator[tuple[str, str]]:
@@ -161,7 +166,7 @@ def element_counts(page: Page, *, lists: bool = True) -> Iterator[tuple[str, str
     footer says nothing against paragraphs. A name counts where the element has no
     class, id or role. Without lists everything in the article is inside.
     """
-    begin = next((i for i, (kind, name, _) in enumerate(page.found) if kind == "open" and name == page.region), None)
+    begin = page.content
     if begin is None or not page.labelled:
         return
     end, until = page.end[begin], 0
@@ -171,7 +176,7 @@ def element_counts(page: Page, *, lists: bool = True) -> Iterator[tuple[str, str
         of = [f for f in features(name, value) if lists or f[0] != "@"]
         where = "region" if i == begin else "around" if i < begin and page.end[i] >= end else "outside"
         if begin < i < end:
-            named = [f for f in of if (f[0] == "@" or f in _OUTER and f != "header") and (_sure(f) or page.share(i) <= MOST)]
+            named = [f for f in of if (f[0] == "@" or f in _OUTER and f != "header") and (_sure(f) or not page.around(i))]
             where = "outside" if lists and named and page.closed[i] else "inside"
         if where == "outside" and page.closed[i]:
             until = page.end[i]
@@ -205,7 +210,7 @@ def best_run(words: list[float], penalties: list[float]) -> tuple[int, int]:
 def _shares_of(of: list[str], scores: Scores, in_content: bool, small: bool) -> tuple[float, float]:
     """(share outside, share that is the content) of elements with these features, the largest of each.
 
-    What holds most of the page is no menu whatever its class. In the content a name
+    small: the element is not around() the content. In the content a name
     decides only if it is one of the outer ones, and names that nobody knows say nothing.
     """
     name, marked = of[0], any(f[0] == "." for f in of)
@@ -219,11 +224,13 @@ def _shares_of(of: list[str], scores: Scores, in_content: bool, small: bool) ->
     return max(x for x, _ in found), max(x for _, x in found)
 
 
-def scored_blocks(page: Page, scores: Scores) -> tuple[list[str], list[float], list[float]]:
+def scored_blocks(page: Page, scores: Scores, *, drop: bool = True) -> tuple[list[str], list[float], list[float]]:
     """The texts of a page's blocks, less the words of elements outside the content; what their words score, and what the tags before or in each take.
 
     A word scores one. Where a page has an element that is the content by its name or
-    class, other words score as much less as labelled pages are sure of that.
+    class, other words score as much less as labelled pages are sure of that. Words of
+    elements outside score nothing within the content and minus one elsewhere. Without
+    drop those words stay in the texts, so that the run alone decides.
     """
     texts: list[list[str]] = [[]]
     costs, within = [0.0], [False]
@@ -233,12 +240,17 @@ def scored_blocks(page: Page, scores: Scores) -> tuple[list[str], list[float], l
     regions = 0
     known: dict[tuple[str, str, bool, bool], tuple[float, float, bool]] = {}
     parting: list[tuple[int, int, float]] = []  # token, block, what an element outside the content takes
+    against: list[tuple[int, int, int]] = []  # token, block, words of elements outside
     kept = [0] * (len(page.found) + 1)
     for at, (kind, name, value) in enumerate(page.found):
         if kind == "text":
-            if not (stack and stack[-1][1]):
-                texts[-1].append(value)
+            outside = bool(stack and stack[-1][1])
+            if outside and not regions:
+                against.append((at, len(costs) - 1, len(value.split())))
+            if not outside:
                 kept[at + 1] = len(value.split())
+            if not outside or not drop:
+                texts[-1].append(value)
             continue
         cost, keep = LEAST, len(stack)
         if kind == "close":
@@ -261,7 +273,7 @@ def scored_blocks(page: Page, scores: Scores) -> tuple[list[str], list[float], l
         if kind == "open":
             outside, deep = stack[-1][1:3] if stack else (False, False)
             if not outside and name not in _VOID:
-                element = name, value, regions > 0, page.share(at) <= MOST
+                element = name, value, regions > 0, not page.around(at)
                 if element not in known:
                     of = features(name, value)
                     known[element] = *_shares_of(of, scores, *element[2:]), name in ("aside", "footer") or "@discussion" in of
@@ -286,21 +298,24 @@ def scored_blocks(page: Page, scores: Scores) -> tuple[list[str], list[float], l
         elif name == "br":
             texts[-1].append(" ")
         costs[-1] += cost
-    # within the smallest element that holds most of what is left, what stands between its blocks parts nothing
+    # within the smallest element that holds most of what is left, what stands between its blocks parts nothing, nor do the elements around it
     left = list(accumulate(kept))
     most = [i for i, (kind, name, _) in enumerate(page.found) if kind == "open" and name not in ("html", "body") and left[page.end[i]] - left[i] > MOST * left[-1]]
     begin, end = (most[-1], page.end[most[-1]]) if most else (0, 0)
     for at, block, cost in parting:
-        costs[block] += 0.0 if begin < at < end else cost
+        costs[block] += 0.0 if begin < at < end or at <= begin and page.end[at] >= end else cost
     blocks = [" ".join("".join(t).split()) for t in texts]
     elsewhere = 1 - certain if any(t and w for t, w in zip(blocks, within, strict=True)) else 1.0
-    return blocks, [len(t.split()) * (1.0 if w else elsewhere) for t, w in zip(blocks, within, strict=True)], costs
+    words = [len(t.split()) * (1.0 if w else elsewhere) for t, w in zip(blocks, within, strict=True)]
+    for at, block, n in against:
+        words[block] -= (0 if begin < at < end else n) + (0 if drop else n * (1.0 if within[block] else elsewhere))
+    return blocks, words, costs
 
 
-def extract(page: str, scores: Scores) -> str:
-    """The main text: the blocks of the best run that have words, joined by an empty line."""
-    texts, words, costs = scored_blocks(Page(page), scores)
-    first, last = best_run(words, costs)
+def extract(page: str, scores: Scores, *, drop: bool = True, run: bool = True) -> str:
+    """The main text: the blocks of the best run that have words, joined by an empty line. drop: see scored_blocks(); without run all blocks count."""
+    texts, words, costs = scored_blocks(Page(page), scores, drop=drop)
+    first, last = best_run(words, costs) if run else (0, len(texts))
     return "\n\n".join(t for t in texts[first : last + 1] if t)
 
 

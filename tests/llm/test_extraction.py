@@ -89,3 +89,31 @@ def test_titles_notices_and_comments(spark):
     assert html_extract.extract(page, learned([])) == f"Short\n\n{words}\n\nOne.\n\nFin."
     teasers = f"<main><article><p>{words}</p></article><article><p>{words} again</p></article></main><footer>x</footer>"
     assert html_extract.extract(teasers, learned([])) == f"{words}\n\n{words} again"
+
+
+def test_junk_goes_however_much_of_the_page_it_is():
+    junk = " ".join(f"junk{i}" for i in range(33))
+    short = "one two three four five six seven eight nine ten"
+    for page in (f'<article><p>{short}</p><div class="ad">{junk}</div></article>', f"<article><p>{short}</p><form><p>{junk}</p></form></article>", f'<body><div class="sidebar"><p>{junk}</p></div><p>{short}</p></body>'):
+        assert html_extract.extract(page, learned([])) == short
+    whole = f"<body><form><nav>{junk}</nav><article><p>{short}</p></article></form></body>"
+    assert html_extract.extract(whole, learned([])) == short, "a form around the content is no form of it"
+    assert html_extract.extract(f"<body><form><p>{short}</p></form></body>", learned([])) == short
+
+
+def test_the_run_alone_finds_the_text():
+    """Article tags taken away, lists off, no element dropped: what the run leaves at both ends is all that parts text from menus."""
+    pages = [p for (p,) in database("/root/testdata/sf0.1").execute("select html from pages order by page_id limit 1000").fetchall()]
+    scores, named = learned(pages[500:], lists=False), learned(pages[500:])
+    bare = [re.sub(r"</?article>", "", page) for page in pages[:500]]
+    texts = [html_extract.extract(page, named) for page in pages[:500]]
+    alone = sum(html_extract.extract(b, scores, drop=False) == t for b, t in zip(bare, texts, strict=True))
+    neither = sum(html_extract.extract(b, scores, drop=False, run=False) == t for b, t in zip(bare, texts, strict=True))
+    assert alone >= 450 and neither < 50, (alone, neither)
+
+
+def test_without_the_run_other_text_comes_in():
+    words = "plain running words of the story that go on and on for a while"
+    page = f"<body><div>Use of this site means that you agree</div><div><nav>{words}</nav></div><div><h1>Title</h1><p>{words}</p><p>{words}</p></div><footer>{words}</footer><div>All rights</div></body>"
+    text = html_extract.extract(page, learned([]))
+    assert text == f"Title\n\n{words}\n\n{words}" != html_extract.extract(page, learned([]), run=False)
