@@ -13,10 +13,12 @@ from bisect import bisect_left, insort
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import new_path
+from .store import hadoop, new_path, written
 
 #: Virtual slots; far more than there will be shards.
 SLOTS = 4096
+#: Rows that a slot may have however many bytes they are.
+HEAVY = 16
 
 
 def virtual_slot(doc_id: Column, otherwise: Column, slots: int = SLOTS) -> Column:
@@ -31,6 +33,22 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     return rows.withColumn("virtual", virtual_slot(F.col("doc_id"), F.col("text_crc32"), slots))
 
 
+def split_slots(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """rows as of records(), with those of slots that a repeated or null doc_id makes heavy dealt over all slots.
+
+    A slot is heavy if it has more than HEAVY rows and over four times the mean bytes. Its
+    rows get a slot by doc_id, CRC and a number, so equal rows part too. The number is the
+    row's own in this run, so the result is stored before it is used.
+    """
+    loads = slot_loads(rows)
+    mean = sum(b for b, _ in loads.values()) / slots
+    heavy = [s for s, (b, n) in loads.items() if n > HEAVY and b > 4 * mean]
+    if heavy:
+        again = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text_crc32"), F.monotonically_increasing_id()), F.lit(slots)).cast("int")
+        rows = rows.withColumn("virtual", F.when(F.col("virtual").isin(heavy), again).otherwise(F.col("virtual")))
+    return rows
+
+
 def slot_loads(rows: DataFrame) -> dict[int, tuple[int, int]]:
     """Bytes and rows of each virtual slot; at most as many entries as there are slots."""
     return {r["virtual"]: (r["bytes"], r["n"]) for r in rows.groupBy("virtual").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
@@ -94,6 +112,26 @@ def read_map(spark: SparkSession, path: str, version: int) -> dict[int, int]:
     return {r["virtual"]: r["shard"] for r in spark.read.parquet(f"{path}/version={version}").collect()}
 
 
+def map_version(spark: SparkSession, path: str) -> int:
+    """The number of the stored map's newest version, -1 if there is none."""
+    system, at = hadoop(spark, path)
+    names = [f.getPath().getName() for f in system.listStatus(at)] if system.exists(at) else []
+    return max((int(n.removeprefix("version=")) for n in names if n.startswith("version=")), default=-1)
+
+
+def resized(placed: dict[int, int], loads: dict[int, int], shards: int) -> dict[int, int]:
+    """The map for another number of shards: new ones take slots only into themselves, slots of shards that go are dealt to the lightest, heaviest slot first."""
+    before = max(placed.values(), default=-1) + 1
+    if before < shards:
+        return rebalanced(placed, loads, shards, set(range(before, shards)))
+    placed = dict(placed)
+    total = {s: sum(loads.get(slot, 0) for slot, shard in placed.items() if shard == s) for s in range(shards)}
+    for slot in sorted((s for s, shard in placed.items() if shard >= shards), key=lambda s: (-loads.get(s, 0), s)):
+        placed[slot] = min(total, key=lambda s: (total[s], s))
+        total[placed[slot]] += loads.get(slot, 0)
+    return placed
+
+
 def even_map(shards: int, slots: int = SLOTS) -> dict[int, int]:
     """The map of a store that holds nothing yet: slots dealt in turn."""
     return {slot: slot % shards for slot in range(slots)}
@@ -119,16 +157,31 @@ def placed_records(rows: DataFrame, placed: dict[int, int], loads: dict[int, tup
 def shard_documents(docs: DataFrame, shards: int, *, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """docs (doc_id, text) -> a row a document with its shard and place; sizes of shards are near equal in bytes.
 
-    The map is stored at map_path (by default in the shared folder): version 0 is that
-    of an empty store, version 1 the same map edited for the bytes of the slots. Places
-    follow from the version as read back. Null texts have size 8 and CRC 0. Rows without
-    doc_id are spread by their CRC; repeated rows are each placed. Other columns, those
-    named like the result's too, are ignored; an empty table gives none.
+    The map is stored at map_path (by default in the shared folder). Where there is none,
+    version 0 is written as that of an empty store. The newest version is read, edited for
+    the bytes of the slots and for another number of shards, and written as the next
+    version if that changes it; so a later run moves only slots that make shards uneven.
+    Two runs that write one version at a time: the second fails. Places follow from the
+    version as read back. A map of another number of slots is an error. Null texts have
+    size 8 and CRC 0. Rows without doc_id are spread by their CRC, and rows of an id that
+    fills a slot are dealt over all slots (see split_slots()); repeated rows are each
+    placed. Other columns, those named like the result's too, are ignored; an empty table
+    gives none.
     """
     spark = docs.sparkSession
     path = map_path or new_path(spark, "slot-map")
-    rows = records(docs, slots)
+    rows = written(split_slots(records(docs, slots), slots), "records")
     loads = slot_loads(rows)
-    write_map(spark, path, even_map(shards, slots), 0)
-    write_map(spark, path, rebalanced(read_map(spark, path, 0), {s: b for s, (b, _) in loads.items()}, shards), 1)
-    return placed_records(rows, read_map(spark, path, 1), loads)
+    version = map_version(spark, path)
+    if version < 0:
+        version = 0
+        write_map(spark, path, even_map(shards, slots), version)
+    placed = read_map(spark, path, version)
+    if len(placed) != slots:
+        raise ValueError(f"the map at {path} has {len(placed)} slots, not {slots}")
+    sizes = {s: b for s, (b, _) in loads.items()}
+    edited = rebalanced(resized(placed, sizes, shards), sizes, shards)
+    if edited != placed:
+        version += 1
+        write_map(spark, path, edited, version)
+    return placed_records(rows, read_map(spark, path, version), loads)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,21 +28,49 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tallyforge/{name}-{uuid.uuid4().hex}"
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with the scheme and authority of the file system in which Spark looks for it."""
-    system, at = _hadoop(spark, path)
+    system, at = hadoop(spark, path)
     return system.makeQualified(at).toString()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs that are planned meanwhile send at most so many rows at once to Python: documents are long, and a batch is held by the executor and by its worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def releasing(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task of mapInArrow that hands freed memory back when it ends; Python workers live on and are used by later tasks."""
+
+    @wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+                trim(0)
+
+    return run
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, so that later steps do not depend on its lineage."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.stored_at = path
     return table
@@ -47,7 +80,7 @@ def discard(*tables: DataFrame | None) -> None:
     """Delete tables as written() returned them, once all that was made from them is written itself."""
     for table in tables:
         if path := getattr(table, "stored_at", None):
-            system, at = _hadoop(table.sparkSession, path)
+            system, at = hadoop(table.sparkSession, path)
             system.delete(at, True)
 
 
