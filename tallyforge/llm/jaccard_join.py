@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components, pairs_across
 from .shingles import mix, set_class, set_names, shingle_sets
-from .store import discard, shuffle_partitions, written
+from .store import discard, releasing, shuffle_partitions, small_batches, written
 
 #: A shingle in more classes than this sorts after the others; it rises so that at most MAX_FREQUENT exist.
 FREQUENT, MAX_FREQUENT = 64, 1 << 20
@@ -106,6 +106,7 @@ def parity(members: np.ndarray) -> np.ndarray:
 def _classes(docs: DataFrame, k: int, clashes: frozenset[int]) -> DataFrame:
     """(doc_id, n, cls, other, bits): each document's set size, the name of its set, a second name and the parity bitmap."""
 
+    @releasing
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, cls, other, bits = [], [], [], []
@@ -148,11 +149,9 @@ def _packed(tokens: np.ndarray, *columns: np.ndarray, buckets: int, salt: np.nda
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], *kinds: type) -> list[np.ndarray]:
-    parts: list[list[bytes]] = [[] for _ in kinds]
-    for batch in batches:
-        for i in range(len(kinds)):
-            parts[i] += [x.as_py() for x in batch.column(i + 1)]
-    return [np.frombuffer(b"".join(p), kind) for p, kind in zip(parts, kinds, strict=True)]
+    """The columns after the first, each as one array."""
+    held = list(batches)
+    return [np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for batch in held for x in batch.column(i + 1))]) for i, kind in enumerate(kinds)]
 
 
 def _frequent(docs: DataFrame, k: int, percent: int, buckets: int, more_than: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -164,6 +163,7 @@ def _frequent(docs: DataFrame, k: int, percent: int, buckets: int, more_than: in
     """
     before = docs.sparkSession.sparkContext.broadcast(known)
 
+    @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> Iterator[pa.RecordBatch]:
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
@@ -191,6 +191,7 @@ def _frequent(docs: DataFrame, k: int, percent: int, buckets: int, more_than: in
         if held:
             yield from flush()
 
+    @releasing
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, n = _unpacked(batches, np.uint64, np.uint32)
         if len(tokens):
@@ -202,7 +203,8 @@ def _frequent(docs: DataFrame, k: int, percent: int, buckets: int, more_than: in
             yield pa.record_batch([pa.array(tokens[first][many].view(np.int64)), pa.array(n[many])], names=["token", "df"])
 
     counted = docs.select("text").mapInArrow(count, "bucket int, tokens binary, counts binary")
-    found = counted.repartition(buckets // 4, "bucket").mapInArrow(total, "token long, df long").toArrow()
+    with small_batches(docs.sparkSession):
+        found = counted.repartition(buckets // 4, "bucket").mapInArrow(total, "token long, df long").toArrow()
     tokens, df = found.column("token").to_numpy().view(np.uint64), found.column("df").to_numpy()
     if known is not None:
         fresh = ~np.isin(tokens, known[0])
@@ -225,6 +227,7 @@ def _lists(docs: DataFrame, k: int, percent: int, buckets: int, frequent: tuple[
 
     names, kinds = ["bucket", "tokens", "classes", "sizes", "places", "salts"], (pa.int32(), *[pa.binary()] * 5)
 
+    @releasing
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, df = known.value
 
@@ -263,6 +266,7 @@ def _lists(docs: DataFrame, k: int, percent: int, buckets: int, frequent: tuple[
         if held:
             yield from flush()
 
+    @releasing
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(kind: int, token: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
             columns = [np.ascontiguousarray(c, np.int64) for c in (token.view(np.int64), *columns)]
@@ -271,9 +275,10 @@ def _lists(docs: DataFrame, k: int, percent: int, buckets: int, frequent: tuple[
         token, cls, n, pos, salt = _unpacked(batches, np.uint64, np.int64, np.uint32, np.uint32, np.uint32)
         if not len(token):
             return
-        n, pos = n.astype(np.int64), pos.astype(np.int64)
         order = np.lexsort((cls, pos, salt, token))
-        token, cls, n, pos, salt = (x[order] for x in (token, cls, n, pos, salt))
+        token, cls, salt = token[order], cls[order], salt[order]
+        n, pos = n[order].astype(np.int64), pos[order].astype(np.int64)
+        del order
         same = lambda x: x[1:] == x[:-1]
         keep = np.r_[True, ~(same(token) & same(salt) & same(cls))]
         token, cls, n, pos, salt = (x[keep] for x in (token, cls, n, pos, salt))
@@ -335,6 +340,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percen
     few = ids.count() <= BROADCAST_IDS
     wanted = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
+    @releasing
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(set_class(s, clashes), s.tobytes()) for _, s in shingle_sets(batch.column(0), k) if len(s)]
@@ -346,6 +352,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percen
     candidates = dealt.join(sets_of, F.col("b") == F.col("cls")).select("a", "part", "b", "members")
     rows = queries.union(candidates).repartition(shuffle_partitions(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
+    @releasing
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> Iterator[pa.RecordBatch]:
             if held:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .components import BLOCK, BROADCAST_ROWS, components
 from .jaccard_join import component_rows, named_sets, verified
 from .shingles import mix, set_class, shingle_sets
-from .store import discard, shuffle_partitions, written
+from .store import discard, releasing, shuffle_partitions, written
 
 BANDS, ROWS = 40, 4
 #: Bits of the parity bitmap that a set takes to its buckets.
@@ -136,6 +136,7 @@ def pairs_of_buckets(posts: DataFrame, percent: int) -> DataFrame:
     key = ["band", "i", "j"]
     rows = blocks.repartition(shuffle_partitions(posts.sparkSession), *key).sortWithinPartitions(*key, "side", "cls")
 
+    @releasing
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> Iterator[pa.RecordBatch]:
             whole = pa.Table.from_batches(held)
@@ -169,6 +170,7 @@ def pairs_of_buckets(posts: DataFrame, percent: int) -> DataFrame:
 def _banded(docs: DataFrame, k: int, bands: int, rows: int, clashes: frozenset[int]) -> DataFrame:
     """(cls, n, bits array, bytes array, bands array): a row for each set, again where several tasks have it."""
 
+    @releasing
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             sizes = np.array([len(s) for s in held], np.int64)
