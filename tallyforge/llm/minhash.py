@@ -119,8 +119,8 @@ def block_pairs(block: dict[str, np.ndarray], place: int, percent: int) -> Itera
         yield np.stack([i[keep], j[keep]], 1)
 
 
-def pairs_of_buckets(posts: DataFrame, percent: int) -> DataFrame:
-    """posts (band, place, cls, n, bits, bytes, component) -> distinct (a, b), a < b: members of one bucket that lie in different components and may link.
+def pairs_of_buckets(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """posts (band, place, cls, component) and sets (cls, n, bits, bytes), a set once or more -> distinct (a, b), a < b: members of one bucket that lie in different components and may link.
 
     Buckets within one component are left out. One of more than BLOCK members is cut into
     parts, and every two parts meet in a block of their own, so a task holds two parts of
@@ -130,9 +130,11 @@ def pairs_of_buckets(posts: DataFrame, percent: int) -> DataFrame:
     buckets = written(buckets.select("band", F.ceil(F.col("members") / BLOCK).cast("int").alias("parts")), "buckets")
     few = buckets.count() <= BROADCAST_ROWS
     dealt = posts.join(F.broadcast(buckets) if few else buckets, "band").withColumn("part", F.expr("cast(pmod(xxhash64(cls), parts) as int)"))
+    dealt = written(dealt, "dealt")
+    known = sets.join(dealt.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "bits", "bytes").dropDuplicates(["cls"])
     # a part goes as side 0 to its own block and those of later parts, and as side 1 to those of earlier ones
     stops = F.expr("transform(sequence(0, parts - 1), k -> named_struct('i', least(k, part), 'j', greatest(k, part), 'side', cast(k < part as int)))")
-    blocks = dealt.select("band", F.explode(stops).alias("stop"), "place", "cls", "n", "bits", "bytes", "component").select("band", "stop.*", "place", "cls", "n", "bits", "bytes", "component")
+    blocks = dealt.join(known, "cls").select("band", F.explode(stops).alias("stop"), "place", "cls", "n", "bits", "bytes", "component").select("band", "stop.*", "place", "cls", "n", "bits", "bytes", "component")
     key = ["band", "i", "j"]
     rows = blocks.repartition(shuffle_partitions(posts.sparkSession), *key).sortWithinPartitions(*key, "side", "cls")
 
@@ -163,7 +165,7 @@ def pairs_of_buckets(posts: DataFrame, percent: int) -> DataFrame:
             yield from flush()
 
     pairs = written(rows.mapInArrow(meet, "a long, b long").distinct(), "pairs")
-    discard(buckets)
+    discard(buckets, dealt)
     return pairs
 
 
@@ -216,24 +218,24 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     classes, nodes, clashes = named_sets(docs, shingle)
     known = docs.where("doc_id is not null")
     posts = written(_banded(known, shingle, bands, rows, clashes), "bands")
-    each = posts.select("cls", "n", "bits", "bytes", F.posexplode("bands").alias("place", "band"))
+    each = posts.select("cls", F.posexplode("bands").alias("place", "band"))
     buckets = each.groupBy("band").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head <> last")
     heads = written(buckets.select("band", "head"), "heads")
     few = heads.count() <= BROADCAST_ROWS
     met = written(each.join(F.broadcast(heads) if few else heads, "band").distinct(), "met")
-    edges = _links(met, known, nodes, shingle, percent, clashes)
+    edges = _links(met, posts, known, nodes, shingle, percent, clashes)
     discard(posts, heads)
     found = component_rows(classes, nodes, edges)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _links(met: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, clashes: frozenset[int]) -> DataFrame:
-    """Links between classes that share a bucket (band, place, cls, n, bits, bytes, head), enough of them to join all that are linked."""
+def _links(met: DataFrame, sets: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, clashes: frozenset[int]) -> DataFrame:
+    """Links between classes that share a bucket (band, place, cls, head), enough of them to join all that are linked."""
     pairs = written(met.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
     edges = verified(pairs, docs, nodes, k, percent, clashes)
     parts = components(edges)
-    posts = met.join(parts, met.cls == parts.node, "left").select("band", "place", "cls", "n", "bits", "bytes", F.coalesce("component", "cls").alias("component"))
-    across = pairs_of_buckets(posts, percent)
+    posts = met.join(parts, met.cls == parts.node, "left").select("band", "place", "cls", F.coalesce("component", "cls").alias("component"))
+    across = pairs_of_buckets(posts, sets, percent)
     seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = written(across.join(seen, ["a", "b"], "left_anti"), "more")
     discard(pairs, across, parts, met)
