@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import _STEP, _chunks, mix, word_hashes
-from .store import fresh, written
+from .store import fresh, releasing, written
 
 _GAPS = ~np.isin(np.arange(256), np.r_[48:58, 65:91, 97:123, 128:256])
 #: Words of a seed; alignment scores; share of an item's best score that is a leak.
@@ -190,6 +190,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, seed_words: int = SEED_
     for block in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(_Items(block, seed_words))
 
+        @releasing
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 index, rows = [], []

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import _power_tables, mix
+from .store import releasing, slices
 
 #: Different texts of each language that the piece probabilities are learned from, at most.
 TRAIN_DOCS = 500
@@ -373,11 +374,12 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, vocabulary
     at = names.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, probability = shared.value
         with np.errstate(over="ignore"):
             scorer = Scorer(_vocabulary(path), probability) if languages else None
-            for batch in batches:
+            for batch in slices(batches):
                 texts = batch.column(at).to_pylist()
                 clear = np.array([bool(t and _LETTER.search(t)) for t in texts], bool)
                 lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))

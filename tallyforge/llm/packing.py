@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import releasing, written
 
 CAPACITY = 2048
 #: Search nodes and alternative fillings a node; the incumbent stands when they are used up.
@@ -230,6 +230,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, *, vocabulary: str | None
     path = vocabulary or default_vocabulary()
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
         for batch in batches:

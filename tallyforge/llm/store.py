@@ -66,6 +66,13 @@ def releasing(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iter
     return run
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most so many at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, so that later steps do not depend on its lineage."""
     path = new_path(df.sparkSession, name)
