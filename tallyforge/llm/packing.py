@@ -274,6 +274,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, vocabulary: str | None =
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = salted.withColumn("n", rank).join(before, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("n") - 1).alias("rank"))
 
+    @releasing
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = shared.value
         for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import _chunks, word_hashes
-from .store import discard, fresh, written
+from .store import discard, fresh, releasing, slices, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of an entity that count as seen with it.
@@ -132,6 +132,7 @@ def windows(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int,
 def disclosing_terms(docs: DataFrame, *, alpha: float = ALPHA, support: int = SUPPORT, sure: float = SURE, most_common: float = MOST_COMMON) -> DataFrame:
     """docs (text) -> (kind string, term long): hashes of the terms that disclose an entity; kind is null where that is a value."""
 
+    @releasing
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -150,6 +151,7 @@ def disclosing_terms(docs: DataFrame, *, alpha: float = ALPHA, support: int = SU
     few = terms.count() <= BROADCAST_HASHES
     asked = docs.sparkSession.sparkContext.broadcast(np.sort(terms.toArrow().column(0).to_numpy()) if few else None)
 
+    @releasing
     def df(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = asked.value
         for batch in batches:
@@ -269,8 +271,9 @@ def find_personal_data(docs: DataFrame, *, alpha: float = ALPHA, support: int =
         mine = asked.join(pairs, "term").groupBy(F.col("key").alias(key)).agg(F.collect_set(F.struct("kind", "term")).alias(own_pairs))
         rows = keyed.join(mine, key, "left").select(*(f"`{c}`" for c in names), own_pairs)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             own = None if shared else batch.column(len(names)).to_pylist()
             spans = [_spans(t, h, shared.value if shared else _sorted_terms((p["kind"], p["term"]) for p in own[i] or [])) if t else [] for i, (t, h) in enumerate(zip(texts, _hashed(batch.column(at)), strict=True))]
@@ -283,6 +286,7 @@ def find_personal_data(docs: DataFrame, *, alpha: float = ALPHA, support: int =
     return rows.mapInArrow(run, schema)
 
 
+@releasing
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, words in zip(batch.column(0).to_pylist(), _hashed(batch.column(1)), strict=True):
