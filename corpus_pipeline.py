@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +14,24 @@ from tallyforge.llm.store import discard, written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Texts whose best language has a smaller posterior are no clear text of any learned language.
 LEAST_POSTERIOR = 0.5
+#: Rows sent to Python at once, at most: documents are long, and an executor and its worker each hold a batch.
+BATCH_ROWS = 500
+
+
+def batched(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose result, written by whoever calls it, goes to Python at most BATCH_ROWS rows at a time; the session keeps that setting."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = int(spark.conf.get(key))
+        spark.conf.set(key, str(min(before, BATCH_ROWS) if before > 0 else BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@batched
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; doubtful ones and those no language tells better than the background go. lang becomes what was found."""
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))).select("lang", "text"))
@@ -21,6 +40,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
+@batched
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that of the smallest doc_id, rows without one last, then of the smallest row hash. Rows without words all stay."""
     keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("__key"))
@@ -35,11 +55,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return once.union(keyed.join(again, "__key", "left_semi").dropDuplicates(["__key"]).select(*once.columns)).select(*COLUMNS)
 
 
+@batched
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
+@batched
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data and the terms that disclose it generalised; n_chars counts the new text."""
     return pii.find_personal_data(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
