@@ -1,7 +1,9 @@
 """Benchmark decontamination: n-gram seeds, bounds, then Smith-Waterman alignment.
 
 Every word n-gram of a benchmark item seeds it, however often the corpus repeats it, so
-whether a document leaks depends on that document alone. What keeps frequent n-grams
+whether a document leaks depends on that document alone. Copies without any n-gram, such
+as those with every third word changed, are seeded by pairs of words, of which there must
+be a fifth of the item's. What keeps frequent n-grams
 affordable are two bounds that lose no leak: the item's words that the document has at
 all, and the best run of item words in a passage. Where both leave a leak possible, the
 passage is aligned with the item word by word; local alignment bridges changed, added
@@ -21,8 +23,9 @@ from .shingles import _STEP, _chunks, mix, word_hashes
 from .store import fresh, releasing, written
 
 _GAPS = ~np.isin(np.arange(256), np.r_[48:58, 65:91, 97:123, 128:256])
-#: Words of a seed; alignment scores; share of an item's best score that is a leak.
+#: Words of a seed; share of an item's pairs of words that seed it without one; alignment scores; share of an item's best score that is a leak.
 SEED_WORDS = 3
+SEED_PAIRS = 0.2
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
 #: Benchmark words up to which the items go to every task (8 bytes each, thrice); larger ones are searched in blocks.
@@ -76,23 +79,29 @@ class _Items:
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
         self.whole = {}
-        seeds, owners = [], []
         for k, words in enumerate(self.words):
-            grams = np.unique(_grams(words, n))
-            if not len(grams):
-                if len(words):
-                    self.whole.setdefault(words.tobytes(), []).append(k)
-                continue
-            seeds.append(grams)
-            owners.append(np.full(len(grams), k))
-        seeds, owners = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((seeds, np.uint64), (owners, np.int64)))
+            if 0 < len(words) < n:
+                self.whole.setdefault(words.tobytes(), []).append(k)
+        #: seeds that an item needs, by their size in words
+        self.needed = {n: np.ones(len(items), np.int64)}
+        if n > 2:
+            self.needed[2] = np.array([max(1, int(np.ceil(SEED_PAIRS * (len(w) - 1)))) for w in self.words], np.int64)
+        self.seeds = {size: self._index(size, n) for size in self.needed}
+
+    def _index(self, size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        grams = [np.unique(_grams(w, size)) if len(w) >= n else np.zeros(0, np.uint64) for w in self.words]
+        seeds, owners = np.concatenate([np.zeros(0, np.uint64), *grams]), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         order = np.argsort(seeds, kind="stable")
-        self.seeds, self.owners = seeds[order], owners[order]
+        return seeds[order], owners[order]
 
-    def met(self, grams: np.ndarray) -> np.ndarray:
-        """Items that have any of the n-grams, which are distinct."""
-        _, index = _ranges(self.seeds, grams)
-        return np.unique(self.owners[index])
+    def met(self, grams: np.ndarray, size: int) -> np.ndarray:
+        """Items of which as many of the n-grams are seeds as the item needs."""
+        seeds, owners = self.seeds[size]
+        if not len(seeds):
+            return np.zeros(0, np.int64)
+        _, index = _ranges(seeds, np.unique(grams[_among(grams, seeds)]))
+        met, count = np.unique(owners[index], return_counts=True)
+        return met[count >= self.needed[size][met]]
 
 
 def _ranges(values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,44 +130,55 @@ def _rows(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 def _document_leaks(words: np.ndarray, items: _Items, n: int, least: float) -> list[tuple[int, int, float, int, int]]:
     """(item, seeds, score, begin, end) of the items of which a passage of the document is a copy."""
     found = [(items.ids[k], 1, 1.0, 0, len(words)) for k in items.whole.get(words.tobytes(), ())]
-    with np.errstate(over="ignore"):
-        grams = _grams(words, n)
-    met = items.met(np.unique(grams))
-    if not len(met):
-        return found
-    # words that the document lacks are matched nowhere
-    sizes = np.array([len(items.words[k]) for k in met])
-    held = _among(np.concatenate([items.words[k] for k in met]), np.unique(words))
-    met = met[np.add.reduceat(held.astype(np.int64), np.cumsum(sizes) - sizes) >= least * sizes]
-    order = np.argsort(grams, kind="stable")
-    ordered = grams[order]
-    for k in met:
-        item = items.words[k]
-        full = MATCH * len(item)
+    have, leaked = None, []
+    for size, needed in items.needed.items():
         with np.errstate(over="ignore"):
-            place, index = _ranges(ordered, _grams(item, n))
-        start, count = np.unique(order[index] - place, return_counts=True)
-        # seeds whose diagonals lie within half an item of each other share a passage; added words cost as much as matches leave over
-        cuts = np.flatnonzero(np.diff(start) > len(item) // 2 + 2) + 1
-        reach = max(len(item) // 2, int(full * max(1 - least, 0))) + 2
-        known, passages = np.unique(item), []
-        for g, c in zip(np.split(start, cuts), np.split(count, cuts), strict=True):
-            lo, hi = max(0, int(g[0]) - reach), min(len(words), int(g[-1]) + len(item) + reach)
-            run = np.cumsum(np.r_[0, np.where(_among(words[lo:hi], known), MATCH, max(MISMATCH, GAP))])
-            bound = int((run - np.minimum.accumulate(run)).max())
-            if bound >= least * full:
-                passages.append((bound, lo, hi, int(c.sum())))
-        top = (0, 0, 0, 0, 0)
-        for bound, lo, hi, seeds in sorted(passages, key=lambda x: -x[0]):
-            if bound <= top[0] or top[0] == full:
-                break
-            top = max(top, alignment(words[lo:hi], item) + (lo, seeds), key=lambda x: x[0])
-        score = top[0] / full
-        if top[0] and score >= least:
-            found.append((items.ids[k], top[4], score, top[1] + top[3], top[2] + top[3]))
+            grams = _grams(words, size)
+        met = np.setdiff1d(items.met(grams, size), leaked)
+        if not len(met):
+            continue
+        # words that the document lacks are matched nowhere
+        have = np.unique(words) if have is None else have
+        sizes = np.array([len(items.words[k]) for k in met])
+        held = _among(np.concatenate([items.words[k] for k in met]), have)
+        met = met[np.add.reduceat(held.astype(np.int64), np.cumsum(sizes) - sizes) >= least * sizes]
+        order = np.argsort(grams, kind="stable") if len(met) else None
+        ordered = grams[order] if len(met) else None
+        for k in met:
+            leak = _leak(words, items.words[k], size, ordered, order, int(needed[k]), least)
+            if leak:
+                found.append((items.ids[k], *leak))
+                leaked.append(k)
     return found
 
 
+def _leak(words: np.ndarray, item: np.ndarray, size: int, ordered: np.ndarray, order: np.ndarray, needed: int, least: float) -> tuple | None:
+    """(seeds, score, begin, end) of the document's passage most like the item, if it is a copy; ordered are the document's grams of that size, order their places."""
+    full = MATCH * len(item)
+    with np.errstate(over="ignore"):
+        place, index = _ranges(ordered, _grams(item, size))
+    start, count = np.unique(order[index] - place, return_counts=True)
+    # seeds whose diagonals lie within half an item of each other share a passage; added words cost as much as matches leave over
+    cuts = np.flatnonzero(np.diff(start) > len(item) // 2 + 2) + 1
+    reach = max(len(item) // 2, int(full * max(1 - least, 0))) + 2
+    known, passages = np.unique(item), []
+    for g, c in zip(np.split(start, cuts), np.split(count, cuts), strict=True):
+        if c.sum() < needed:
+            continue
+        lo, hi = max(0, int(g[0]) - reach), min(len(words), int(g[-1]) + len(item) + reach)
+        run = np.cumsum(np.r_[0, np.where(_among(words[lo:hi], known), MATCH, max(MISMATCH, GAP))])
+        bound = int((run - np.minimum.accumulate(run)).max())
+        if bound >= least * full:
+            passages.append((bound, lo, hi, int(c.sum())))
+    top = (0, 0, 0, 0, 0)
+    for bound, lo, hi, seeds in sorted(passages, key=lambda x: -x[0]):
+        if bound <= top[0] or top[0] == full:
+            break
+        top = max(top, alignment(words[lo:hi], item) + (lo, seeds), key=lambda x: x[0])
+    score = top[0] / full
+    return (top[4], score, top[1] + top[3], top[2] + top[3]) if top[0] and score >= least else None
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
     """Items as word hashes, at most BLOCK_WORDS words together; they stream past the driver block by block."""
     held, size = [], 0
@@ -178,8 +198,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, seed_words: int = SEED_
 
     score is the alignment's share of the item's best possible one; begin and end are
     the passage in words of the document (runs of letters and digits). n_seeds counts the
-    item's n-grams met near the passage; a passage that keeps no seed_words words of the
-    item in a row is no copy. Items of fewer words than a seed leak only into documents that are equal to them, word by word. Null and
+    item's n-grams met near the passage, or its pairs of words where no n-gram led to a
+    copy. A passage that keeps neither seed_words words of the item in a row nor a fifth of
+    its pairs is no copy: at a score of 0.5 or more that needs over six breaks to ten words. Items of fewer words than a seed leak only into documents that are equal to them, word by word. Null and
     empty texts, and items without words or item_id, give nothing. Repeated documents
     and items are each reported. An empty table gives none.
     """

@@ -221,6 +221,53 @@ def test_hot_edited_copies_leak_beside_an_exact_one(spark):
     assert {(i, 0) for i in range(61)} <= set(every) and {(r["doc_id"], r["item_id"]): r["score"] for r in got} == every
 
 
+@pytest.mark.parametrize("edit", ["changed", "added", "left_out"])
+def test_copies_without_three_words_in_a_row_leak(edit):
+    rng = np.random.default_rng(11)
+    rows = lambda x: [w for _, w in decontaminate._rows(decontaminate.pa.array([" ".join(t) for t in x]))]
+    plain = lambda n: [f"plain{x}" for x in rng.integers(0, 900, n)]
+    wanted = [[f"item{k}w{i}" for i in range(42)] for k in range(50)]
+    spoil = {
+        "changed": lambda t: [f"new{i}" if i % 3 == 2 else w for i, w in enumerate(t)],
+        "added": lambda t: [x for i, w in enumerate(t) for x in ((w, f"new{i}") if i % 2 else (w,))],
+        "left_out": lambda t: [w for i, w in enumerate(t) if i % 3 != 2],
+    }[edit]
+    items = decontaminate._Items(list(enumerate(rows(wanted))), 3)
+    for k, t in enumerate(wanted):
+        # three words in a row elsewhere are no reason to overlook the copy
+        [words] = rows([plain(60) + (t[:3] if k % 2 else []) + plain(60) + spoil(t) + plain(30)])
+        [found] = decontaminate._document_leaks(words, items, 3, 0.5)
+        assert found[0] == k and found[2] == decontaminate.alignment(words, items.words[k])[0] / 84 >= 0.5
+    assert not decontaminate._document_leaks(rows([plain(400)])[0], items, 3, 0.5)
+
+
+@pytest.mark.parametrize("edit, least", [("changed", {0.1: 0.99, 0.2: 0.95, 0.3: 0.7}), ("left_out", {0.1: 0.99, 0.2: 0.95, 0.3: 0.7}), ("added", {0.1: 1, 0.3: 1, 0.4: 1})])
+def test_recall_by_share_of_edits(edit, least):
+    rng = np.random.default_rng(12)
+    wanted = [[f"w{x}" for x in rng.integers(0, 4000, 40)] for _ in range(200)]
+    rows = lambda x: [w for _, w in decontaminate._rows(decontaminate.pa.array([" ".join(t) for t in x]))]
+    items = decontaminate._Items(list(enumerate(rows(wanted))), 3)
+    for share, recall in least.items():
+        got = every = 0
+        for k, t in enumerate(wanted):
+            hit = rng.random(len(t)) < share
+            made = [x for w, h in zip(t, hit, strict=True) for x in {"changed": ["new"] if h else [w], "left_out": [] if h else [w], "added": [w, "new"] if h else [w]}[edit]]
+            [words] = rows([["plain"] * 20 + made + ["plain"] * 20])
+            found = {x[0] for x in decontaminate._document_leaks(words, items, 3, 0.5)}
+            got += k in found
+            every += decontaminate.alignment(words, items.words[k])[0] >= 40
+            assert (k in found) == (decontaminate.alignment(words, items.words[k])[0] >= 40)
+        print(edit, share, got / 200, every)
+        assert got == every and got / 200 >= recall
+
+
+def test_blocks_of_the_benchmark_find_what_one_does(spark, monkeypatch):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{x}.parquet") for x in ("documents", "benchmark"))
+    want = sorted(map(tuple, decontaminate.find_leaks(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 300)
+    assert want and len(list(decontaminate._blocks(items))) > 2 and sorted(map(tuple, decontaminate.find_leaks(docs, items).collect())) == want
+
+
 def test_alignment_equals_dynamic_programming():
     rng = np.random.default_rng(5)
     for _ in range(60):
