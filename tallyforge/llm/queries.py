@@ -86,7 +86,7 @@ def spotsigs_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_decontamination, op4_html_extraction, op5_personal_data, op6_sharding, op7_language_id, op8_packing, op9_warc, op10_spotsigs, op11_minhash, op12_spelling_variants, op13_hard_negatives, spotsigs_near_duplicates)}
 
 _RULES_SQL = ", ".join(f"('{a}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}', '{r}')" for a, r in RULES)
-_SECOND = "|".join(("ac", "co", "com", "edu", "gov", "net", "org"))
+_SUFFIX, _ADDRESS = url_reputation.LONG_SUFFIX, url_reputation.ADDRESS
 
 
 def _strength(of: str, mean: str) -> str:
@@ -148,7 +148,7 @@ with p as (
 l as (select doc_id, min((quality = 1 and toxic = 0)::int) as good from labels group by 1 having good is not null),
 o as (select page_id, min(good) as good from (select page_id, try_cast(regexp_extract(path, '/(\d{{1,18}})(?:\.html)?/?$', 1) as bigint) as doc_id from p) join l using (doc_id) where page_id is not null group by 1),
 h0 as (select host, count(good) as n, coalesce(sum(good), 0)::bigint as k, regexp_replace(host, ':\d+$', '') as plain from p left join o using (page_id) group by 1),
-h1 as (select *, case when regexp_matches(plain, '(^|\.)({_SECOND})\.[a-z][a-z]$') then regexp_extract(plain, '(?:^|\.)((?:{_SECOND})\.[a-z][a-z])$', 1) else regexp_extract(plain, '[^.:]*$') end as suffix from h0),
+h1 as (select *, case when regexp_matches(plain, '^({_ADDRESS})$') then plain when regexp_matches(plain, '(^|\.)({_SUFFIX})$') then regexp_extract(plain, '(?:^|\.)({_SUFFIX})$', 1) else regexp_extract(plain, '[^.:]*$') end as suffix from h0),
 h as (select *, case when length(plain) - length(suffix) - 1 <= 0 then plain else regexp_extract(left(plain, length(plain) - length(suffix) - 1), '[^.]*$') || '.' || suffix end as domain from h1),
 a as (select (sum(k) + 1)::double / (sum(n) + 2) as m from h),
 s0 as (select suffix, sum(n)::double as n, sum(k)::double as k, (select m from a) as m from h group by 1),

@@ -18,7 +18,16 @@ from .store import written
 BROADCAST_HOSTS = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Second-level labels under which country registries register names; fixed values.
-_SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "govt", "gub", "idv", "ltd", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch")
+# Names below which others register, cities of one country and hosting services; fixed values.
+SHARED = (
+    "kawasaki.jp", "kitakyushu.jp", "kobe.jp", "nagoya.jp", "sapporo.jp", "sendai.jp", "yokohama.jp",
+    "azurewebsites.net", "blogspot.com", "cloudfront.net", "firebaseapp.com", "fly.dev", "github.io", "gitlab.io", "glitch.me", "herokuapp.com", "neocities.org",
+    "netlify.app", "onrender.com", "pages.dev", "readthedocs.io", "surge.sh", "tumblr.com", "vercel.app", "web.app", "wordpress.com", "workers.dev",
+)
+#: A suffix of more than one label, and a host that is an address; both as patterns.
+LONG_SUFFIX = "(?:" + "|".join(SECOND_LEVEL) + r")\.[a-z][a-z]|" + "|".join(s.replace(".", r"\.") for s in SHARED)
+ADDRESS = r"\[.*\]|\d+\.\d+\.\d+\.\d+"
 
 
 def host_of(url: Column) -> Column:
@@ -33,9 +42,10 @@ def path_of(url: Column) -> Column:
 
 
 def suffix_of(host: Column) -> Column:
-    """The last label, or the last two under a country's second-level name."""
-    last2 = F.regexp_extract(host, rf"(?:^|\.)((?:{'|'.join(_SECOND_LEVEL)})\.[a-z][a-z])(?::\d+)?$", 1)
-    return F.when(last2 != "", last2).otherwise(F.regexp_extract(host, r"([^.:]*)(?::\d+)?$", 1))
+    """The last label, the last two under a country's second-level name or below a shared name, or the whole of an address."""
+    whole = F.regexp_extract(host, rf"^({ADDRESS})(?::\d+)?$", 1)
+    last2 = F.regexp_extract(host, rf"(?:^|\.)({LONG_SUFFIX})(?::\d+)?$", 1)
+    return F.when(whole != "", whole).when(last2 != "", last2).otherwise(F.regexp_extract(host, r"([^.:]*)(?::\d+)?$", 1))
 
 
 def domain_of(host: Column, suffix: Column) -> Column:

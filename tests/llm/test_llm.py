@@ -13,8 +13,9 @@ import duckdb
 import numpy as np
 import pytest
 from compare import assert_same, database
+from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, html_extract, jaccard_join, langid, packing, pii, queries, sharding, spotsigs, store, url_reputation, warc
+from tallyforge.llm import components, decontaminate, html_extract, jaccard_join, langid, packing, pii, queries, sharding, spotsigs, store, url_reputation, warc
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -149,7 +150,7 @@ def test_url_rules_and_odd_urls(spark):
 
 
 def test_operator_and_sql_agree_on_ports_and_odd_urls(spark):
-    urls = ["http://a.example.net:80/en/1", "http://example.net:/en/", "http://net:8080/", "http://m.net:443/x", "http://u@example.com/de/7", "HTTP://EXAMPLE.NET/en/2", "http://[::1]:80/en/", "x://y://example.net/en/", "http://.net/", "http://net/", "http://example.net./en/3", "://org/fr/", None, "", "http://h.co.uk:80/p/5", "http://a.b:c/6"]
+    urls = ["http://a.example.net:80/en/1", "http://example.net:/en/", "http://net:8080/", "http://m.net:443/x", "http://u@example.com/de/7", "HTTP://EXAMPLE.NET/en/2", "http://[::1]:80/en/", "x://y://example.net/en/", "http://.net/", "http://net/", "http://example.net./en/3", "://org/fr/", None, "", "http://h.co.uk:80/p/5", "http://a.b:c/6", "http://1.2.3.4/7", "http://9.2.3.4:80/5", "http://x.github.io/6", "http://a.city.kawasaki.jp/3", "http://b.or.jp/1", "http://github.io/2"]
     pages = [(i, u, None) for i, u in enumerate(urls)] + [(3, urls[3], None), (None, urls[0], None)]
     names = {"pages": "page_id long, url string, html string", "labels": "doc_id long, quality int, toxic int"}
     rows = {"pages": pages, "labels": [(1, 1, 0), (2, 1, 1), (3, 0, 0), (5, 1, 0), (6, 1, 0), (6, 0, 1), (7, None, 0), (None, 1, 0)]}
@@ -162,6 +163,29 @@ def test_operator_and_sql_agree_on_ports_and_odd_urls(spark):
     assert got[0] == ("a.example.net:80", None) and got[5] == ("example.net", "example.net/en/") and got[9] == ("net", "net/")
 
 
+def test_domains_of_addresses_and_shared_names(spark):
+    want = {"1.2.3.4": "1.2.3.4", "1.2.3.4:80": "1.2.3.4", "[::1]:80": "[::1]", "u.x.github.io": "x.github.io", "github.io": "github.io", "a.city.kawasaki.jp": "city.kawasaki.jp", "a.b.or.jp": "b.or.jp", "a.b.example.co.uk:1": "example.co.uk", "a.b.com": "b.com", "notgithub.io": "notgithub.io", "localhost": "localhost", "": ""}
+    hosts = spark.createDataFrame([(h,) for h in want], "host string").withColumn("suffix", url_reputation.suffix_of(F.col("host")))
+    hosts = hosts.withColumn("plain", F.regexp_replace("host", r":\d+$", "")).withColumn("domain", url_reputation.domain_of(F.col("host"), F.col("suffix")))
+    assert {r["host"]: r["domain"] for r in hosts.collect()} == want
+
+
+def test_reputations_beyond_the_broadcast_limit(spark, monkeypatch):
+    want = sorted(map(str, queries.op1_url_filter(spark, SF).collect()))
+    monkeypatch.setattr(url_reputation, "BROADCAST_HOSTS", 0)
+    assert want and sorted(map(str, queries.op1_url_filter(spark, SF).collect())) == want
+
+
+def test_components_and_archives_beyond_the_broadcast_limit(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(None, 3), (5, 5)], "a long, b long")
+    want = sorted(map(tuple, components.components(edges).collect()))
+    pages = sorted(map(str, queries.op9_warc(spark, SF).collect()))
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, components.components(edges).collect())) == want == [(i, 0) for i in range(41)] + [(i, 100) for i in range(100, 130)]
+    assert sorted(map(str, queries.op9_warc(spark, SF).collect())) == pages
+
+
 def test_host_reputation_shrinks_small_hosts(spark):
     hosts = spark.createDataFrame([("a.x.com", 1000, 900), ("b.x.com", 1, 0), ("c.y.com", 1000, 100), ("d.y.com", 0, 0)], "host string, n long, k long")
     got = {r["host"]: r for r in url_reputation.host_reputation(hosts).collect()}
