@@ -155,7 +155,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     nothing. Other columns are ignored; an empty table gives none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = written(signatures(docs, "text", "sigs").select("doc_id", "sigs", F.size("sigs").cast("long").alias("n_signatures"), F.xxhash64("sigs").alias("cls")), "fingerprints")
+    # sets are named by 128 bits, so that no two of 10^10 are expected to clash
+    ids = written(signatures(docs, "text", "sigs").select("doc_id", "sigs", F.size("sigs").cast("long").alias("n_signatures"), F.unhex(F.md5(F.concat_ws(",", "sigs"))).alias("cls")), "fingerprints")
     sets = written(ids.where("doc_id is not null").groupBy("cls").agg(F.first("sigs").alias("sigs"), F.min("doc_id").alias("rep")).withColumn("n", F.size("sigs")), "sets")
     shown = sets.select("cls", "n", F.explode("sigs").alias("sig"))
     df = shown.groupBy("sig").agg(F.count("*").alias("df"))
