@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import math
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -67,13 +68,14 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(tuple(items), n) for group in open_.values() for items, n in group]
 
 
-def fillings(counts: dict[int, int], room: int) -> Iterator[tuple[int, ...]]:
+def fillings(counts: dict[int, int], room: int, most: float = STEPS) -> Iterator[tuple[int, ...]]:
     """The undominated fillings of a room, fullest first and of those the ones of larger pieces; one empty filling if nothing fits.
 
     A filling is dominated when a piece left out could take the place of one or two
     that are in. Of the fullest none is, for the sum would grow. A piece that fills the
     room exactly dominates all others. A pair that does comes first, before the sums
-    within reach are worked out, which the other fillings follow from.
+    within reach are worked out, which the other fillings follow from. At most that many
+    are looked at.
     """
     sizes = [s for s in sorted(counts) if s <= room and counts[s]]
     if not sizes:
@@ -99,12 +101,12 @@ def fillings(counts: dict[int, int], room: int) -> Iterator[tuple[int, ...]]:
                 if reach[j] >> (need - k * s) & 1:
                     yield from descend(j, need - k * s, (*chosen, *(s,) * k))
 
-    while target > 0 and steps < STEPS:
+    while target > 0 and steps < most:
         for chosen in descend(len(sizes), target, ()):
             steps += 1
             if chosen != pair and (room - target == waste or not _dominated(chosen, room - target, counts, sizes)):
                 yield chosen
-            if steps >= STEPS:
+            if steps >= most:
                 break
         target = (reach[-1] & ((1 << target) - 1)).bit_length() - 1
 
@@ -133,13 +135,17 @@ def _dominated(chosen: tuple[int, ...], waste: int, counts: dict[int, int], size
     return any(i < len(spare) and spare[i] <= g + waste for i, g in zip(at, sorted(groups), strict=True))
 
 
-def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, *, nodes: int = NODES, width: int = WIDTH) -> list[Pattern]:
+def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, *, nodes: float = NODES, width: float = WIDTH, steps: float = STEPS, exact: bool = False) -> list[Pattern]:
     """Lengths with their numbers -> sequences as patterns with their numbers, as few as the search finds.
 
     A step fills as many sequences alike as the pieces allow, so the work follows the
     number of lengths and not that of pieces. A branch is kept as the chain of its
-    patterns and replayed when the search comes back to it.
+    patterns and replayed when the search comes back to it. With exact, a step fills one
+    sequence and no limit holds: the sequences are as few as can be, in a time that grows
+    with the number of ways to fill them.
     """
+    if exact:
+        nodes = width = steps = math.inf
     counts = {s: n for s, n in counts.items() if n > 0}
     best = best_fit(counts, capacity)
     used = sum(n for _, n in best)
@@ -163,7 +169,7 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, *, nodes: i
                 order.pop()
             largest = order[-1]
             left[largest] -= 1
-            chosen = next(itertools.islice(fillings(left, capacity - largest), tried, None), None)
+            chosen = next(itertools.islice(fillings(left, capacity - largest, steps), tried, None), None)
             left[largest] += 1
             spent += 1 if spent else 0
             if chosen is None:
@@ -172,7 +178,7 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, *, nodes: i
                 stack.append((chain, n_used, tried + 1))
             tried = 0
             items = (largest, *chosen)
-            times = min(left[s] // items.count(s) for s in set(items))
+            times = 1 if exact else min(left[s] // items.count(s) for s in set(items))
             for s in set(items):
                 left[s] -= items.count(s) * times
                 if not left[s]:
@@ -247,15 +253,16 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, *, vocabulary: str | None
     return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, *, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, *, capacity: int = CAPACITY, vocabulary: str | None = None, nodes: float = NODES, width: float = WIDTH, steps: float = STEPS, exact: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row a piece.
 
     A null or empty text is one piece, its end mark. Repeated rows are each packed;
     rows without doc_id too. Other columns are ignored; an empty table gives none.
+    nodes, width, steps and exact are those of pack_histogram.
     """
     cut = written(pieces(docs, capacity, vocabulary=vocabulary), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    patterns = pack_histogram(counts, capacity)
+    patterns = pack_histogram(counts, capacity, nodes=nodes, width=width, steps=steps, exact=exact)
     plan: dict[int, list[tuple[int, int, int]]] = {}  # by length: first rank, sequence of that rank, offset
     given = dict.fromkeys(counts, 0)
     sequence = 0

@@ -48,6 +48,35 @@ def test_fillings_are_undominated_and_fullest_first():
             assert any(p < s <= p + room - sum(f) for s in spare for p in places) or any(s <= room - sum(f) for s in spare), (f, got)
 
 
+def fewest(pieces, capacity):
+    """Fewest sequences, by the best way to reach each set of pieces."""
+    best = {0: (1, 0)}
+    for mask in range(1, 1 << len(pieces)):
+        ways = []
+        for i, s in enumerate(pieces):
+            if mask >> i & 1:
+                n, held = best[mask ^ 1 << i]
+                ways.append((n, held + s) if held + s <= capacity else (n + 1, s))
+        best[mask] = min(ways)
+    return best[(1 << len(pieces)) - 1][0]
+
+
+def test_the_exact_search_equals_brute_force():
+    rng = np.random.default_rng(6)
+    gained = 0
+    for low, high in [(3, 50), (20, 60), (25, 45), (10, 35)] * 6:
+        pieces = rng.integers(low, high, 12).tolist()
+        made = packing.pack_histogram(Counter(pieces), 100, exact=True)
+        held = Counter()
+        for pattern, n in made:
+            assert sum(pattern) <= 100
+            for s in pattern:
+                held[s] += n
+        assert held == Counter(pieces) and sum(n for _, n in made) == fewest(pieces, 100)
+        gained += sum(n for _, n in packing.best_fit(Counter(pieces), 100)) > fewest(pieces, 100)
+    assert gained
+
+
 def test_the_search_beats_best_fit():
     pieces = Counter([323, 421, 438, 483, 495, 503, 529, 559, 561, 568, 601, 672, 993, 1023])
     assert sum(n for _, n in packing.best_fit(dict(pieces), 2048)) == 5
