@@ -23,7 +23,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import _chunks, word_hashes
@@ -147,13 +147,30 @@ def disclosing_terms(docs: DataFrame, *, alpha: float = ALPHA, support: int = SU
     n_e = met.where("term is null").groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where(f"texts >= {support}").drop("texts")
     n_te = met.where("term is not null").groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where(f"texts >= {support}").drop("texts")
     often = written(n_te.join(n_e, "entity"), "pairs")
-    terms = often.select("term").distinct()
+    n = max(docs.count(), 1)
+    kind = F.lit(None).cast("string")
+    for name in KINDS:
+        kind = F.when(F.col("entity") == _hash(name), name).otherwise(kind)
+
+    def strong(n_t: Column, slack: float) -> Column:
+        chance = n_t * F.col("n_e") / F.lit(float(n))
+        pmi = F.log(F.col("n_te") / chance)
+        return (pmi >= F.log(F.lit(float(n)) / F.col("n_e")) / alpha - slack) & (F.col("n_te") * pmi - (F.col("n_te") - chance) >= sure - slack) & (kind.isNull() | (F.col("n_e") <= most_common * n))
+
+    # a term has at least as many documents as are seen with any one entity, and PMI and ratio fall as they grow while PMI is not below 0: what is too weak with so few need not be counted
+    least = often.groupBy("term").agg(F.max("n_te").alias("least"))
+    open_pairs = written(often.join(least, "term").where(strong(F.col("least"), 1e-6)).drop("least"), "open")
+    terms = open_pairs.select("term").distinct()
     few = terms.count() <= BROADCAST_HASHES
     asked = docs.sparkSession.sparkContext.broadcast(np.sort(terms.toArrow().column(0).to_numpy()) if few else None)
 
     @releasing
     def df(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = asked.value
+        if wanted is not None and not len(wanted):
+            return
+        # asked terms are counted over the whole task; without a list of them each batch gives its words
+        total = None if wanted is None else np.zeros(len(wanted), np.int64)
         for batch in batches:
             parts = []
             for _, raw, ends in _chunks(batch.column(0)):
@@ -161,30 +178,30 @@ def disclosing_terms(docs: DataFrame, *, alpha: float = ALPHA, support: int = SU
                     rows, words = word_hashes(raw, ends, _GAPS)
                 words = words.view(np.int64)
                 if wanted is not None:
-                    if not len(wanted):
-                        continue
                     at = np.searchsorted(wanted, words)
                     at[at == len(wanted)] = 0
                     hit = wanted[at] == words
-                    rows, words = rows[hit], words[hit]
+                    rows, words = rows[hit], at[hit]
                 order = np.lexsort((rows, words))
                 rows, words = rows[order], words[order]
                 new = np.r_[True, (rows[1:] != rows[:-1]) | (words[1:] != words[:-1])] if len(rows) else np.zeros(0, bool)
-                parts.append(words[new])
-            terms, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            yield pa.record_batch([pa.array(terms), pa.array(n)], names=["term", "n"])
+                if wanted is None:
+                    parts.append(words[new])
+                else:
+                    np.add.at(total, words[new], 1)
+            if wanted is None:
+                terms, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                yield pa.record_batch([pa.array(terms), pa.array(counts)], names=["term", "n"])
+        if wanted is not None:
+            met_here = np.flatnonzero(total)
+            for i in range(0, len(met_here), 10_000):
+                some = met_here[i : i + 10_000]
+                yield pa.record_batch([pa.array(wanted[some]), pa.array(total[some])], names=["term", "n"])
 
     n_t = docs.select("text").mapInArrow(df, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    n = max(docs.count(), 1)
-    chance = F.col("n_t") * F.col("n_e") / F.lit(float(n))
-    pmi = F.log(F.col("n_te") / chance)
-    kind = F.lit(None).cast("string")
-    for name in KINDS:
-        kind = F.when(F.col("entity") == _hash(name), name).otherwise(kind)
-    strong = (pmi >= F.log(F.lit(float(n)) / F.col("n_e")) / alpha) & (F.col("n_te") * pmi - (F.col("n_te") - chance) >= sure)
-    reveals = often.join(n_t, "term").where(strong & (kind.isNull() | (F.col("n_e") <= most_common * n)))
+    reveals = open_pairs.join(n_t, "term").where(strong(F.col("n_t"), 0.0))
     found = written(reveals.select(kind.alias("kind"), "term").distinct(), "disclosing")
-    discard(met, often)
+    discard(met, often, open_pairs)
     return found
 
 

@@ -93,3 +93,33 @@ def test_a_frequent_kind_destroys_no_text(spark):
     for copies in (1, 40):
         rows = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts * copies)), "doc_id long, text string")).collect()
         assert sum(r["n_term"] for r in rows) == 0 and all("[EMAIL]" in r["text"] for r in rows if r["doc_id"] % 30 < 10)
+
+
+def test_only_terms_that_may_disclose_are_counted_and_once_a_task(spark, monkeypatch, tmp_path):
+    real = pii.releasing
+
+    def counting(task):
+        whole = real(task)
+        if task.__name__ != "df":
+            return whole
+
+        def run(batches):
+            for batch in whole(batches):
+                with open(tmp_path / "rows", "a") as f:
+                    f.write(f"{batch.num_rows}\n")
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(pii, "releasing", counting)
+    texts, names = corpus(5, 3000)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        found = {r["term"] for r in pii.disclosing_terms(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert {pii._words(x)[2].tolist()[0] for x in names} <= found
+    # common words stand beside addresses too, but cannot disclose one; names, the hundred rare words and a few more remain, each told once by each of four tasks
+    rows = sum(map(int, (tmp_path / "rows").read_text().split()))
+    assert rows <= 4 * (len(names) + 110), rows
