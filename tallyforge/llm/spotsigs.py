@@ -55,7 +55,7 @@ def signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(content, F.filter(marked, lambda w: w.isNotNull()))
     chain = lambda i: F.concat_ws(" ", *(F.ltrim(F.get(F.col(content), i + k), F.lit("^")) for k in range(CHAIN)))
     spots = F.filter(F.transform(content, lambda w, i: F.when(F.startswith(w, F.lit("^")) & (i + CHAIN <= F.size(content)), _digest(chain(i)))), lambda h: h.isNotNull())
-    found = F.array_sort(F.array_distinct(spots))
+    found = F.sort_array(F.array_distinct(spots))
     whole = F.array(_digest(F.concat(F.lit("="), F.array_join(words, " "))))
     return df.withColumn(out, found).withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(whole)).drop(words, content)
 
@@ -159,9 +159,12 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     ids = written(signatures(docs, "text", "sigs").select("doc_id", "sigs", F.size("sigs").cast("long").alias("n_signatures"), F.unhex(F.md5(F.concat_ws(",", "sigs"))).alias("cls")), "fingerprints")
     sets = written(ids.where("doc_id is not null").groupBy("cls").agg(F.first("sigs").alias("sigs"), F.min("doc_id").alias("rep")).withColumn("n", F.size("sigs")), "sets")
     shown = sets.select("cls", "n", F.explode("sigs").alias("sig"))
-    df = shown.groupBy("sig").agg(F.count("*").alias("df"))
+    # signatures of one set alone come first in its order and link nothing, so they are counted and go no further than their own count
+    df = shown.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
     prefix = F.expr(f"n - cast(ceil({threshold} * n - 1e-9) as int) + 1")
-    ranked = shown.join(df, "sig").withColumn("at", F.row_number().over(Window.partitionBy("cls").orderBy("df", "sig"))).where((F.col("at") <= prefix) & (F.col("df") > 1))
+    of_set = Window.partitionBy("cls")
+    at = F.col("n") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("df", "sig"))
+    ranked = shown.join(df, "sig").withColumn("at", at).where(F.col("at") <= prefix)
     lane = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9)
     lanes = written(ranked.withColumn("lane", F.explode(F.array(lane, lane + 1))).select("sig", "lane", "cls", "n"), "lanes")
     keys = lanes.groupBy("sig", "lane").agg(F.min_by("cls", F.struct("n", "cls")).alias("a"))

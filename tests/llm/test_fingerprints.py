@@ -70,3 +70,19 @@ def test_sets_that_clash_in_their_name_go_by_a_second(spark, monkeypatch):
     assert sorted(map(tuple, jaccard_join.jaccard_components(docs, shingle=4, percent=85).collect())) == want
     one = np.array([1, 2], np.uint64)
     assert shingles.set_class(one, frozenset([shingles.set_names(one)[0]])) == shingles.set_names(one)[1]
+
+
+def test_signatures_of_one_set_alone_are_not_ranked(spark, monkeypatch):
+    plans, real = {}, spotsigs.written
+
+    def keep(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(spotsigs, "written", keep)
+    rows = [(1, "the red house and the old barn"), (2, "the red house and the old barn by a lake shore"), (3, "a quiet road to the far hill"), (4, None), (5, "the red house and the old barn")]
+    got = {r["doc_id"]: r["component_id"] for r in spotsigs.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[5] == 1 and got[3] == 3 and got[4] == 4
+    # the number of sets of a signature is looked at before its rows are joined and sorted
+    joined = plans["lanes"].rindex("Join Inner")
+    assert any("Filter" in line and "> 1" in line for line in plans["lanes"][joined:].splitlines()), plans["lanes"]
