@@ -121,7 +121,7 @@ def _classes(docs: DataFrame, k: int, clashes: frozenset[int]) -> DataFrame:
     return docs.mapInArrow(sets, "doc_id long, n long, cls long, other long, bits array<long>")
 
 
-def named_sets(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+def _named_sets(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, frozenset[int]]:
     """(documents with the names of their sets, one row a different set, names that stood for different sets at first)."""
     clashes: frozenset[int] = frozenset()
     while True:
@@ -332,7 +332,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return given.join(asked, ["a", "part"]).where(f"{least} <= least(na, nb)").where(within).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, clashes: frozenset[int]) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, clashes: frozenset[int]) -> DataFrame:
     """The pairs (a, b) of classes that link, found by DivideSkip with a as the query and its partners as candidates."""
     pairs = written(_likely(pairs, nodes, percent), "likely")
     ids = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
@@ -391,7 +391,7 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80)
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    classes, nodes, clashes = named_sets(docs, shingle)
+    classes, nodes, clashes = _named_sets(docs, shingle)
     shingles_in_all = nodes.agg(F.sum("n")).first()[0] or 0
     docs = docs.where("doc_id is not null")
     edges = None
@@ -409,7 +409,7 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80)
 
 
 def component_rows(classes: DataFrame, nodes: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """(doc_id, n_shingles, component_id) from the tables of named_sets() and the links between classes."""
+    """(doc_id, n_shingles, component_id) from the tables of _named_sets() and the links between classes."""
     if edges is None:
         grouped = nodes.select("cls", F.col("rep").alias("component_id"))
     else:
@@ -430,7 +430,7 @@ def _links(lists: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent:
     across = heads.select("token", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("pa").alias("pb")).join(tops, "token")
     across = across.where(f"a <> b and pa <= na - {least('na', 'nb')} and pb <= nb - {least('na', 'nb')}").select("a", "b")
     pairs = written(lists.where("kind = 0").select("a", "b").union(across).distinct(), "pairs")
-    edges = verified(pairs, docs, nodes, k, percent, clashes)
+    edges = _verified(pairs, docs, nodes, k, percent, clashes)
     # Second look: pairs between components that no list's head has covered.
     parts = components(edges)
     posts = lists.where("kind = 1").select("token", F.col("a").alias("cls"), "n", "pos")
@@ -442,6 +442,6 @@ def _links(lists: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent:
     discard(pairs, met, parts)
     if more.isEmpty():
         return edges
-    found = verified(more, docs, nodes, k, percent, clashes)
+    found = _verified(more, docs, nodes, k, percent, clashes)
     discard(more)
     return edges.union(found)

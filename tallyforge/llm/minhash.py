@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import BLOCK, BROADCAST_ROWS, components
-from .jaccard_join import component_rows, named_sets, verified
+from .jaccard_join import _named_sets, _verified, component_rows
 from .shingles import mix, set_class, shingle_sets
 from .store import discard, releasing, shuffle_partitions, written
 
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     and names no component. Other columns are ignored. An empty table gives none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    classes, nodes, clashes = named_sets(docs, shingle)
+    classes, nodes, clashes = _named_sets(docs, shingle)
     known = docs.where("doc_id is not null")
     posts = written(_banded(known, shingle, bands, rows, clashes), "bands")
     each = posts.select("cls", F.posexplode("bands").alias("place", "band"))
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
 def _links(met: DataFrame, sets: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, clashes: frozenset[int]) -> DataFrame:
     """Links between classes that share a bucket (band, place, cls, head), enough of them to join all that are linked."""
     pairs = written(met.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
-    edges = verified(pairs, docs, nodes, k, percent, clashes)
+    edges = _verified(pairs, docs, nodes, k, percent, clashes)
     parts = components(edges)
     posts = met.join(parts, met.cls == parts.node, "left").select("band", "place", "cls", F.coalesce("component", "cls").alias("component"))
     across = pairs_of_buckets(posts, sets, percent)
@@ -241,6 +241,6 @@ def _links(met: DataFrame, sets: DataFrame, docs: DataFrame, nodes: DataFrame, k
     discard(pairs, across, parts, met)
     if more.isEmpty():
         return edges
-    found = verified(more, docs, nodes, k, percent, clashes)
+    found = _verified(more, docs, nodes, k, percent, clashes)
     discard(more)
     return edges.union(found)
