@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pytest
 from compare import assert_same
 
 from tallyforge.plans import catalog
@@ -30,3 +31,15 @@ def test_lines_move_once_to_the_join_and_once_to_their_supplier(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange ") == 3 and plan.count("lineitem.parquet") == 1, os.linesep + plan
+
+
+@pytest.mark.parametrize(("name", "moves"), [("fact_conflicts", 3), ("trace_source", 4)])
+def test_facts_stay_where_their_document_was_made(spark, name, moves):
+    """Orders and lines move to the join and lines to their document; facts do not move again (of trace_source, suppliers do)."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange ") == moves and plan.count("lineitem.parquet") == 1, os.linesep + plan
