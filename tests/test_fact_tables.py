@@ -43,3 +43,9 @@ def test_facts_stay_where_their_document_was_made(spark, name, moves):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange ") == moves and plan.count("lineitem.parquet") == 1, os.linesep + plan
+
+
+def test_fact_files_are_written_compressed(spark):
+    files = catalog.QUERIES["fact_scan"](spark, SF).inputFiles()
+    files += spark.read.text(catalog._fact_files(spark, src.faulty_facts(spark, SF))).inputFiles()
+    assert len(files) > 1 and all(f.endswith(".gz") for f in files), files[:3]
