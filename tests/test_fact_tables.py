@@ -33,7 +33,7 @@ def test_lines_move_once_to_the_join_and_once_to_their_supplier(spark):
     assert plan.count("Exchange ") == 3 and plan.count("lineitem.parquet") == 1, os.linesep + plan
 
 
-@pytest.mark.parametrize(("name", "moves"), [("fact_conflicts", 3), ("trace_source", 4)])
+@pytest.mark.parametrize(("name", "moves"), [("fact_conflicts", 3), ("trace_source", 4), ("growth", 3), ("compound_growth", 3), ("quarter_rollup", 3), ("ratios", 3), ("pivot_facts", 3), ("sensitivity_grid", 3), ("project", 3), ("multiple_value", 3)])
 def test_facts_stay_where_their_document_was_made(spark, name, moves):
     """Orders and lines move to the join and lines to their document; facts do not move again (of trace_source, suppliers do)."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -49,3 +49,9 @@ def test_fact_files_are_written_compressed(spark):
     files = catalog.QUERIES["fact_scan"](spark, SF).inputFiles()
     files += spark.read.text(catalog._fact_files(spark, src.faulty_facts(spark, SF))).inputFiles()
     assert len(files) > 1 and all(f.endswith(".gz") for f in files), files[:3]
+
+
+@pytest.mark.parametrize(("name", "columns"), [("unpivot_statement", "document name period amount"), ("entity_report", "document name period amount unit year quarter grain")])
+def test_facts_used_several_times_are_stored_without_what_is_not_asked_for(spark, name, columns):
+    files = catalog.QUERIES[name](spark, SF).inputFiles()
+    assert spark.read.parquet(*files).columns == columns.split()
