@@ -1,6 +1,7 @@
 """The facts derived from lines and orders: odd rows against SQL, and what their derivation moves."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -55,3 +56,20 @@ def test_fact_files_are_written_compressed(spark):
 def test_facts_used_several_times_are_stored_without_what_is_not_asked_for(spark, name, columns):
     files = catalog.QUERIES[name](spark, SF).inputFiles()
     assert spark.read.parquet(*files).columns == columns.split()
+
+
+def moved(spark, sf_dir, name):
+    """Columns of what moves to its document and to the join, without the numbers of expressions."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spark._jvm.PythonSQLUtils.explainString(catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    found = re.findall(r"Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: hashpartitioning\((\w+)#", plan)
+    return {key: re.sub(r"#\d+L?", "", columns) for columns, key in found}
+
+
+@pytest.mark.parametrize("name", ["parse_value"])
+def test_year_and_quarter_move_as_one_number(spark, name):
+    assert moved(spark, SF, name) == {"document": "document, yq, l_partkey, parts_of, v", "l_orderkey": "l_orderkey, e, l_partkey, parts_of, v", "o_orderkey": "o_orderkey, yq"}
