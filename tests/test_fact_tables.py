@@ -70,6 +70,6 @@ def moved(spark, sf_dir, name):
     return {key: re.sub(r"#\d+L?", "", columns) for columns, key in found}
 
 
-@pytest.mark.parametrize("name", ["parse_value"])
+@pytest.mark.parametrize("name", ["parse_value", "fact_quarantine"])
 def test_year_and_quarter_move_as_one_number(spark, name):
     assert moved(spark, SF, name) == {"document": "document, yq, l_partkey, parts_of, v", "l_orderkey": "l_orderkey, e, l_partkey, parts_of, v", "o_orderkey": "o_orderkey, yq"}
