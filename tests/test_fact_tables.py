@@ -73,3 +73,19 @@ def moved(spark, sf_dir, name):
 @pytest.mark.parametrize("name", ["parse_value", "fact_quarantine"])
 def test_year_and_quarter_move_as_one_number(spark, name):
     assert moved(spark, SF, name) == {"document": "document, yq, l_partkey, parts_of, v", "l_orderkey": "l_orderkey, e, l_partkey, parts_of, v", "o_orderkey": "o_orderkey, yq"}
+
+
+@pytest.mark.parametrize("name", ["parse_period"])
+def test_queries_without_values_move_no_amounts(spark, name):
+    assert moved(spark, SF, name) == {"document": "document, yq", "l_orderkey": "l_orderkey, e", "o_orderkey": "o_orderkey, yq"}
+
+
+@pytest.mark.parametrize("name", ["parse_value", "parse_period", "fact_quarantine", "unit_consistency"])
+def test_odd_lines_read_for_some_columns_only_equal_their_sql(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.execute(f"""create table orders as select o_orderkey, case when o_orderkey % 11 = 0 then null else o_orderdate end as o_orderdate from '{SF}/orders.parquet'""")
+    con.execute(f"""create table lineitem as select l_orderkey, l_suppkey + 10 * (l_orderkey % 90) as l_suppkey, l_partkey, l_extendedprice, case when l_orderkey % 13 = 0 then null else l_discount end as l_discount,
+      case when l_orderkey % 7 = 0 then null else l_returnflag end as l_returnflag, case when l_orderkey % 17 = 0 then null else l_linestatus end as l_linestatus from '{SF}/lineitem.parquet'""")
+    for table in ("orders", "lineitem"):
+        con.execute(f"copy {table} to '{tmp_path}/{table}.parquet' (format parquet)")
+    assert_same(catalog.QUERIES[name](spark, str(tmp_path)), con, catalog.ORACLE[name])
